@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import byte_bpe, quality, token_counts
+from orderloom.llm import byte_bpe, mixing, quality, secret_scan, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_secret_scan": secret_scan.op2_secret_scan,
+        "op3_url_filter": url_filter.op3_url_filter,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_mixing": mixing.op7_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_url_filter": url_filter.op3_sql(),
+        "op7_mixing": mixing.OP7_SQL,
+    }
