@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import byte_bpe, mixing, quality, secret_scan, token_counts, url_filter
+from orderloom.llm import byte_bpe, html_main, mixing, pii, quality, secret_scan, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_mixing": mixing.op7_mixing,
+        "op9_personal_data": pii.op9_personal_data,
+        "op10_html_extraction": html_main.op10_html_extraction,
     }
 
 
