@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import byte_bpe, html_main, mixing, pii, quality, secret_scan, token_counts, url_filter
+import corpus_pipeline
+from orderloom.llm import byte_bpe, chroma, html_main, mixing, pii, quality, secret_scan, simhash, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,16 +15,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_secret_scan": secret_scan.op2_secret_scan,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_simhash": simhash.op4_simhash,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_mixing": mixing.op7_mixing,
+        "op8_chroma_fingerprints": chroma.op8_chroma_fingerprints,
         "op9_personal_data": pii.op9_personal_data,
         "op10_html_extraction": html_main.op10_html_extraction,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {
         "op3_url_filter": url_filter.op3_sql(),
         "op7_mixing": mixing.OP7_SQL,
     }
+    if corpus_pipeline.ORACLE_SQL is not None:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
