@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-Each merge rank has a bucket of linked-list positions; a three-level bitmap with
-64-way fan-out marks the buckets that hold any. Find-first-set on each level
+Each merge rank has a bucket of linked-list positions; a two-level bitmap with
+256-way fan-out marks the buckets that hold any. Find-first-set on each level
 leads to the lowest rank, whose leftmost position is merged unless the entry is
 stale (its pair has changed since it was queued). Queue operations cost a
 constant number of word operations whatever the length of the pre-token, which
@@ -34,12 +34,16 @@ CACHED_PIECES = 200_000
 CACHED_LENGTH = 64
 
 
+FAN = 8  # bits of a rank that the lower bitmap level takes: 256-way words
+
+
 class RankQueue:
-    """Buckets of positions by rank, under a bitmap hierarchy of 64-bit words."""
+    """Buckets of positions by rank, under two levels of bitmaps."""
+
+    __slots__ = ("top", "low", "buckets")
 
     def __init__(self):
         self.top = 0
-        self.middle: dict[int, int] = {}
         self.low: dict[int, int] = {}
         self.buckets: dict[int, list[int]] = {}
 
@@ -49,55 +53,55 @@ class RankQueue:
             heapq.heappush(bucket, at)
             return
         self.buckets[rank] = [at]
-        word, group = rank >> 6, rank >> 12
-        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-        self.middle[group] = self.middle.get(group, 0) | 1 << (word & 63)
-        self.top |= 1 << group
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank that has positions, with its leftmost one."""
-        if not self.top:
-            return None
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[group]
-        word = group << 6 | (bits & -bits).bit_length() - 1
+        word = rank >> FAN
+        self.low[word] = self.low.get(word, 0) | 1 << (rank & (1 << FAN) - 1)
+        self.top |= 1 << word
+
+    def pop(self) -> tuple[int, int]:
+        """The lowest rank that has positions, with its leftmost one; the queue must not be empty."""
+        word = (self.top & -self.top).bit_length() - 1
         bits = self.low[word]
-        rank = word << 6 | (bits & -bits).bit_length() - 1
+        rank = word << FAN | (bits & -bits).bit_length() - 1
         bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] = bits = bits & (bits - 1)
-            if not bits:
-                self.middle[group] &= self.middle[group] - 1
-                if not self.middle[group]:
-                    self.top &= self.top - 1
-        return rank, at
+        if len(bucket) > 1:
+            return rank, heapq.heappop(bucket)
+        del self.buckets[rank]
+        self.low[word] = bits = bits & (bits - 1)
+        if not bits:
+            self.top &= self.top - 1
+        return rank, bucket[0]
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: adjacent parts join in order of rank, leftmost first."""
     n = len(piece)
-    ends = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is merged into another
+    ends = list(range(1, n + 1))  # where the part that starts here ends
     before = list(range(-1, n - 1))
-    queue = RankQueue()
+    pair = [-1] * n  # the rank of the part that starts here with the next one
+    queue, rank_of = RankQueue(), ranks.get
+    push, pop = queue.push, queue.pop
     for i in range(n - 1):
-        if (r := ranks.get(piece[i : i + 2])) is not None:
-            queue.push(r, i)
-    while (found := queue.pop()) is not None:
-        rank, i = found
-        j = ends[i]
-        if not j or j == n or ranks.get(piece[i : ends[j]]) != rank:
+        if (r := rank_of(piece[i : i + 2])) is not None:
+            pair[i] = r
+            push(r, i)
+    while queue.top:
+        rank, i = pop()
+        if pair[i] != rank:
             continue
+        j = ends[i]
         k = ends[i] = ends[j]
-        ends[j] = 0
+        pair[i] = pair[j] = -1
         if k < n:
             before[k] = i
-            if (r := ranks.get(piece[i : ends[k]])) is not None:
-                queue.push(r, i)
+            if (r := rank_of(piece[i : ends[k]])) is not None:
+                pair[i] = r
+                push(r, i)
         h = before[i]
-        if h >= 0 and (r := ranks.get(piece[h:k])) is not None:
-            queue.push(r, h)
+        if h >= 0:
+            r = rank_of(piece[h:k])
+            pair[h] = -1 if r is None else r
+            if r is not None:
+                push(r, h)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : ends[i]]])
@@ -110,6 +114,7 @@ class Codec(dict):
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         lines = (line.split() for line in open(path, "rb"))
         self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
         self.tokens = {i: t for t, i in self.ranks.items()}
@@ -117,12 +122,14 @@ class Codec(dict):
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.ranks.get(raw)
-        ids = array("I", [whole] if whole is not None else merge_bytes(raw, self.ranks))
-        packed = ids.tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            packed = array("I", [whole] if whole is not None else merge_bytes(raw, self.ranks)).tobytes()
         if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PIECES:
+            if len(self) >= CACHED_PIECES:  # pieces in use move over from the older half
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed

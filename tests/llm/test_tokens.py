@@ -56,7 +56,7 @@ def test_rank_queue_orders_by_rank_then_position():
     for r in rows:
         q.push(*r)
     assert [q.pop() for _ in rows] == sorted(rows)
-    assert q.pop() is None
+    assert not q.top
 
 
 def test_columns_and_edges(spark):
