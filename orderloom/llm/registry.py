@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     found = {
+        "op2_secret_scan": secret_scan.op2_sql(),
         "op3_url_filter": url_filter.op3_sql(),
         "op7_mixing": mixing.OP7_SQL,
     }

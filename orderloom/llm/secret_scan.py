@@ -135,3 +135,39 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_digest(docs: DataFrame) -> DataFrame:
     """scan() of doc_id, text and source, whose rows drop the text."""
     return scan(docs).drop("text")
+
+
+def op2_sql() -> str:
+    """The same result in DuckDB SQL."""
+    quote = lambda p: "'" + p.replace("'", "''").replace("}+", "}") + "'"
+    kinds = (*BASE, *WIDER)
+
+    def spans(rank: int, kind: Kind) -> str:
+        p = quote(kind.pattern)
+        return f"""SELECT rid, {rank} AS rank, '{kind.name}' AS kind, unnest(m) AS value, unnest(list_transform(range(1, len(m) + 1),
+      lambda i: (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT)) AS start
+    FROM (SELECT rid, regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS p FROM d)"""
+
+    union = " UNION ALL ".join(spans(i, k) for i, k in enumerate(kinds))
+    random_looking = "len(list_distinct(string_split({0}, ''))) >= 10 AND regexp_matches({0}, '[0-9]') AND regexp_matches({0}, '[A-Za-z]') AND NOT regexp_matches({0}, '[a-z]{{12}}|[A-Z]{{16}}')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS owner FROM documents),
+raw AS (SELECT *, start + length(value) AS stop FROM ({union})),
+base AS (SELECT *, CASE WHEN kind = 'assign' THEN regexp_extract(value, {quote(ASSIGN)}, 2) ELSE value END AS part FROM raw
+  WHERE kind = 'hex' OR (kind = 'access' AND length(value) >= 20) OR (kind = 'assign' AND length(regexp_extract(value, {quote(ASSIGN)}, 2)) >= 6)),
+issued AS (SELECT * FROM raw r WHERE kind = 'issued' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND r.start < b.stop AND b.start < r.stop)),
+opaque AS (SELECT * FROM raw r WHERE kind = 'opaque' AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9].*[0-9].*[0-9]')
+  AND NOT EXISTS (SELECT 1 FROM (SELECT rid, start, stop FROM base UNION ALL SELECT rid, start, stop FROM issued) b WHERE b.rid = r.rid AND r.start < b.stop AND b.start < r.stop)),
+wider AS (SELECT *, value AS part FROM (SELECT * FROM issued UNION ALL SELECT * FROM opaque) WHERE {random_looking.format("value")}),
+cands AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM wider),
+freq AS (SELECT part, count(DISTINCT owner) AS owners FROM cands JOIN d USING (rid) GROUP BY part),
+judged AS (SELECT c.*, owners, owners = 1 AND {random_looking.format("c.part")} AS live FROM cands c JOIN freq f ON f.part = c.part),
+per AS (SELECT rid, count(*) FILTER (is_base AND kind = 'assign') AS n_assign, count(*) FILTER (is_base AND kind = 'access') AS n_access, count(*) FILTER (is_base AND kind = 'hex') AS n_hex,
+    coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (is_base), '') AS base,
+    coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (is_base OR live), '') AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= {COPIED_OWNERS}) AS n_copied
+  FROM judged GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN per USING (rid)
+"""

@@ -39,6 +39,11 @@ def test_base_secrets_against_brute_force(spark, tmp_path):
         base = base_spans(by[r.doc_id] or "")
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b[3] == k for b in base) for k in ("assign", "access", "hex"))
         assert set(filter(None, joined(base).split(","))) <= set(r.spans.split(","))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    cols = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied"]
+    want = con.sql(f"select {', '.join(cols)} from ({secret_scan.op2_sql()})").fetchall()
+    assert sorted(str(tuple(r[c] for c in cols)) for r in out) == sorted(map(str, want))
 
 
 def test_ownership_separates_examples_from_live_values(spark):
