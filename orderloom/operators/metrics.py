@@ -81,3 +81,14 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rule, violations: how many rows break each rule, from one pass."""
     counted = rows.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(name) for name, c in rules.items()])
     return counted.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rules)), F.array(*[F.col(r) for r in rules]))).alias("rule", "violations"))
+
+
+def field_matches(rows: DataFrame, fields: list[str], parsed: str = "parsed") -> DataFrame:
+    """metric, value: how many predictions parse, match in all fields, and match in each (columns f and want_f)."""
+    ok = {f: F.col(parsed) & F.col(f).eqNullSafe(F.col(f"want_{f}")) for f in fields}
+    every = F.lit(True)
+    for c in ok.values():
+        every = every & c
+    rates = {"parse_rate": F.col(parsed), "all_fields": every} | {f"field_{f}": c for f, c in ok.items()}
+    row = rows.agg(*[F.round(F.avg(c.cast("int")), 4).alias(k) for k, c in rates.items()])
+    return row.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rates)), F.array(*[F.col(k) for k in rates]))).alias("metric", "value"))

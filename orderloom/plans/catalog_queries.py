@@ -252,3 +252,39 @@ def hash_embedding(t: Tables) -> DataFrame:
     d = t.documents.where("length(text) < 3000").select("doc_id", tx.tokens(F.lower("text")).alias("w"))
     slots = F.array_sort(F.array_distinct(F.transform("w", lambda w: tx.hash_slot(w))))
     return d.select("doc_id", F.size("w").cast("long").alias("tokens"), F.md5(as_text(slots)).alias("slots"))
+
+
+@query(f"WITH {RETRIEVAL_SQL} SELECT query_id, string_agg(term, ',' ORDER BY length(term) DESC, term) AS terms FROM terms GROUP BY query_id")
+def search_terms(t: Tables) -> DataFrame:
+    return asked(t).select("query_id", as_text(tx.search_terms(F.col("text"))).alias("terms"))
+
+
+@query(f"""WITH q AS (SELECT item_id, {LEXICAL_SQL.format("text")} AS a FROM benchmark WHERE item_id < 5), d AS (SELECT doc_id, {LEXICAL_SQL.format("text")} AS b FROM documents WHERE length(text) < 2000)
+SELECT item_id, doc_id, round(len(list_intersect(a, b))::DOUBLE / len(a), 6) AS overlap FROM q JOIN d ON len(b) > 0 WHERE len(list_intersect(a, b))::DOUBLE / len(a) > 0.05""")
+def lexical_overlap(t: Tables) -> DataFrame:
+    """Overlaps above a twentieth of a handful of queries with all short documents; queries are the broadcast side."""
+    q = t.benchmark.where("item_id < 5").select("item_id", F.col("text").alias("q"))
+    d = t.documents.where("length(text) < 2000").select("doc_id", "text")
+    found = d.join(F.broadcast(q), F.lit(True)).select("item_id", "doc_id", tx.lexical_overlap(F.col("q"), F.col("text")).alias("overlap"))
+    return rounded(found.where("overlap > 0.05"), "overlap")
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS squares, round(e[1] / n, 6) AS first
+FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)""")
+def unit_vectors(t: Tables) -> DataFrame:
+    e = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)
+    return rounded(e.select("vec_id", total.alias("squares"), tx.unit(F.col("e"))[0].alias("first")), "squares", "first")
+
+
+@query(f"""WITH {RETRIEVAL_SQL},
+s AS (SELECT r.query_id, source_id, {LEXICAL_SQL.format("regexp_replace(q.text, '[^a-zA-Z0-9]', ' ', 'g')")} AS qt, {LEXICAL_SQL.format("r.text")} AS bt, q.intent FROM ranked r JOIN asked q USING (query_id)),
+o AS (SELECT query_id, source_id, round(len(list_intersect(list_filter(qt, lambda w: intent <> 'order' OR NOT list_contains(['1'], w)), bt))::DOUBLE / len(list_filter(qt, lambda w: intent <> 'order' OR NOT list_contains(['1'], w))), 6) AS score FROM s)
+SELECT query_id, source_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id) AS p FROM o) WHERE p <= 5 AND score >= 0.3""")
+def rerank_threshold(t: Tables) -> DataFrame:
+    """A scorer's top five, cut before the threshold; the scorer here is lexical overlap."""
+    q, n = asked(t), nodes(t)
+    clean = q.withColumn("text", F.regexp_replace("text", "[^a-zA-Z0-9]", " "))
+    hits = retrieval.cover(retrieval.keyword_hits(q, n))
+    scorer = lambda a, b: F.round(tx.lexical_overlap(a, b), 6)
+    return retrieval.model_rerank(hits, clean, scorer, threshold=0.3).select("query_id", "source_id", "score")

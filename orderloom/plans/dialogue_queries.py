@@ -157,12 +157,12 @@ def json_recovery(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object(tx.json_object(text), "$.k").alias("k"))
 
 
-@query("""SELECT conv_id, turn, len(list_filter(h, lambda x: x <> ''))::INT AS n, md5(array_to_string(h, '|')) AS window_md5 FROM (
+@query("""SELECT conv_id, turn, coalesce(len(h), 0)::INT AS n, coalesce(md5(array_to_string(h, '|')), '') AS window_md5 FROM (
   SELECT conv_id, turn, list(role || ':' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS h FROM conversations)""")
 def trailing_messages(t: Tables) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-lx.HISTORY_WINDOW, -1)
     h = t.conversations.select("conv_id", "turn", F.collect_list(F.concat_ws(":", "role", "text")).over(w).alias("h"))
-    return h.select("conv_id", "turn", F.size("h").alias("n"), F.when(F.size("h") > 0, F.md5(F.array_join("h", "|"))).alias("window_md5"))
+    return h.select("conv_id", "turn", F.size("h").alias("n"), F.when(F.size("h") > 0, F.md5(F.array_join("h", "|"))).otherwise("").alias("window_md5"))
 
 
 @query("""SELECT conv_id, len(s)::INT AS n, array_to_string(CASE WHEN len(s) > 3 THEN [s[1], s[-2], s[-1]] ELSE s END, ' ') AS q FROM (
@@ -174,13 +174,13 @@ def query_segments(t: Tables) -> DataFrame:
     return u.select("conv_id", F.size("s").alias("n"), F.array_join(kept, " ").alias("q"))
 
 
-@query("""SELECT event_id, n - last_value(CASE WHEN event_type = 'purchase' THEN n END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap
+@query("""SELECT event_id, coalesce(n - last_value(CASE WHEN event_type = 'purchase' THEN n END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS gap
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)""")
 def turn_gap(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id")
     e = t.events.withColumn("n", F.row_number().over(w.orderBy("ts", "event_id")).cast("long"))
     last = F.last(F.when(F.col("event_type") == "purchase", F.col("n")), ignorenulls=True).over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    return e.select("event_id", (F.col("n") - last).alias("gap"))
+    return e.select("event_id", F.coalesce(F.col("n") - last, F.lit(-1)).alias("gap"))
 
 
 @query("SELECT conv_id, turn, sum(greatest(1, length(text) // 4)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS tokens FROM conversations")

@@ -180,4 +180,18 @@ def generated_catalog(t: Tables) -> DataFrame:
     return rows.withColumn("entity", F.when(F.col("name").contains("tea"), "tea").otherwise("coffee"))
 
 
+@query("""WITH e AS (SELECT event_id % 7 <> 0 AS p, event_type IN ('click', 'view', 'error') AS a, event_id % 5 <> 1 AS b FROM events)
+SELECT 'parse_rate' AS metric, round(avg(p::INT), 4) AS value FROM e UNION ALL SELECT 'all_fields', round(avg((p AND a AND b)::INT), 4) FROM e
+UNION ALL SELECT 'field_intent', round(avg((p AND a)::INT), 4) FROM e UNION ALL SELECT 'field_k', round(avg((p AND b)::INT), 4) FROM e""")
+def field_metrics(t: Tables) -> DataFrame:
+    """Structured predictions against what was wanted: here one in seven does not parse."""
+    raw = F.when(F.col("event_id") % 7 == 0, "{").otherwise(F.to_json(F.struct(F.col("event_type").alias("intent"), (F.col("event_id") % 5).alias("k"))))
+    rows = t.events.select(
+        F.try_parse_json(raw).isNotNull().alias("parsed"), F.get_json_object(raw, "$.intent").alias("intent"), F.get_json_object(raw, "$.k").alias("k"),
+        F.when(F.col("event_type").isin("click", "view", "error"), F.col("event_type")).otherwise("other").alias("want_intent"),
+        F.when(F.col("event_id") % 5 == 1, "9").otherwise((F.col("event_id") % 5).cast("string")).alias("want_k"),
+    )
+    return metrics.field_matches(rows, ["intent", "k"])
+
+
 assert len(TRUTH) == len(TEMPLATES)
