@@ -34,6 +34,8 @@ TOKEN_LIMIT = 2048
 SLICE = 1 << 20
 CACHED_WORDS = 200_000
 CACHED_LENGTH = 64
+#: Letters that the library lowers otherwise than Python: sigma without regard to its place, and two newer ones.
+LOWER = (("Σ", "σ"), ("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
 
 
 def count_pieces(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -97,7 +99,9 @@ class WordCounter(dict):
 
     def plain(self, text: str) -> int:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = unicodedata.normalize("NFC", text)
+            for upper, lower in LOWER:
+                text = text.replace(upper, lower)
         return sum(map(self.__getitem__, self.words(text.lower())))
 
     def slices(self, text: str):
