@@ -102,7 +102,7 @@ def features(value: Column) -> dict[str, Column]:
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, whose text is not null, with base and wider: arrays of start, end, kind, and the votes and features of each span."""
+    """docs, whose text is not null, with base and wider: arrays of start, end, kind, and the votes and features of each span. These two names are taken: docs must not have them."""
     names = docs.columns
     inner = docs.select(F.struct(*names).alias("doc"), F.col(text).alias("t"))
     found = with_spans(inner, "t", [*BASE, *WIDER])

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm._shared import table, text_of
+from orderloom.llm._shared import free_name, table, text_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -86,7 +86,8 @@ def with_quality(df: DataFrame, text: str = "text", into: str = "quality_rules")
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass the base rules and the compression bands, with their own columns."""
-    return with_quality(docs, into="_rules").where("_rules.kept").select(*docs.columns)
+    rules = free_name(docs, "_rules")
+    return with_quality(docs, into=rules).where(F.col(f"{rules}.kept")).select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

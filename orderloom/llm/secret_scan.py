@@ -86,7 +86,10 @@ def ownership(cands: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """docs and: base, an array of spans; live, the spans taken for live credentials (of all kinds); n_copied, spans with copied examples."""
+    """docs and: base, an array of spans; live, the spans taken for live credentials (of all kinds); n_copied, spans with copied examples.
+
+    docs must not have columns of these three names; redact() takes any.
+    """
     names = docs.columns
     inner = docs.select(F.struct(*names).alias("doc"), text_of(text).alias("_text"), F.col(owner).alias("owner"), F.col(repository).alias("repository"))
     found = candidates(inner)

@@ -30,7 +30,7 @@ def test_bands(spark):
     noise = "".join(chr(rng.randint(0x21, 0x7E)) for _ in range(20000))
     noise = " ".join(noise[i : i + 300] for i in range(0, len(noise), 300))
     loop = " ".join(f"{w} row" for w in ["same"] * 900) + " " + " ".join(map(str, range(500)))
-    df = spark.createDataFrame([(1, prose, 1), (2, noise, 1), (3, loop, 1), (4, None, 1), (5, "", 1), (None, prose, 1)], "doc_id long, text string, kept int")
+    df = spark.createDataFrame([(1, prose, 1), (2, noise, 1), (3, loop, 1), (4, None, 1), (5, "", 1), (None, prose, 1)], "doc_id long, text string, _rules int")
     kept = quality.keep_good(df)
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
