@@ -24,7 +24,7 @@ from orderloom.llm._shared import WORD, materialize, table, text_of
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
-ROWS_IN_RANGE = 20_000
+ROWS_IN_RANGE = 2_000
 
 
 def size_of(text: str) -> Column:
