@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm._shared import materialize, table, text_of
-from orderloom.llm.spans import Kind, apart_from, listed, with_spans
+from orderloom.llm.spans import Kind, apart_from, listed, once, with_spans
 
 
 def digits(v: Column) -> Column:
@@ -116,8 +116,11 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     def judged(s: Column) -> Column:
         lead = F.substring(F.col("t"), F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(F.lit(BEFORE), s["start"]))
         tail = F.substring(F.col("t"), s["end"] + 1, F.lit(1))
-        given = {**votes(s["kind"], s["value"], lead, tail), **features(s["value"])}
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), *[c.cast("int").alias(n) for n, c in given.items()])
+        def described(around: Column) -> Column:
+            given = {**votes(s["kind"], s["value"], around["lead"], around["tail"]), **features(s["value"])}
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), *[c.cast("int").alias(n) for n, c in given.items()])
+
+        return once({"lead": lead, "tail": tail}, described)
 
     return found.select("doc.*", F.transform("base", judged).alias("base"), F.transform("wider", judged).alias("wider"))
 

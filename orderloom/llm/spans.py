@@ -26,6 +26,11 @@ class Kind(NamedTuple):
     keep: Callable[[Column], Column] | None = None
 
 
+def once(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """body of the values, each worked out a single time however often body uses it."""
+    return F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), lambda v: body(v))[0]
+
+
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 
