@@ -35,3 +35,33 @@ def test_bands(spark):
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
     assert quality.with_quality(df.limit(0)).count() == 0
+
+
+def words_of(rng, letters, size):
+    text = ""
+    while len(text) < size:
+        text += "".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) + " "
+    return text[:size]
+
+
+def test_bands_reject_short_texts_tails_and_parts():
+    rng, compress = random.Random(5), zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    junk = lambda n: words_of(rng, [chr(c) for c in range(0x21, 0x7F)], n)
+    prose = lambda n: words_of(rng, "etaoinshr", n)
+    kept = lambda t: quality.judge(t, compress)[-1]
+    for size in (450, 900, 1500, 3000, 8191, 20000):
+        failed, *_, ok = quality.judge(junk(size), compress)[5:]
+        assert not failed and not ok, size
+    assert all(kept(prose(n)) for n in (8191, 12000, 20000))
+    assert not kept(prose(4900) + junk(3291)) and not kept(prose(12000) + junk(8000))
+    # Repeats in one part and noise in another leave the whole in its band, but not the chunks.
+    mixed = prose(11000) + junk(3000) + ("the same line once more and again, " * 200)[:5000]
+    *_, failed, ratio, out, ok = quality.judge(mixed, compress)
+    assert not failed and quality.in_band(len(mixed), len(compress(mixed.encode()))) and out > quality.MAX_CHUNKS_OUT and not ok
+
+
+def test_chunks_hold_every_byte():
+    for n in (0, 1, 1024, 2047, 2048, 3071, 8191, 10001):
+        raw = bytes(i % 251 for i in range(n))
+        parts = quality.chunks_of(raw)
+        assert b"".join(parts) == (raw if n >= 2048 else b"") and all(1024 <= len(p) <= 1536 for p in parts)
