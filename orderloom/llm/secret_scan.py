@@ -3,8 +3,12 @@
 Patterns give candidates: three base kinds, which are always reported, and two
 wider ones. Candidate values are hashed, and their hashes are counted over the
 whole corpus by distinct repositories and owners. A value that several owners
-hold is a copied example; one that a single owner holds and that looks random is
-taken for a live credential. Spans of the wider kinds are reported only then.
+hold is a copied example; one that looks random and is not copied is taken for a
+live credential. Which are copied and live is for a rule over both counts to
+say. redact() goes by_both(): what many repositories hold is copied too, though
+few owners do, and everything below is live. The query's oracle SQL fixes
+by_owners(): a single owner's values are live, and those of two neither. Spans
+of the wider kinds are reported only where live.
 
 Documents without candidates, nearly all, are never shuffled. The counts are
 pre-aggregated by (value, owner, repository), so a value that a third of all
@@ -18,6 +22,8 @@ documents' own columns come back under their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +46,8 @@ WIDER = (
 MARK = "[SECRET]"
 #: Values that this many owners hold are copied examples.
 COPIED_OWNERS = 3
+#: Values that so many repositories of fewer owners hold are copied examples too.
+COPIED_REPOSITORIES = 10
 
 
 def secret_part(kind: Column, value: Column) -> Column:
@@ -79,16 +87,27 @@ def candidates(docs: DataFrame, text: str = "_text") -> DataFrame:
     return found.select(*names, "base", wider.alias("wider"))
 
 
+def by_owners(owners: Column, repositories: Column) -> tuple[Column, Column]:
+    """Whether a value is copied, and whether it is live if it looks random: by owners alone."""
+    return owners >= COPIED_OWNERS, owners == 1
+
+
+def by_both(owners: Column, repositories: Column) -> tuple[Column, Column]:
+    """The same by owners and repositories; what is not copied is live, values of two owners included."""
+    copied = (owners >= COPIED_OWNERS) | (repositories >= COPIED_REPOSITORIES)
+    return copied, ~copied
+
+
 def ownership(cands: DataFrame) -> DataFrame:
     """hash, owners and repositories of candidate hashes; cands: hash, owner, repository."""
     seen = cands.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
     return seen.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """docs and: base, an array of spans; live, the spans taken for live credentials (of all kinds); n_copied, spans with copied examples.
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", rule: Callable[[Column, Column], tuple[Column, Column]] = by_owners) -> DataFrame:
+    """docs and: base, an array of spans; live, the spans taken for live credentials (of all kinds); n_copied, spans with copied examples; held, for each candidate its place and the owners and repositories of its value.
 
-    docs must not have columns of these three names; redact() takes any.
+    docs must not have columns of these four names; redact() takes any.
     """
     names = docs.columns
     inner = docs.select(F.struct(*names).alias("doc"), text_of(text).alias("_text"), F.col(owner).alias("owner"), F.col(repository).alias("repository"))
@@ -102,25 +121,27 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository:
     value = F.sha2(secret_part(F.col("span.kind"), F.col("span.value")), 256)
     cands = kept.select("rid", "owner", "repository", span).withColumn("hash", value)
     freq = ownership(cands.select("hash", "owner", "repository"))
-    judged = cands.select("rid", "span", "hash").join(freq.select("hash", "owners"), "hash", "left")
-    live = (F.col("owners") == 1) & looks_random(secret_part(F.col("span.kind"), F.col("span.value")))
+    judged = cands.select("rid", "span", "hash").join(freq, "hash", "left")
+    copied, single = rule(F.col("owners"), F.col("repositories"))
+    live = single & looks_random(secret_part(F.col("span.kind"), F.col("span.value")))
     by_doc = judged.groupBy("rid").agg(
         F.array_sort(F.collect_list(F.when(live, F.col("span")))).alias("live"),
-        F.count(F.when(F.col("owners") >= COPIED_OWNERS, True)).alias("n_copied"),
+        F.count(F.when(copied, True)).alias("n_copied"),
+        F.array_sort(F.collect_list(F.struct("span.start", "span.end", "owners", "repositories"))).alias("held"),
     )
-    some = kept.join(by_doc, "rid").select("doc.*", "base", "live", "n_copied")
+    some = kept.join(by_doc, "rid").select("doc.*", "base", "live", "n_copied", "held")
     empty = F.filter("base", lambda s: F.lit(False))
-    none = found.where(~hit).select("doc.*", "base", empty.alias("live"), F.lit(0).cast("long").alias("n_copied"))
+    none = found.where(~hit).select("doc.*", "base", empty.alias("live"), F.lit(0).cast("long").alias("n_copied"), F.array().cast(some.schema["held"].dataType).alias("held"))
     return none.unionByName(some)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents, with live credentials replaced by MARK; copied examples and everything else stay."""
-    clash = {"base": "base_", "live": "live_", "n_copied": "n_copied_"}
+    """The documents, with live credentials (by both counts) replaced by MARK; copied examples and everything else stay."""
+    clash = {"base": "base_", "live": "live_", "n_copied": "n_copied_", "held": "held_"}
     renamed = docs.select(*[F.col(c).alias(clash.get(c, c)) for c in docs.columns])
     back = {v: k for k, v in clash.items()}
     text = F.when(F.size("live") > 0, masked(text_of("text"), F.col("live"), MARK)).otherwise(F.col("text"))
-    return scan(renamed).select(*[text.alias("text") if c == "text" else F.col(c).alias(back.get(c, c) if back.get(c) in docs.columns else c) for c in renamed.columns])
+    return scan(renamed, rule=by_both).select(*[text.alias("text") if c == "text" else F.col(c).alias(back.get(c, c) if back.get(c) in docs.columns else c) for c in renamed.columns])
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

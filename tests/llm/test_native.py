@@ -60,6 +60,22 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert secret_scan.redact(df.limit(0)).count() == 0
 
 
+def test_redaction_judges_by_owners_and_repositories(spark):
+    value = lambda n: "ghp_" + hashlib.sha256(str(n).encode()).hexdigest().upper()[:30] + "zx9"
+    many = secret_scan.COPIED_REPOSITORIES
+    held = {"two owners": [("a", 1), ("b", 2)], "one owner, some": [("a", i) for i in range(10, 9 + many)], "one owner, many": [("a", i) for i in range(100, 100 + many)],
+            "two owners, many": [("ab"[i % 2], i) for i in range(200, 200 + many)], "three owners": [("a", 300), ("b", 301), ("c", 302)]}
+    rows = [(i, f"x {value(k)} y", s, k) for k, places in held.items() for s, i in places] + [(1, f"x {value('two owners')} y", "a", "two owners")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, held string")
+    masked = {k: {r.text for r in secret_scan.redact(df).collect() if r.held == k} for k in held}
+    for k in ("two owners", "one owner, some"):
+        assert masked[k] == {"x [SECRET] y"}, k
+    for k in ("one owner, many", "two owners, many", "three owners"):
+        assert masked[k] == {f"x {value(k)} y"}, k
+    counts = {r.kind: {(h.owners, h.repositories) for h in r.held} for r in secret_scan.scan(df.withColumnRenamed("held", "kind"), rule=secret_scan.by_both).collect()}
+    assert counts == {k: {(len({s for s, _ in p}), len(p))} for k, p in held.items()}
+
+
 def test_many_matches_keep_their_places(spark, monkeypatch):
     monkeypatch.setattr(spans, "BLOCK", 3)
     text = "é12 3\U0001f60045,6 78 9 0" * 5
