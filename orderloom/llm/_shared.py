@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,9 +30,44 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; only sessions that name none, as in tests, get a local one."""
+    """The folder that every executor can reach: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    A session that names neither, as in tests, gets a local one if its executors are local too.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "/tmp/checkpoints").rstrip("/")
+    if not found:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = named.get() if named.isDefined() else None
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "/tmp/checkpoints"
+    return found.rstrip("/")
+
+
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that materialize() writes inside this block are deleted at its end, but for those kept with keep()."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Hands a materialized table to the next outer scratch() block, or to nobody."""
+    name = _folder(df).rsplit("/", 1)[-1]
+    for at, paths in enumerate(_open):
+        for path in [p for p in paths if p.endswith(f"/{name}")]:
+            paths.remove(path)
+            if at:
+                _open[at - 1].append(path)
+    return df
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -42,13 +79,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def _folder(df: DataFrame) -> str:
+    return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a materialized DataFrame that nothing reads any more."""
-    jvm = spark._jvm
-    for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if df.inputFiles():
+        _delete(spark, _folder(df))

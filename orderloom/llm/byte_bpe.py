@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm._shared import table, text_of
+from orderloom.llm.letters import Splitter
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SLICE = 1 << 20
-CACHED_PIECES = 200_000
+CACHED_PIECES = 400_000
 CACHED_LENGTH = 64
 
 
@@ -118,7 +119,7 @@ class Codec(dict):
         lines = (line.split() for line in open(path, "rb"))
         self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.pieces = regex.compile(pattern).findall
+        self.pieces = Splitter(pattern)
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
 
     def __missing__(self, piece: str) -> bytes:

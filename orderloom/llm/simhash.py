@@ -3,11 +3,13 @@
 A document's fingerprint has 64 bits from the XXH64 values of its three-word
 shingles. Two fingerprints within three bits differ in at most three of their
 eight bytes, so they share at least five bytes by position: the guaranteed
-minimum. Any five of eight positions hold three of the first four or three of
-the last four, so the inverted index lists distinct fingerprints under the byte
-values of those eight triples of positions. Within a posting list, shared
-positional bytes are tallied for each pair, pairs below five are dropped, and the
-rest are verified bit by bit.
+minimum. Postings are byte values by position. A posting of one byte would hold a 256th of
+the corpus and more, so the index is keyed by three postings at once: any five of
+eight positions hold three of the first four or three of the last four, eight
+triples in all, and a pair with five shared postings meets under one of them with a
+tally of three. Inside such a list the postings of the other five positions are
+walked: every two entries of a posting get one more on their tally, so pairs come
+from postings alone. Pairs whose tally reaches five are kept and verified bit by bit.
 
 Documents with equal fingerprints are one entry of the index. Posting lists of
 one entry are dropped before any pairing. Longer ones are dealt into blocks of
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm._shared import materialize, table, text_of
+from orderloom.llm._shared import free_name, materialize, table, text_of
 from orderloom.llm.components import SALTS, components
 
 SHINGLE = 3
@@ -39,8 +41,10 @@ SEED = 42
 BITS = 3
 BYTES_SHARED = 8 - BITS
 TRIPLES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3), (4, 5, 6), (4, 5, 7), (4, 6, 7), (5, 6, 7))
-#: Fingerprints of a posting list in a block; a task pairs two blocks at most.
-BLOCK = 1024
+#: For each triple, the other five positions.
+OTHERS = np.array([[p for p in range(8) if p not in t] for t in TRIPLES])
+#: Fingerprints of a list in a block; a task pairs two blocks at most. Shared postings that a task tallies at a time.
+BLOCK, PAIRS = 1024, 1 << 18
 STEP = 1 << 16
 
 
@@ -68,36 +72,58 @@ def with_fingerprint(df: DataFrame, text: str = "text", into: str = "fp") -> Dat
     return df.withColumn(into, fingerprints(text_of(text)))
 
 
-def forest(fps: np.ndarray, lists: np.ndarray) -> np.ndarray:
+def pairs_within(groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every two places (i < j, some hundred thousand at a time) with equal numbers in groups."""
+    order = np.argsort(groups, kind="stable")
+    sorted_ = groups[order]
+    left, step, held, n = np.arange(len(order)), 1, [], 0
+    while len(left := left[left + step < len(order)]) and len(left := left[sorted_[left] == sorted_[left + step]]):
+        held.append((order[left], order[left + step]))
+        n, step = n + len(left), step + 1
+        if n >= PAIRS:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            held, n = [], 0
+    if held:
+        yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+
+
+def candidates(fps: np.ndarray, lists: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places i * len(fps) + j of pairs of one list whose tally of shared postings reaches BYTES_SHARED.
+
+    lists numbers the lists, key names each entry's triple: three shared postings. The other five are tallied here.
+    """
+    n = len(fps)
+    parts = fps.view(np.uint8).reshape(n, 8).astype(np.int64)  # column i is byte i from the lowest
+    others = OTHERS[key >> 24]
+    tally, pairs = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for column in range(others.shape[1]):
+        for i, j in pairs_within(lists * 256 + np.take_along_axis(parts, others[:, column : column + 1], axis=1)[:, 0]):
+            found, times = np.unique(np.concatenate([pairs, i * n + j]), return_inverse=True)
+            tally = np.bincount(times, weights=np.concatenate([tally, np.ones(len(i))]), minlength=len(found)).astype(np.int64)
+            pairs = found
+    return pairs[tally + 3 >= BYTES_SHARED]
+
+
+def forest(fps: np.ndarray, lists: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Pairs of indices that connect, within each run of equal list numbers, what links of BITS or fewer bits connect."""
     n = len(fps)
-    parent = np.arange(n)
-    parts = fps.view(np.uint8).reshape(n, 8)
+    parent = list(range(n))
 
     def root(i: int) -> int:
         while parent[i] != i:
+            parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    left, step = np.arange(n - 1), 1
-    while len(left):
-        left = left[left + step < n]
-        left = left[lists[left] == lists[left + step]]
-        right = left + step
-        apart = parent[left] != parent[right]
-        a, b = left[apart], right[apart]
-        shared = (parts[a] == parts[b]).sum(axis=1)  # the tally of shared positional bytes
-        a, b = a[shared >= BYTES_SHARED], b[shared >= BYTES_SHARED]
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= BITS
-        for i, j in zip(a[near].tolist(), b[near].tolist()):
-            i, j = sorted((root(i), root(j)))
-            parent[j] = i
-        if near.any():
-            while not np.array_equal(parent, up := parent[parent]):
-                parent = up
-        step += 1
-    child = np.flatnonzero(parent != np.arange(n))
-    return np.stack([child, parent[child]], axis=1)
+    pairs = candidates(fps, lists, key)
+    i, j = pairs // n, pairs % n
+    near = np.bitwise_count(fps[i] ^ fps[j]) <= BITS
+    for a, b in zip(i[near].tolist(), j[near].tolist()):
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    up = np.array(parent, dtype=np.int64)
+    child = np.flatnonzero(up != np.arange(n))
+    return np.stack([child, up[child]], axis=1)
 
 
 def forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +133,7 @@ def forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
         fps = rows["fp"].to_numpy(dtype=np.int64).view(np.uint64)
         lists = rows.groupby(["key", "low", "high"], sort=False).ngroup().to_numpy()
-        found = forest(np.ascontiguousarray(fps), lists)
+        found = forest(np.ascontiguousarray(fps), lists, rows["key"].to_numpy(dtype=np.int64))
         ids = fps.view(np.int64)
         return pd.DataFrame({"u": ids[found[:, 0]], "v": ids[found[:, 1]]})
 
@@ -136,11 +162,18 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return pairs.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInPandas(forests, "u long, v long")
 
 
+def with_root(rows: DataFrame) -> DataFrame:
+    """rows (with fp, read more than once) and root, the least fingerprint that links reach."""
+    fps = materialize(rows.select("fp").distinct(), "fingerprints")
+    roots = components(links(fps)).withColumnRenamed("node", "fp")
+    labels = materialize(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+    return rows.join(labels, "fp")
+
+
 def with_component(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """rows (with doc_id and fp, read more than once) and component_id, the least doc_id that links reach."""
-    first = materialize(rows.groupBy("fp").agg(F.min(doc_id).alias("first")), "fingerprints")
-    roots = components(links(first.select("fp"))).withColumnRenamed("node", "fp")
-    named = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = rows.groupBy("fp").agg(F.min(doc_id).alias("first"))
+    named = materialize(with_root(materialize(first, "fingerprint-ids")), "fingerprint-roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     named = named.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
@@ -149,12 +182,18 @@ def with_component(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the least id; documents without an id get one from their text for this."""
-    own = [F.col(c) for c in docs.columns]
-    rows = docs.select(F.struct(*own).alias("doc"), F.coalesce("doc_id", F.xxhash64("text").bitwiseOR(F.lit(1 << 62))).alias("id"), text_of("text").alias("t"))
-    narrow = materialize(with_fingerprint(rows.select("id", "t"), "t").select("id", "fp"), "simhash")
-    kept = with_component(narrow, "id").where("id = component_id").select("id").distinct()
-    return rows.select("id", "doc").join(kept, "id").dropDuplicates(["id"]).select("doc.*")
+    """One row of each component: that of the least id, rows without an id last, and of rows with that id any one.
+
+    Rows are told apart by a key of their own, written once with them, so neither equal ids nor equal rows matter.
+    What is decided travels in narrow rows; the documents are read once more for a semi-join with the kept keys.
+    """
+    own, row = [F.col(c) for c in docs.columns], free_name(docs, "_row")
+    keyed = materialize(docs.select(*own, F.monotonically_increasing_id().alias(row)), "keyed")
+    narrow = materialize(with_fingerprint(keyed.select(F.col(row).alias("row"), "doc_id", "text"), "text").select("row", "doc_id", "fp"), "simhash")
+    first = narrow.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    rooted = with_root(materialize(first, "fingerprint-rows"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return keyed.join(materialize(kept, "kept-rows"), row, "left_semi").select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,14 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm._shared import table, text_of
+from orderloom.llm.letters import Splitter, lowered
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 SLICE = 1 << 20
 CACHED_WORDS = 200_000
 CACHED_LENGTH = 64
-#: Letters that the library lowers otherwise than Python: sigma without regard to its place, and two newer ones.
-LOWER = (("Σ", "σ"), ("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
 
 
 def count_pieces(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -82,7 +81,7 @@ class WordCounter(dict):
         self.end = spec["model"]["end_of_word_suffix"] or ""
         self.letters = byte_letters()
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
+        self.words = Splitter(split["pattern"]["Regex"])
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True))))
         self.space = regex.compile(r"\s")
@@ -100,9 +99,7 @@ class WordCounter(dict):
     def plain(self, text: str) -> int:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-            for upper, lower in LOWER:
-                text = text.replace(upper, lower)
-        return sum(map(self.__getitem__, self.words(text.lower())))
+        return sum(map(self.__getitem__, self.words(lowered(text))))
 
     def slices(self, text: str):
         at = 0

@@ -111,5 +111,34 @@ def test_documents(spark, tmp_path):
     assert sorted(str((r.doc_id, r.fingerprint, r.component_id)) for r in out) == want
     kept = simhash.one_of_each(df)
     assert kept.columns == df.columns
-    assert kept.count() == len(set(root.values()))
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(ids.get(x)) for x in set(root.values()))
     assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_equal_ids_of_other_texts_are_kept(spark):
+    texts = ["one two three four five six seven", "alpha beta gamma delta epsilon", "red green blue yellow black white", "x y z x y z a b c"]
+    rows = [(7, texts[0], "k"), (7, texts[1], "k"), (7, texts[0], "k"), (None, texts[2], "k"), (None, texts[0], "k"), (-3, texts[3], "k"), (None, texts[3], "z"), (9, texts[3], "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text, r._row) for r in kept.collect()), key=str) == sorted([(7, texts[0], "k"), (7, texts[1], "k"), (None, texts[2], "k"), (-3, texts[3], "k")], key=str)
+
+
+def test_tally_of_postings_against_plain_counts(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    rng, fps, lists, keys = random.Random(9), [], [], []
+    for n, t in enumerate(simhash.TRIPLES * 2):
+        base = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 25)):
+            x = base
+            for p in range(8):
+                if p not in t and rng.random() < 0.6:
+                    x = x & ~(255 << 8 * p) | rng.choice([1, 2, 3]) << 8 * p
+            fps.append(x)
+            lists.append(n)
+            keys.append((n % 8) << 24)
+    u = np.array(fps, dtype=np.uint64)
+    got = {(p // len(u), p % len(u)) for p in simhash.candidates(u, np.array(lists), np.array(keys)).tolist()}
+    byte = lambda x: [x >> 8 * p & 255 for p in range(8)]
+    want = {(i, j) for j in range(len(fps)) for i in range(j) if lists[i] == lists[j] and sum(a == b for a, b in zip(byte(fps[i]), byte(fps[j]))) >= 5}
+    assert {tuple(sorted(p)) for p in got} == want and len(got) == len(want)

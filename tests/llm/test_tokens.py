@@ -4,9 +4,9 @@ import random
 
 import public_tokenizers
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
-from orderloom.llm import byte_bpe, token_counts
+from orderloom.llm import byte_bpe, letters, token_counts
 
 ODD = [
     "", " ", "a", "Hello, World's   café", "ΑΣ ΣΑΣ Σ", "İstanbul", "ȩ́ ẛ̣", "x\x1cy\x1dz\x85w v u​q",
@@ -28,6 +28,33 @@ def test_counts_equal_the_library():
         assert ours.count(t) == len(library.encode(t, add_special_tokens=False).ids), repr(t)
 
 
+CHARS = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+
+
+def test_every_letter_as_the_libraries_know_it():
+    """Classes and lower forms of all code points, and the newer ones in several places of a text."""
+    single, low = {bytes([i]): i for i in range(256)}, normalizers.Lowercase()
+    for pattern in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]"):
+        other, ours = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=single, special_tokens={}), letters.Splitter(pattern)
+        split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        for i in range(0, len(CHARS), 3000):
+            text = "".join(CHARS[i : i + 3000])
+            found = "".join(ours(text))
+            assert found.encode() == bytes(other.encode_ordinary(text)) and found == "".join(p for p, _ in split.pre_tokenize_str(text)), (pattern, i)
+    for i in range(0, len(CHARS), 3000):
+        text = "a".join(CHARS[i : i + 3000])
+        assert letters.lowered(text) == low.normalize_str(text)
+    path, bpe = public_tokenizers.path(token_counts.VOCABULARY), public_tokenizers.path(byte_bpe.VOCABULARY)
+    library, ours, codec = Tokenizer.from_file(path), token_counts.WordCounter(path), byte_bpe.Codec(bpe, public_tokenizers.PATTERN)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe, "rb"))}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    newer = [c for c in CHARS if letters.Splitter.newer.match(c) or letters.UPPER.match(c)]
+    for c in newer[:200] + newer[200::200]:
+        for text in (f"ab{c}cd", f"1{c}2 {c}'s", f" {c}", f"!{c}!{c}{c}Σ"):
+            assert ours.count(text) == len(library.encode(text, add_special_tokens=False).ids), (hex(ord(c)), text)
+            assert list(byte_bpe.array("I", codec.encode(text))) == other.encode_ordinary(text), (hex(ord(c)), text)
+
+
 def test_counts_in_slices(monkeypatch):
     ours = token_counts.WordCounter(public_tokenizers.path(token_counts.VOCABULARY))
     text = " ".join(texts())
