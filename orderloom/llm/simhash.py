@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm._shared import free_name, materialize, table, text_of
+from orderloom.llm._shared import each, free_name, materialize, table, text_of
 from orderloom.llm.components import SALTS, components
 
 SHINGLE = 3
@@ -44,7 +44,7 @@ TRIPLES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3), (4, 5, 6), (4, 5, 7), (4,
 #: For each triple, the other five positions.
 OTHERS = np.array([[p for p in range(8) if p not in t] for t in TRIPLES])
 #: Fingerprints of a list in a block; a task pairs two blocks at most. Shared postings that a task tallies at a time.
-BLOCK, PAIRS = 1024, 1 << 18
+BLOCK, PAIRS = 1024, 1 << 19
 STEP = 1 << 16
 
 
@@ -72,58 +72,53 @@ def with_fingerprint(df: DataFrame, text: str = "text", into: str = "fp") -> Dat
     return df.withColumn(into, fingerprints(text_of(text)))
 
 
-def pairs_within(groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every two places (i < j, some hundred thousand at a time) with equal numbers in groups."""
-    order = np.argsort(groups, kind="stable")
-    sorted_ = groups[order]
-    left, step, held, n = np.arange(len(order)), 1, [], 0
-    while len(left := left[left + step < len(order)]) and len(left := left[sorted_[left] == sorted_[left + step]]):
-        held.append((order[left], order[left + step]))
-        n, step = n + len(left), step + 1
-        if n >= PAIRS:
-            yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-            held, n = [], 0
-    if held:
-        yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-
-
-def candidates(fps: np.ndarray, lists: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Places i * len(fps) + j of pairs of one list whose tally of shared postings reaches BYTES_SHARED.
-
-    lists numbers the lists, key names each entry's triple: three shared postings. The other five are tallied here.
-    """
+def postings(fps: np.ndarray, lists: np.ndarray, key: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the five positions outside an entry's triple: entries in order of their postings, each entry's place there, and how many follow it in its posting."""
     n = len(fps)
-    parts = fps.view(np.uint8).reshape(n, 8).astype(np.int64)  # column i is byte i from the lowest
-    others = OTHERS[key >> 24]
-    tally, pairs = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    parts, others = fps.view(np.uint8).reshape(n, 8), OTHERS[key >> 24]  # column i is byte i from the lowest
+    found = []
     for column in range(others.shape[1]):
-        for i, j in pairs_within(lists * 256 + np.take_along_axis(parts, others[:, column : column + 1], axis=1)[:, 0]):
-            found, times = np.unique(np.concatenate([pairs, i * n + j]), return_inverse=True)
-            tally = np.bincount(times, weights=np.concatenate([tally, np.ones(len(i))]), minlength=len(found)).astype(np.int64)
-            pairs = found
-    return pairs[tally + 3 >= BYTES_SHARED]
+        posting = lists * 256 + parts[np.arange(n), others[:, column]]
+        order = np.argsort(posting, kind="stable")
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        found.append((order, place, np.searchsorted(posting[order], posting, "right") - place - 1))
+    return found
+
 
+def forest(fps: np.ndarray, lists: np.ndarray, key: np.ndarray, on_tally=None) -> np.ndarray:
+    """Pairs of indices that connect, within each list, what links of BITS or fewer bits connect.
 
-def forest(fps: np.ndarray, lists: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Pairs of indices that connect, within each run of equal list numbers, what links of BITS or fewer bits connect."""
+    lists numbers the lists; key names each entry's triple, three shared postings. The other five are tallied here, for
+    so many entries at a time that their postings give PAIRS pairs; pairs that are connected by then are not tallied.
+    """
     n = len(fps)
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    pairs = candidates(fps, lists, key)
-    i, j = pairs // n, pairs % n
-    near = np.bitwise_count(fps[i] ^ fps[j]) <= BITS
-    for a, b in zip(i[near].tolist(), j[near].tolist()):
-        a, b = sorted((root(a), root(b)))
-        parent[b] = a
-    up = np.array(parent, dtype=np.int64)
-    child = np.flatnonzero(up != np.arange(n))
-    return np.stack([child, up[child]], axis=1)
+    index, parent, first = postings(fps, lists, key), np.arange(n), 0
+    ends = np.cumsum(sum(follow for _, _, follow in index))
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
+        shared = []
+        for order, place, follow in index:
+            i, j = np.repeat(np.arange(first, last), follow[first:last]), order[each(place[first:last] + 1, follow[first:last])]
+            apart = parent[i] != parent[j]
+            shared.append(i[apart] * n + j[apart])
+        pairs, tally = np.unique(np.concatenate(shared), return_counts=True)
+        pairs = pairs[tally + 3 >= BYTES_SHARED]
+        if on_tally is not None:
+            on_tally(pairs)
+        i, j = pairs // n, pairs % n
+        near = np.bitwise_count(fps[i] ^ fps[j]) <= BITS
+        for a, b in zip(i[near].tolist(), j[near].tolist()):
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            parent[max(a, b)] = min(a, b)
+        while near.any() and not np.array_equal(parent, up := parent[parent]):
+            parent = up
+        first = last
+    child = np.flatnonzero(parent != np.arange(n))
+    return np.stack([child, parent[child]], axis=1)
 
 
 def forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -137,8 +137,22 @@ def test_tally_of_postings_against_plain_counts(monkeypatch):
             fps.append(x)
             lists.append(n)
             keys.append((n % 8) << 24)
-    u = np.array(fps, dtype=np.uint64)
-    got = {(p // len(u), p % len(u)) for p in simhash.candidates(u, np.array(lists), np.array(keys)).tolist()}
+    u, tallied = np.array(fps, dtype=np.uint64), []
+    monkeypatch.setattr(simhash, "BITS", -1)  # nothing gets connected, so every pair is tallied
+    simhash.forest(u, np.array(lists), np.array(keys), lambda pairs: tallied.extend(pairs.tolist()))
+    got = {(p // len(u), p % len(u)) for p in tallied}
     byte = lambda x: [x >> 8 * p & 255 for p in range(8)]
     want = {(i, j) for j in range(len(fps)) for i in range(j) if lists[i] == lists[j] and sum(a == b for a, b in zip(byte(fps[i]), byte(fps[j]))) >= 5}
-    assert {tuple(sorted(p)) for p in got} == want and len(got) == len(want)
+    assert {tuple(sorted(p)) for p in got} == want and len(tallied) == len(want)
+
+
+def test_large_dense_lists_stay_small(monkeypatch):
+    """Lists of near copies: the forest connects what all pairs would."""
+    rng, base = random.Random(4), 0x0123456789ABCDEF
+    fps = sorted({base ^ sum(1 << b for b in rng.sample(range(40), rng.randint(0, 3))) for _ in range(1500)})
+    u = np.array(fps, dtype=np.uint64)
+    near = [(i, j) for i in range(len(u)) for j in (np.flatnonzero(np.bitwise_count(u[i] ^ u[i + 1 :]) <= 3) + i + 1).tolist()]
+    monkeypatch.setattr(simhash, "TRIPLES", ((5, 6, 7),))
+    monkeypatch.setattr(simhash, "OTHERS", np.array([[0, 1, 2, 3, 4]]))
+    found = simhash.forest(u, np.zeros(len(u), dtype=np.int64), np.zeros(len(u), dtype=np.int64)).tolist()
+    assert roots_of(range(len(u)), found) == roots_of(range(len(u)), near)
