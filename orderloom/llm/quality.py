@@ -1,8 +1,8 @@
 """Quality rules: base word statistics and compression bands.
 
 A text's zstandard ratio (bytes over compressed bytes less the frame's own) is
-taken over the whole text and over chunks, into which texts of two chunks and
-more are dealt evenly, the tail included. The band depends on the length: a
+taken over the whole text and over chunks, into which every text is dealt evenly,
+the tail included; a text below two chunks is one. The band depends on the length: a
 ratio above it marks repetitive text, one below it incompressible text. A text
 is rejected if the whole is out of its band, or if more than a quarter of its
 chunks are. The zstd_ratio returned is that of all bytes, frame included.
@@ -25,7 +25,7 @@ from orderloom.llm._shared import free_name, table, text_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Chunks have this many bytes to half more.
+#: Chunks have this many bytes to twice as many; a shorter text is one chunk.
 CHUNK_BYTES = 1024
 MAX_CHUNKS_OUT = 0.25
 LEVEL = 3
@@ -59,9 +59,9 @@ def in_band(size: int, packed: int) -> bool:
 
 
 def chunks_of(raw: bytes) -> list[bytes]:
-    """Even chunks that hold every byte; none for texts below two chunks."""
-    n = len(raw) // CHUNK_BYTES
-    return [raw[i * len(raw) // n : (i + 1) * len(raw) // n] for i in range(n)] if n > 1 else []
+    """Even chunks that hold every byte."""
+    n = max(1, len(raw) // CHUNK_BYTES)
+    return [raw[i * len(raw) // n : (i + 1) * len(raw) // n] for i in range(n)]
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -92,7 +92,8 @@ def judge(text: str, compress) -> tuple:
     failed = len(words) < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(words)
     packed = len(compress(raw))
     chunks = chunks_of(raw)
-    out = sum(not in_band(len(c), len(compress(c))) for c in chunks) / max(len(chunks), 1)
+    sizes = [packed] if len(chunks) == 1 else [len(compress(c)) for c in chunks]
+    out = sum(not in_band(len(c), n) for c, n in zip(chunks, sizes)) / len(chunks)
     return (
         len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeat,
         failed, len(raw) / packed, out, not failed and in_band(len(raw), packed) and out <= MAX_CHUNKS_OUT,

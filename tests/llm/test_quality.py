@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import numpy as np
 import zstandard
 
 from orderloom.llm import quality
@@ -61,7 +63,52 @@ def test_bands_reject_short_texts_tails_and_parts():
 
 
 def test_chunks_hold_every_byte():
-    for n in (0, 1, 1024, 2047, 2048, 3071, 8191, 10001):
+    for n in (0, 1, 1023, 1024, 2047, 2048, 3071, 5000, 8191, 10001):
         raw = bytes(i % 251 for i in range(n))
         parts = quality.chunks_of(raw)
-        assert b"".join(parts) == (raw if n >= 2048 else b"") and all(1024 <= len(p) <= 1536 for p in parts)
+        assert b"".join(parts) == raw and all(min(n, 1024) <= len(p) < 2048 for p in parts)
+
+
+def plain_verdict(text, rates):
+    """Limits by interpolation over a table of every octave, chunks cut one by one; rates: ratio of some bytes."""
+    def limits(n):
+        x = math.log2(max(n, 1))
+        at = [math.log2(b) for b, *_ in quality.BANDS]
+        return np.interp(x, at, [b[1] for b in quality.BANDS]), np.interp(x, at, [b[2] for b in quality.BANDS])
+
+    def fits(raw):
+        low, high = limits(len(raw))
+        return low - 1e-12 <= rates(raw) <= high + 1e-12
+
+    raw = text.encode()
+    n, bounds = max(1, len(raw) // 1024), []
+    for i in range(n + 1):
+        bounds.append(len(raw) * i // n)
+    chunks = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+    out = sum(not fits(c) for c in chunks)
+    return out / n, fits(raw) and 4 * out <= n
+
+
+def test_bands_against_a_plain_version():
+    rng, packer = random.Random(6), zstandard.ZstdCompressor(level=quality.LEVEL)
+    empty = len(packer.compress(b""))
+    rates = lambda raw: len(raw) / max(len(packer.compress(raw)) - empty, 1)
+    kinds = [lambda n: words_of(rng, "etaoinshr", n), lambda n: words_of(rng, [chr(c) for c in range(0x21, 0x7F)], n), lambda n: ("again and again, " * n)[:n], lambda n: words_of(rng, "éüßaeiou漢", n)]
+    seen = set()
+    for _ in range(300):
+        text = "".join(rng.choice(kinds)(int(rng.paretovariate(0.7) * 60) % 30_000) for _ in range(rng.randint(1, 4)))
+        *_, failed, ratio, out, kept = quality.judge(text, packer.compress)
+        want_out, fits = plain_verdict(text, rates)
+        assert (out, kept) == (want_out, not failed and fits)
+        assert abs(ratio - (len(text.encode()) / len(packer.compress(text.encode())))) < 1e-12
+        seen.add((failed, kept, out > 0))
+    assert len(seen) >= 4
+    for size, low, high in quality.BANDS:  # at a band's edge a ratio is still in
+        assert quality.limits(size) == (low, high)
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    rng = random.Random(7)
+    text = words_of(rng, "etaoinshr", 2_000_000)
+    rows = quality.with_quality(spark.createDataFrame([(1, text), (1, text), (2, "x" * 1_000_000)], "doc_id long, text string"), into="r").select("doc_id", "r.*").collect()
+    assert rows[0] == rows[1] and rows[0].n_words == len(text.split()) and rows[2].n_words == 1 and rows[2].base_failed
