@@ -2,28 +2,24 @@
 
 Patterns give candidates: three base kinds, which are always reported, and two
 wider ones. Candidate values are hashed, and their hashes are counted over the
-whole corpus by distinct repositories and owners. A value that several owners
-hold is a copied example; one that looks random and is not copied is taken for a
-live credential. Which are copied and live is for a rule over both counts to
-say. redact() goes by_both(): what many repositories hold is copied too, though
-few owners do, and everything below is live. The query's oracle SQL fixes
-by_owners(): a single owner's values are live, and those of two neither. Spans
-of the wider kinds are reported only where live.
-
-Documents without candidates, nearly all, are never shuffled. The counts are
+whole corpus by distinct owners and by distinct repositories (of each owner). A
+value that COPIED_OWNERS owners or COPIED_REPOSITORIES repositories hold is a copied
+example; any other that looks random is taken for a live credential, values of two
+owners included. Spans of the wider kinds are reported only where live.
+
+Texts are searched once: spans of all rows are written, and judging reads those.
+Rows without candidates, nearly all, are never shuffled. The counts are
 pre-aggregated by (value, owner, repository), so a value that a third of all
 documents hold arrives as one row per task, and the join that carries them back
 is a plain one that Spark can split where it is skewed.
 
 Null text has no spans. Null owners and repositories count as one of their own.
-Repeated rows are scanned each. Only the named columns are read, and the
-documents' own columns come back under their names.
+Repeated rows are scanned each. redact() gives the documents' own columns back
+under any names; scan() adds the four columns it states.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,15 +83,9 @@ def candidates(docs: DataFrame, text: str = "_text") -> DataFrame:
     return found.select(*names, "base", wider.alias("wider"))
 
 
-def by_owners(owners: Column, repositories: Column) -> tuple[Column, Column]:
-    """Whether a value is copied, and whether it is live if it looks random: by owners alone."""
-    return owners >= COPIED_OWNERS, owners == 1
-
-
-def by_both(owners: Column, repositories: Column) -> tuple[Column, Column]:
-    """The same by owners and repositories; what is not copied is live, values of two owners included."""
-    copied = (owners >= COPIED_OWNERS) | (repositories >= COPIED_REPOSITORIES)
-    return copied, ~copied
+def is_copied(owners: Column, repositories: Column) -> Column:
+    """Whether a value is a copied example, by both counts."""
+    return (owners >= COPIED_OWNERS) | (repositories >= COPIED_REPOSITORIES)
 
 
 def ownership(cands: DataFrame) -> DataFrame:
@@ -104,63 +94,54 @@ def ownership(cands: DataFrame) -> DataFrame:
     return seen.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", rule: Callable[[Column, Column], tuple[Column, Column]] = by_owners) -> DataFrame:
-    """docs and: base, an array of spans; live, the spans taken for live credentials (of all kinds); n_copied, spans with copied examples; held, for each candidate its place and the owners and repositories of its value.
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", with_text: bool = True) -> DataFrame:
+    """docs (without text, if so asked) and: base, an array of spans; live, the spans taken for live credentials (of all kinds); n_copied, spans with copied examples; held, for each candidate its place and the owners and repositories of its value.
 
     docs must not have columns of these four names; redact() takes any.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if with_text or c != text]
     inner = docs.select(F.struct(*names).alias("doc"), text_of(text).alias("_text"), F.col(owner).alias("owner"), F.col(repository).alias("repository"))
-    found = candidates(inner)
-    hit = F.size(F.concat("base", "wider")) > 0
-    kept = materialize(
-        found.where(hit).select("doc", "owner", "repository", "base", F.concat("base", "wider").alias("spans"), F.monotonically_increasing_id().alias("rid")),
-        "secret-hits",
-    )
+    found = candidates(inner).select("doc", "owner", "repository", "base", F.concat("base", "wider").alias("spans"), F.monotonically_increasing_id().alias("rid"))
+    found = materialize(found, "secret-spans")
+    kept = found.where(F.size("spans") > 0)
     span = F.explode("spans").alias("span")
     value = F.sha2(secret_part(F.col("span.kind"), F.col("span.value")), 256)
     cands = kept.select("rid", "owner", "repository", span).withColumn("hash", value)
     freq = ownership(cands.select("hash", "owner", "repository"))
     judged = cands.select("rid", "span", "hash").join(freq, "hash", "left")
-    copied, single = rule(F.col("owners"), F.col("repositories"))
-    live = single & looks_random(secret_part(F.col("span.kind"), F.col("span.value")))
+    copied = is_copied(F.col("owners"), F.col("repositories"))
+    live = ~copied & looks_random(secret_part(F.col("span.kind"), F.col("span.value")))
     by_doc = judged.groupBy("rid").agg(
         F.array_sort(F.collect_list(F.when(live, F.col("span")))).alias("live"),
         F.count(F.when(copied, True)).alias("n_copied"),
         F.array_sort(F.collect_list(F.struct("span.start", "span.end", "owners", "repositories"))).alias("held"),
     )
-    some = kept.join(by_doc, "rid").select("doc.*", "base", "live", "n_copied", "held")
+    some = kept.select("rid", "doc", "base").join(by_doc, "rid").select("doc.*", "base", "live", "n_copied", "held")
     empty = F.filter("base", lambda s: F.lit(False))
-    none = found.where(~hit).select("doc.*", "base", empty.alias("live"), F.lit(0).cast("long").alias("n_copied"), F.array().cast(some.schema["held"].dataType).alias("held"))
+    none = found.where(F.size("spans") == 0).select("doc.*", "base", empty.alias("live"), F.lit(0).cast("long").alias("n_copied"), F.array().cast(some.schema["held"].dataType).alias("held"))
     return none.unionByName(some)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents, with live credentials (by both counts) replaced by MARK; copied examples and everything else stay."""
-    clash = {"base": "base_", "live": "live_", "n_copied": "n_copied_", "held": "held_"}
-    renamed = docs.select(*[F.col(c).alias(clash.get(c, c)) for c in docs.columns])
-    back = {v: k for k, v in clash.items()}
-    text = F.when(F.size("live") > 0, masked(text_of("text"), F.col("live"), MARK)).otherwise(F.col("text"))
-    return scan(renamed, rule=by_both).select(*[text.alias("text") if c == "text" else F.col(c).alias(back.get(c, c) if back.get(c) in docs.columns else c) for c in renamed.columns])
+    """The documents, with live credentials replaced by MARK; copied examples and everything else stay."""
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    found = scan(docs.select(*[F.col(c).alias(n) for c, n in own.items()]), own["text"], own["source"], own["doc_id"])
+    text = F.when(F.size("live") > 0, masked(text_of(own["text"]), F.col("live"), MARK)).otherwise(F.col(own["text"]))
+    return found.select(*[(text if c == "text" else F.col(n)).alias(c) for c, n in own.items()])
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = scan_digest(docs)
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), with_text=False)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     all_ = F.array_sort(F.array_union("base", "live"))
+    held = F.transform("held", lambda h: F.concat_ws(":", h["start"], h["end"], h["owners"], h["repositories"]))
     return found.select(
         "doc_id", *[count(k.name) for k in BASE],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(all_).alias("spans"),
-        F.size("live").cast("long").alias("n_live"), "n_copied",
+        F.size("live").cast("long").alias("n_live"), "n_copied", F.array_join(held, ",").alias("held"),
     )
 
 
-def scan_digest(docs: DataFrame) -> DataFrame:
-    """scan() of doc_id, text and source, whose rows drop the text."""
-    return scan(docs).drop("text")
-
-
 def op2_sql() -> str:
     """The same result in DuckDB SQL."""
     quote = lambda p: "'" + p.replace("'", "''").replace("}+", "}") + "'"
@@ -184,14 +165,16 @@ opaque AS (SELECT * FROM raw r WHERE kind = 'opaque' AND regexp_matches(value, '
   AND NOT EXISTS (SELECT 1 FROM (SELECT rid, start, stop FROM base UNION ALL SELECT rid, start, stop FROM issued) b WHERE b.rid = r.rid AND r.start < b.stop AND b.start < r.stop)),
 wider AS (SELECT *, value AS part FROM (SELECT * FROM issued UNION ALL SELECT * FROM opaque) WHERE {random_looking.format("value")}),
 cands AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM wider),
-freq AS (SELECT part, count(DISTINCT owner) AS owners FROM cands JOIN d USING (rid) GROUP BY part),
-judged AS (SELECT c.*, owners, owners = 1 AND {random_looking.format("c.part")} AS live FROM cands c JOIN freq f ON f.part = c.part),
+freq AS (SELECT part, count(DISTINCT owner) AS owners, count(DISTINCT (owner, coalesce(doc_id::VARCHAR, '-'))) AS repositories FROM cands JOIN d USING (rid) GROUP BY part),
+told AS (SELECT c.*, owners, repositories, owners >= {COPIED_OWNERS} OR repositories >= {COPIED_REPOSITORIES} AS copied FROM cands c JOIN freq f ON f.part = c.part),
+judged AS (SELECT c.*, NOT copied AND {random_looking.format("c.part")} AS live FROM told c),
 per AS (SELECT rid, count(*) FILTER (is_base AND kind = 'assign') AS n_assign, count(*) FILTER (is_base AND kind = 'access') AS n_access, count(*) FILTER (is_base AND kind = 'hex') AS n_hex,
     coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (is_base), '') AS base,
     coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (is_base OR live), '') AS spans,
-    count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= {COPIED_OWNERS}) AS n_copied
+    count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied,
+    string_agg(start || ':' || stop || ':' || owners || ':' || repositories, ',' ORDER BY start, stop, owners, repositories) AS held
   FROM judged GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(held, '') AS held
 FROM d LEFT JOIN per USING (rid)
 """

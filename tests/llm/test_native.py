@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from orderloom.llm import mixing, secret_scan, spans, url_filter
 from orderloom.llm.spans import Kind
@@ -30,6 +31,7 @@ def secret_texts(n=300):
 
 def test_base_secrets_against_brute_force(spark, tmp_path):
     rows = [(i, t, f"s{i % 7}") for i, t in enumerate(secret_texts())] + [(900, None, None), (900, None, None), (None, "token=abcdef", "s1"), (901, "", "s2")]
+    rows += [(902, "x" * 200_000 + " secret=" + "aB3" * 30_000 + "0a1b" * 20_000 + " é AKIA" + "Z9" * 40_000, "s1")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     out = secret_scan.op2_secret_scan(spark, str(tmp_path)).collect()
     want = sorted((str(i), hashlib.sha256(joined(base_spans(t or "")).encode()).hexdigest()) for i, t, _ in rows)
@@ -41,7 +43,7 @@ def test_base_secrets_against_brute_force(spark, tmp_path):
         assert set(filter(None, joined(base).split(","))) <= set(r.spans.split(","))
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    cols = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied"]
+    cols = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied", "held"]
     want = con.sql(f"select {', '.join(cols)} from ({secret_scan.op2_sql()})").fetchall()
     assert sorted(str(tuple(r[c] for c in cols)) for r in out) == sorted(map(str, want))
 
@@ -49,7 +51,7 @@ def test_base_secrets_against_brute_force(spark, tmp_path):
 def test_ownership_separates_examples_from_live_values(spark):
     live, copied = "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vX7zA9cE1gH3jK5", "ghp_" + "Z9yX7wV5uT3sR1qP9oN7mL5kJ3iH1gF9eD7c"
     rows = [(1, f"x {live} y", "a", 1)] + [(i, f"é {copied} z", f"o{i}", 1) for i in range(2, 7)] + [(9, "clean text", "a", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, base int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, base int").withColumn("base_", F.lit(2)).withColumn("rid", F.lit(3))
     found = {r.doc_id: r for r in secret_scan.scan(df.drop("base")).collect()}
     assert [s.value for s in found[1].live] == [live] and found[1].n_copied == 0
     assert found[2].live == [] and found[2].n_copied == 1 and len(found) == 7
@@ -72,7 +74,7 @@ def test_redaction_judges_by_owners_and_repositories(spark):
         assert masked[k] == {"x [SECRET] y"}, k
     for k in ("one owner, many", "two owners, many", "three owners"):
         assert masked[k] == {f"x {value(k)} y"}, k
-    counts = {r.kind: {(h.owners, h.repositories) for h in r.held} for r in secret_scan.scan(df.withColumnRenamed("held", "kind"), rule=secret_scan.by_both).collect()}
+    counts = {r.kind: {(h.owners, h.repositories) for h in r.held} for r in secret_scan.scan(df.withColumnRenamed("held", "kind")).collect()}
     assert counts == {k: {(len({s for s, _ in p}), len(p))} for k, p in held.items()}
 
 

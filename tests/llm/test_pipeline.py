@@ -18,22 +18,24 @@ def pyhash(doc_id, text):
 
 
 def redacted(docs):
-    """Base spans whose value a single source holds and that looks random are masked."""
+    """Base spans whose value few sources and documents hold and that looks random are masked."""
     found = {}
     for i, t, s in docs:
         spans = [(m.start(), m.end(), m[2]) for m in re.finditer(secret_scan.ASSIGN, t) if len(m[2]) >= 6]
         spans += [(*m.span(), m[0]) for m in re.finditer("AKIA[A-Z0-9]{16,}", t)] + [(*m.span(), m[0]) for m in re.finditer("[0-9a-f]{24,}", t)]
         found[i] = sorted(spans)
-    owners = {}
+    owners, repositories = {}, {}
     for i, _, s in docs:
         for *_, v in found[i]:
             owners.setdefault(v, set()).add(s)
+            repositories.setdefault(v, set()).add((s, i))
+    few = lambda v: len(owners[v]) < secret_scan.COPIED_OWNERS and len(repositories[v]) < secret_scan.COPIED_REPOSITORIES
     random_looking = lambda v: len(set(v)) >= 10 and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and not re.search("[a-z]{12}|[A-Z]{16}", v)
     out = []
     for i, t, s in docs:
         parts, at = [], 0
         for a, b, v in found[i]:
-            if len(owners[v]) == 1 and random_looking(v):
+            if few(v) and random_looking(v):
                 if a >= at:
                     parts += [t[at:a], "[SECRET]"]
                 at = max(at, b)
