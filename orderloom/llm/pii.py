@@ -42,9 +42,9 @@ BASE = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", None, lambda v: F.length(digits(v)).between(13, 19) & F.call_function("luhn_check", digits(v))),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+"), lambda v: F.length(digits(v)).between(9, 15)),
 )
-STREETS = "Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square"
+STREETS = "Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|Terrace|Place|Crescent|Highway|Parkway|Close|Row|Mews|Quay"
 WIDER = (
-    Kind("at_email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++", lambda t: t.rlike(r"[\[(]at[\])]")),
+    Kind("at_email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++", lambda t: t.rlike(r"[\[(]at[\])]")),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     Kind("tel", r"(?<![0-9+(.-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"),
@@ -55,38 +55,54 @@ KINDS = [k.name for k in (*BASE, *WIDER)]
 LABELERS = ("shape", "gazetteer", "context", "edges")
 FEATURES = ("digits_9", "capital", "long_16", "spaced")
 #: Gazetteers: common given names, top-level domains, countries of account numbers.
-NAMES = "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Maria Anna Peter Hans Klaus Pierre Marie Jean Sophie Juan Carlos Carmen Luis Ana".split()
-DOMAINS = "com org net edu gov io de fr es uk eu info".split()
-COUNTRIES = "AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split()
+NAMES = (
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Lisa Daniel Nancy "
+    "Matthew Betty Anthony Sandra Mark Margaret Donald Ashley Steven Emily Andrew Michelle Paul Amanda Joshua Melissa Kenneth Laura Kevin Amy Brian Anna George Emma Peter Helen "
+    "Maria Hans Klaus Jürgen Wolfgang Ursula Petra Monika Stefan Andreas Sabine Pierre Marie Jean Sophie Philippe Isabelle Luc Claire Juan Carlos Carmen Luis Ana José Pilar Javier "
+    "Giulia Marco Paolo Francesca Giovanni Ahmed Fatima Mohammed Aisha Omar Wei Li Yuki Hiroshi Kenji Priya Raj Anil Ivan Olga Dmitri Natalia Anders Ingrid Lars Nguyen Linh Minh"
+).split()
+DOMAINS = "com org net edu gov mil int io co ai app dev biz info name de at ch fr be nl lu es pt it gr uk ie eu us ca mx br ar au nz jp cn kr in sg vn se no dk fi pl cz hu ro ru ua tr za".split()
+COUNTRIES = "AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO RS SA SE SI SK SM TR UA".split()
 FOR = r"\b(?:e-?mail|mail|contact|reach|write|call|phone|tel|mobile|fax|card|visa|credit|account|iban|ssn|social security|ip|address|name|lives? at|born|patient|customer)\b"
 AGAINST = r"\b(?:version|ver|v|isbn|issn|order|invoice|part|sku|ref|figure|fig|table|section|chapter|page|build|release|serial)\b"
 BEFORE = 40
 ROUNDS = 12
 
 
+def iban_checks(value: Column) -> Column:
+    """Length and check digits of an account number: the rest of 97 is 1 with the first four characters last and letters as 10 to 35."""
+    bare = F.regexp_replace(value, " ", "")
+    turned = F.split(F.concat(F.substring(bare, 5, 34), F.substring(bare, 1, 4)), "")
+    step = lambda n, c: (n * F.when(c.rlike("[A-Z]"), 100).otherwise(10) + F.coalesce(F.conv(c, 36, 10).cast("int"), F.lit(0))) % 97
+    return F.length(bare).between(15, 34) & (F.aggregate(turned, F.lit(0), step) == 1)
+
+
 def votes(kind: Column, value: Column, before: Column, after: Column) -> dict[str, Column]:
     """Each labeler's vote: 1, -1 or 0."""
     sign = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
-    base = kind.isin([k.name for k in BASE])
     nine = digits(value)
-    bad = (
-        ((kind == "ssn") & value.rlike("^(?:000|666|9)|-00-|-0000$"))
-        | ((kind == "tel") & ~nine.rlike("^[2-9][0-9]{2}[2-9]"))
-        | ((kind == "iban") & ~F.length(F.regexp_replace(value, " ", "")).between(15, 34))
-    )
-    known = (
-        (kind.isin("email", "at_email") & F.lower(F.regexp_extract(value, "([A-Za-z0-9-]+)$", 1)).isin(DOMAINS))
-        | ((kind == "iban") & F.substring(value, 1, 2).isin(COUNTRIES))
-        | ((kind == "name") & value.rlike(rf"\b(?:{'|'.join(NAMES)})\b"))
-        | ((kind == "card") & nine.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"))
-        | ((kind == "phone") & nine.rlike("^(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"))
-    )
-    reserved = (kind == "ip") & value.rlike(r"^(?:0|127|255)\.")
+    strict = {
+        "ssn": ~value.rlike("^(?:000|666|9)|-00-|-0000$"),
+        "tel": nine.rlike("^[2-9][0-9]{2}[2-9]"),
+        "iban": iban_checks(value),
+        **dict.fromkeys((k.name for k in BASE), F.lit(True)),
+    }
+    strict_ = F.coalesce(*[F.when(kind == k, c) for k, c in strict.items()])  # null for kinds that have no stricter shape than their pattern
+    known = {
+        "email": F.lower(F.regexp_extract(value, "([A-Za-z0-9-]+)$", 1)).isin(DOMAINS),
+        "at_email": F.lower(F.regexp_extract(value, "([A-Za-z0-9-]+)$", 1)).isin(DOMAINS),
+        "iban": F.substring(value, 1, 2).isin(COUNTRIES),
+        "name": value.rlike(rf"(?<!\p{{L}})(?:{'|'.join(NAMES)})(?!\p{{L}})"),
+        "card": nine.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"),
+        "phone": nine.rlike("^(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"),
+        "ip": ~value.rlike(r"^(?:0|127|255)\."),
+    }
+    listed_ = F.coalesce(*[F.when(kind == k, c) for k, c in known.items()])  # null for kinds without a gazetteer
     words = F.lower(before)
     glued = before.rlike(r"[A-Za-z0-9=/_#]$") | after.rlike(r"^[A-Za-z0-9=/_]")
     return {
-        "shape": sign(base | ~bad, bad),
-        "gazetteer": sign(known, reserved),
+        "shape": sign(strict_, ~strict_),
+        "gazetteer": sign(listed_, ~listed_),
         "context": sign(words.rlike(FOR), words.rlike(AGAINST)),
         "edges": sign(~glued, glued),
     }
@@ -150,7 +166,7 @@ def posterior(prior: dict[str, float], reliability: dict[str, tuple[float, float
 def indicators() -> dict[str, Column]:
     """The classifier's inputs."""
     found = {f"{n}_for": F.col(n) == 1 for n in LABELERS} | {f"{n}_against": F.col(n) == -1 for n in LABELERS}
-    return found | {n: F.col(n) == 1 for n in FEATURES}
+    return found | {n: F.col(n) == 1 for n in FEATURES} | {f"kind_{k}": F.col("kind") == k for k in KINDS}
 
 
 def fit(found: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -183,14 +199,25 @@ def fit(found: DataFrame, rounds: int = ROUNDS) -> Model:
 
 
 def accepted(model: Model, span: Column) -> Column:
-    """Whether the classifier takes a span for personal data; it needs a labeler's positive evidence besides the shape."""
-    at = lambda name: (
-        (span[name.removesuffix("_for")] == 1) if name.endswith("_for") else (span[name.removesuffix("_against")] == -1) if name.endswith("_against") else (span[name] == 1)
-    )
+    """Whether the classifier takes a span for personal data."""
+
+    def is_set(name: str) -> Column:
+        if name.startswith("kind_"):
+            return span["kind"] == name.removeprefix("kind_")
+        if name.endswith("_for"):
+            return span[name.removesuffix("_for")] == 1
+        return span[name.removesuffix("_against")] == -1 if name.endswith("_against") else span[name] == 1
+
     score = F.lit(model.bias)
     for name, (yes, no) in model.weights.items():
-        score = score + F.when(at(name), yes).otherwise(no)
-    return (score >= 0) & ((span["context"] == 1) | (span["gazetteer"] == 1))
+        score = score + F.when(is_set(name), yes).otherwise(no)
+    return score >= 0
+
+
+def report(spark: SparkSession, model: Model) -> DataFrame:
+    """labeler, and how often it votes for true and for false candidates where it votes."""
+    rows = [F.struct(F.lit(n).alias("labeler"), F.lit(t).alias("for_true"), F.lit(f).alias("for_false")) for n, (t, f) in model.reliability.items()]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def with_personal_data(found: DataFrame, model: Model) -> DataFrame:
@@ -208,5 +235,5 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k.name) for k in BASE],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.concat("base", F.array_sort("wider"))).alias("spans"),
-        F.size("wider").cast("long").alias("n_wider"),
+        F.size("wider").cast("long").alias("n_wider"), (F.size("base") + F.size("wider")).cast("long").alias("n_spans"),
     )

@@ -58,6 +58,50 @@ def test_weak_supervision_on_labelled_spans(spark):
     assert true_rate > 0.8 > false_rate
 
 
+def planted(rng):
+    """kind, whether true, words before, span, words after."""
+    n = lambda k: "".join(str(rng.randint(0, 9)) for _ in range(k))
+    name, far = rng.choice(["Anna", "Hans", "Mary", "Luis"]), rng.choice(["Blorp", "Quux", "Zandt"])
+    good = rng.random() < 0.6
+    plain = rng.random() < 0.1  # words that say nothing
+    lead = lambda yes, no: rng.choice(["then"] if plain else yes if good else no) + " "
+    kind = rng.choice(["at_email", "ssn", "iban", "tel", "name", "street"])
+    if kind == "at_email":
+        return (kind, True, lead(["mail me at", "contact"], ["mail"]), f"{far.lower()}{n(2)} [at] site.{rng.choice(['com', 'de', 'org'])}", ".") if good else (kind, False, "see ref ", f"{far.lower()} [at] step.{n(2)}x", "")
+    if kind == "ssn":
+        return kind, good, lead(["her ssn", "social security no is", "the patient"], ["part", "invoice", "order"]), f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}" if good else f"9{n(2)}-00-{n(4)}", " and"
+    if kind == "iban":
+        land, body = rng.choice(["DE", "FR", "GB"]) if good else rng.choice(["XQ", "GB"]), f"NWBK{n(4)}{n(4)}{n(2)}"
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{land}00")) % 97
+        check = check if good else (check + rng.randint(1, 50)) % 97
+        whole = f"{land}{check:02d}{body}"
+        return kind, good, lead(["account", "iban"], ["serial", "sku"]), " ".join(whole[i : i + 4] for i in range(0, len(whole), 4)), ","
+    if kind == "tel":
+        return kind, good, lead(["call", "my phone:", "tel"], ["order", "part no"]), f"{rng.randint(200, 989)}-{rng.randint(200, 999)}-{n(4)}" if good else f"0{n(2)}-{n(3)}-{n(4)}", " now"
+    if kind == "name":
+        return kind, good, lead(["the customer", "patient", "address of"], ["chapter", "figure"]), f"Dr. {name} {far}" if good else f"Dr. {far}", " is"
+    return kind, good, lead(["he lives at", "address:", "born at"], ["section", "page"]), f"{rng.randint(1, 999)} {far} {rng.choice(['Street', 'Road', 'Lane'])}", " here"
+
+
+def test_every_wider_kind(spark):
+    """Precision and recall over planted spans of all wider kinds, and of each."""
+    rng = random.Random(12)
+    cases = [planted(rng) for _ in range(900)]
+    rows = [(i, f"words {lead}{span}{after} more words") for i, (_, _, lead, span, after) in enumerate(cases)] + [(2000, None), (2001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = pii.with_candidates(df)
+    model = pii.fit(found)
+    got = {(r.doc_id, s.start, s.end, s.kind) for r in pii.with_personal_data(found, model).collect() for s in r.wider}
+    want = {(i, 6 + len(lead), 6 + len(lead) + len(span), kind) for i, (kind, good, lead, span, _) in enumerate(cases) if good}
+    hit = len(got & want)
+    assert hit >= 0.95 * len(want) and hit >= 0.95 * len(got), (hit, len(want), len(got))
+    for kind in ("at_email", "ssn", "iban", "tel", "name", "street"):
+        w, g = ({x for x in s if x[3] == kind} for s in (want, got))
+        assert len(w & g) >= 0.9 * len(w) and len(w & g) >= 0.85 * len(g), (kind, len(w & g), len(w), len(g))
+    rates = {r.labeler: (r.for_true, r.for_false) for r in pii.report(spark, model).collect()}
+    assert rates == model.reliability and rates["context"][0] > rates["context"][1]
+
+
 def test_posterior_against_plain_arithmetic(spark):
     prior, reliability = {"ssn": 0.4}, {"shape": (0.9, 0.2), "context": (0.7, 0.1)}
     row = spark.createDataFrame([("ssn", 1, -1)], "kind string, shape int, context int").select(pii.posterior(prior, reliability).alias("p")).first()
