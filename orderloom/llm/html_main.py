@@ -2,18 +2,24 @@
 
 A page becomes a tree of elements, with the end tags that HTML lets authors leave
 out implied. Parts that are never article text (menus, page headers, footers,
-sidebars, notices, adverts, forms, scripts, comments) are pruned by tag, role and
-class. Paragraphs pass points for their length and their commas to their
-ancestors, less to farther ones, and each ancestor's score is discounted by its
-link density. The best container is kept, with those of its siblings that score
-or read like article text.
-
-Row-wise and without a shuffle. Null and empty pages give an empty text. Nothing
-is capped; other columns are untouched, and repeated rows each get their text.
+sidebars, notices, adverts, forms, scripts) are pruned by tag, role and hidden
+attributes. Class and id names are only evidence: whole names are judged, bad ones
+are weighed against good ones, and what they speak against is pruned unless it holds
+most of the page's unlinked text; reader comments are pruned however long.
+Paragraphs pass points for their length and their commas to their ancestors, less
+to farther ones, and each ancestor's score is discounted by its link density. The
+best container is kept, with those of its siblings that score or read like article
+text.
+
+Row-wise and without a shuffle. Null and empty pages give an empty text. No text is
+dropped by length or number; elements nested deeper than NEST are read as siblings,
+which changes where they belong and nothing else. Other columns are untouched, and
+repeated rows each get their text.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 
@@ -24,7 +30,8 @@ from pyspark.sql import functions as F
 from orderloom.llm._shared import table, text_of
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)""", re.S)
-NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: An attribute with its value, so that names inside values are not taken for attributes.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -41,12 +48,18 @@ ENDS = {
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PRUNED = frozenset("head nav aside footer form button select dialog template svg math canvas object audio video menu search".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-#: Words of class and id names that mark what is not the article.
+#: Words of class and id names that mark what is not the article, at the end of a name, or at its start before a mere holder.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar rail menu navbar nav navigation breadcrumb breadcrumbs "
     "footer masthead topbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription social share sharing related recommended "
     "comment comments disqus respond replies pagination pager widget login signup paywall toolbar skip".split()
 )
+HOLDERS = frozenset(
+    "area bar block body bottom box button buttons col column container content count group heading icon icons inner item items left link links list outer panel "
+    "posts right row section slot stories text thread title top unit wrap wrapper zone".split()
+)
+MODIFIERS = frozenset("has with without no not is js show hide".split())
+COMMENTS = frozenset("comment comments disqus respond replies".split())
 GOOD = frozenset("article body content entry main page post story text blog".split())
 ARTICLE = frozenset(("article", "main"))
 CONTAINERS = frozenset("# body article main section div center td th table details dialog fieldset".split())
@@ -55,37 +68,48 @@ NEST = 512
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "names", "score", "chars", "linked", "commas", "cut")
+    __slots__ = ("tag", "parent", "parts", "names", "score", "chars", "linked", "commas", "cut", "marked")
 
     def __init__(self, tag, parent, names=""):
         self.tag, self.parent, self.names = tag, parent, names
         self.parts = []
-        self.score, self.chars, self.linked, self.commas, self.cut = 0.0, 0, 0, 0, False
+        self.score, self.chars, self.linked, self.commas, self.cut, self.marked = 0.0, 0, 0, 0, False, False
+
+
+@functools.lru_cache(maxsize=10_000)
+def words_of(name: str) -> tuple[str, ...]:
+    return tuple(re.findall("[a-z]+", re.sub("(?<=[a-z])(?=[A-Z])", " ", name).lower()))
 
 
-def marks(names: str) -> set[str]:
-    return set(re.findall("[a-z]+", re.sub("(?<=[a-z])(?=[A-Z])", " ", names).lower()))
+@functools.lru_cache(maxsize=10_000)
+def standing(name: str, inside: bool) -> int:
+    """-1 for a class or id name that marks what is not the article, 1 for one that marks the article, else 0."""
+    words = words_of(name)
+    if words and words[0] not in MODIFIERS:
+        header = words[-1] == "header" and not inside and (len(words) == 1 or words[0] in ("site", "page", "top", "global"))
+        if words[-1] in MARKS or header or words[0] in MARKS and all(w in MARKS or w in HOLDERS for w in words[1:]):
+            return -1
+    return 1 if words and words[0] not in MODIFIERS and not GOOD.isdisjoint(words) else 0
 
 
-def unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element is pruned, and the text of its class and id."""
+def unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether an element is pruned, whether its names speak against it, and its names."""
     if tag in PRUNED or tag == "header" and not inside:
-        return True, ""
+        return True, False, ""
     if not attributes or tag in ("html", "body"):
-        return False, ""
+        return False, False, ""
     names = []
-    for name, *values in NAMED.findall(attributes):
+    for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "role":
             if value.lower() in ROLES:
-                return True, ""
+                return True, False, ""
         elif name == "hidden" or name == "aria-hidden":
             if name == "hidden" or value.lower() == "true":
-                return True, ""
-        else:
-            names.append(value)
-    text = " ".join(names)
-    return bool(text and tag not in ARTICLE and marks(text) & MARKS and not marks(text) & {"article", "main"}), text
+                return True, False, ""
+        elif name in ("class", "id"):
+            names += value.split()
+    return False, tag not in ARTICLE and sum(standing(n, inside) for n in names) < 0, " ".join(names)
 
 
 def tree(page: str) -> list[Node]:
@@ -139,9 +163,9 @@ def tree(page: str) -> list[Node]:
                 ended({"p"}, {"td", "th", "caption", "button"})
             if tag in ENDS:
                 ended(*ENDS[tag])
-        cut, names = unwanted(tag, m[3], inside > 0)
+        cut, marked, names = unwanted(tag, m[3], inside > 0)
         node = Node(tag, stack[-1], names)
-        node.cut = cut or node.parent.cut
+        node.cut, node.marked = cut or node.parent.cut, marked
         node.parent.parts.append(node)
         nodes.append(node)
         if tag not in VOID and not m[3].endswith("/") and len(stack) < NEST:
@@ -177,9 +201,10 @@ def lines(tops: list[Node]) -> list[str]:
     return out
 
 
-def weigh(nodes: list[Node]) -> None:
-    """Text lengths, link lengths and commas of each element, children before parents; then points for ancestors."""
+def measure(nodes: list[Node]) -> None:
+    """Text lengths, link lengths and commas of each element, children before parents."""
     for node in reversed(nodes):
+        node.chars = node.linked = node.commas = 0
         if node.cut:
             continue
         for part in node.parts:
@@ -192,6 +217,23 @@ def weigh(nodes: list[Node]) -> None:
                 node.commas += part.commas
         if node.tag == "a":
             node.linked = node.chars
+
+
+def prune(nodes: list[Node]) -> None:
+    """Cuts what its names speak against, unless it holds most of the unlinked text; comments in any case."""
+    if not any(n.marked for n in nodes):
+        return
+    most = (nodes[0].chars - nodes[0].linked) / 2
+    for node in nodes:
+        if node.parent is not None and node.parent.cut:
+            node.cut = True
+        elif node.marked and not node.cut:
+            node.cut = node.chars - node.linked <= most or any(not COMMENTS.isdisjoint(words_of(n)) for n in node.names.split())
+    measure(nodes)
+
+
+def weigh(nodes: list[Node]) -> None:
+    """Points of paragraphs for their ancestors."""
     holders = {id(n.parent) for n in nodes if n.tag in BLOCK and not n.cut}
     for node in nodes:
         if node.cut or not node.chars or node.tag in HEADINGS:
@@ -209,12 +251,14 @@ def density(node: Node) -> float:
 
 
 def value(node: Node) -> float:
-    bonus = 25 * (node.tag in ARTICLE) + 25 * bool(node.names and marks(node.names) & GOOD)
+    bonus = 25 * (node.tag in ARTICLE) + 25 * any(standing(n, True) > 0 for n in node.names.split())
     return (node.score + bonus) * (1 - density(node))
 
 
 def main_text(page: str) -> str:
     nodes = tree(page)
+    measure(nodes)
+    prune(nodes)
     weigh(nodes)
     open_ = [n for n in nodes if not n.cut and n.chars and n.tag in CONTAINERS and (n.score or n.tag in ARTICLE)]
     if not open_:

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 
@@ -21,6 +23,14 @@ SF = "/root/testdata/sf0.01"
         ("<div class=cookie-notice>We use cookies</div><article><p>x <b>y<i>z</b></article>", "x yz"),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
         ("<article><p>one<a href='", "one"),
+        ('<div class=content style="overflow: hidden"><p>The one paragraph, kept.</p></div>', "The one paragraph, kept."),
+        ('<div title="the hidden gem"><p>The one paragraph, kept.</p></div>', "The one paragraph, kept."),
+        ('<div data-x="some class=ad"><p>The one paragraph, kept.</p></div>', "The one paragraph, kept."),
+        ('<div class="content has-sidebar"><p>The one paragraph, kept.</p><div class="sidebar"><p>Not this.</p></div></div>', "The one paragraph, kept."),
+        ('<div class="widget-ready entry"><p>The one paragraph, kept.</p></div>', "The one paragraph, kept."),
+        ('<div class="page-header"><p>Site</p></div><div class="sidebar"><p>The one paragraph of the page, which has the most text.</p></div>', "The one paragraph of the page, which has the most text."),
+        ('<div><p>Short text here.</p></div><section id="comments"><p>A comment that is far longer than the text of the page itself, by any count.</p></section>', "Short text here."),
+        ("<div hidden><p>no</p></div><p aria-hidden=true>no</p><p aria-hidden='false' class='x' role=note>yes</p>", "yes"),
     ],
 )
 def test_pages(page, text):
@@ -51,3 +61,119 @@ def test_odd_pages_stay_cheap():
     html_main.main_text("<p><b>" * 20_000)
     html_main.main_text('<a href="' * 20_000)
     html_main.main_text("</p>" * 20_000 + "&am" * 20_000)
+
+
+def test_deep_pages_keep_their_text():
+    deep = "<div>" * 700 + "<p>deep words here</p>" + "</div>" * 700 + "<p>after</p>"
+    assert sorted(html_main.main_text(f"<article>{deep}</article>").split("\n")) == ["after", "deep words here"]
+    long_ = "word, " * 200_000
+    assert html_main.main_text(f"<article><p>{long_}</p></article>") == long_.strip()
+
+
+class Plain(HTMLParser):
+    """The tree of a page whose end tags are all there: [tag, names, parts]."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = ["#", "", []]
+        self.open = [self.root]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs).get("class", ""), []]
+        self.open[-1][2].append(node)
+        self.open.append(node)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def plain_main_text(page):
+    """Scores by their definition, each from all descendants anew."""
+    root, parent, order = Plain(page).root, {}, []
+
+    def walk(node, above):
+        parent[id(node)] = above
+        order.append(node)
+        for part in node[2]:
+            if not isinstance(part, str):
+                walk(part, node)
+
+    walk(root, None)
+    under = lambda node: [x for p in node[2] for x in ([p] if isinstance(p, str) else under(p))]
+    links = lambda node: [x for p in node[2] if not isinstance(p, str) for x in (under(p) if p[0] == "a" else links(p))]
+    size = lambda texts: sum(len(t.strip()) for t in texts)
+    blocks = {"div", "section", "p", "ul", "li", "article"}
+    is_block = lambda n: n[0] in blocks
+    scores = {id(n): 0.0 for n in order}
+    for n in order:
+        leaf = is_block(n) and not any(not isinstance(p, str) and is_block(p) for p in n[2])
+        if size(under(n)) and (n[0] in ("p", "li") or leaf):
+            points = (size(under(n)) >= 25) + sum(t.count(",") for t in under(n)) + min(size(under(n)) / 100, 3.0)
+            up, share = parent[id(n)], [1, 2]
+            while up is not None:
+                scores[id(up)] += points / share[0]
+                share = [share[1], share[1] + 2]
+                up = parent[id(up)]
+    density = lambda n: size(links(n)) / size(under(n)) if size(under(n)) else 0.0
+    value = lambda n: (scores[id(n)] + 25 * (n[0] == "article") + 25 * ("content" in n[1])) * (1 - density(n))
+    some = [n for n in order if n[0] in ("#", "div", "section", "article") and size(under(n)) and (scores[id(n)] or n[0] == "article")]
+    best = max(some, key=lambda n: (value(n), -order.index(n)))
+    least = max(10.0, 0.2 * value(best))
+    up = parent[id(best)]
+    while up is not None:
+        best = up if up[0] == "article" else best
+        up = parent[id(up)]
+    kept = []
+    for p in parent[id(best)][2] if parent[id(best)] is not None else [best]:
+        if p is best:
+            kept.append(p)
+        elif not isinstance(p, str) and size(under(p)):
+            reads = p[0] == "p" and (size(under(p)) > 80 and density(p) < 0.25 or not links(p) and re.search(r"\.(\s|$)", " ".join("".join(under(p)).split())))
+            if reads or is_block(p) and value(p) >= least:
+                kept.append(p)
+
+    def lines(node):
+        out, run = [], ""
+        for p in node[2]:
+            if isinstance(p, str):
+                run += p
+            elif is_block(p):
+                out += [run, *lines(p)]
+                run = ""
+            else:
+                first, *rest = lines(p) or [""]
+                run += first
+        return [*out, run]
+
+    return "\n".join(x for k in kept for b in lines(k) if (x := " ".join(b.split())))
+
+
+def page_of(rng, depth=0):
+    text = lambda: " ".join(rng.choice(["word", "more,", "text.", "and", "so, on", "longer words stand here"]) for _ in range(rng.randint(1, 30)))
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["p", "p", "p", "link", "ul", "div", "div", "section"] + ["article"] * (depth == 1 and rng.random() < 0.1))
+        if kind == "p":
+            out.append(f"<p>{text()}</p>" if rng.random() < 0.8 else f"<p>{text()} <a>{text()}</a> {text()}</p>")
+        elif kind == "link":
+            out.append(f"<p><a>{text()}</a></p>")
+        elif kind == "ul":
+            out.append("<ul>" + "".join(f"<li><a>{text()}</a></li>" if rng.random() < 0.7 else f"<li>{text()}</li>" for _ in range(3)) + "</ul>")
+        elif depth < 4:
+            name = rng.choice(["", "", ' class="content"', ' class="x"'])
+            out.append(f"<{kind}{name}>{page_of(rng, depth + 1)}</{kind}>")
+    return "".join(out) or "<p>one</p>"
+
+
+def test_tree_scoring_against_a_plain_version():
+    rng, parts = random.Random(11), 0
+    for _ in range(600):
+        page = page_of(rng)
+        got = html_main.main_text(page)
+        assert got == plain_main_text(page), page
+        parts += len(got) < 0.8 * len(re.sub("<[^>]*>", "", page))
+    assert parts > 50
