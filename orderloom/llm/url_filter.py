@@ -2,10 +2,12 @@
 
 A rule is a pattern of literal text, * for any text and ^ for a separator (any
 character but letters and digits, or an end). Its literal tokens, runs of letters
-and digits that no * touches, must be whole tokens of any URL it matches. Token
+and digits between separators, must be whole tokens of any URL it matches. Token
 counts over all URLs pick each rule's rarest one for the index; a URL's tokens
 fetch candidate rules by an equi-join, and only those run as regular expressions.
-A rule without such a token can't be indexed and is refused.
+Rules come as a list or as a table with a column rule. The few that have no whole
+token (*banner*) cannot be indexed: they run on every distinct URL, as one pattern
+each, so their number is to stay small.
 
 Hosts are decided first by literal (host, path) rules, the longest that fits;
 pattern rules decide what those leave open.
@@ -31,19 +33,24 @@ HOST_RULES = (
 PATTERN_RULES = (
     "^free^bets^", "^casino^", "^cheap^pills^", "^adult^", "^spam^farm^", "^ads^track^", "^poker^online^", "^payday^loans^",
     "^xxx^", "^warez^", "^torrent^download^", "^replica^watches^", "^viagra^", "^escort^", "^click^bait^*^win^", "^lottery^winner^",
+    "^sportsbook^", "^slots^", "^roulette^", "^blackjack^", "^betting^odds^", "^jackpot^", "^pharmacy^online^", "^cialis^", "^weight^loss^pills^", "^porn^",
+    "^webcam^girls^", "^hookup^", "^crack^keygen^", "^serial^keys^", "^nulled^", "^phishing^", "^malware^", "^get^rich^quick^", "^forex^signals^", "^binary^options^",
+    "^crypto^giveaway^", "^miracle^cure^", "^essay^writing^service^", "^buy^followers^", "^link^farm^", "^doorway^", "^ad^click^", "^popunder^", "^tracker^pixel^",
+    "^affiliate^redirect^*^offer^", "://ads.*", "^banner^ads^", "*-online-casino-*", "*freemoney*",
 )
-#: Rules broadcast to every task; a longer list is joined by a shuffle instead.
-MAX_BROADCAST_RULES = 10_000
+#: Rules without a whole token that are accepted.
+MAX_BARE_RULES = 1_000
 
 
-def regex_of(rule: str) -> str:
-    parts = {"*": ".*", "^": "(?:[^a-z0-9]|^|$)"}
-    return "".join(parts.get(c, re.escape(c)) for c in rule.lower())
+def regex_of(rule: Column) -> Column:
+    """The rule as a regular expression over lower-case text."""
+    literal = F.regexp_replace(F.lower(rule), r"([^\p{L}\p{N}\s*^])", r"\\$1")
+    return F.replace(F.replace(literal, F.lit("*"), F.lit("(?s:.*)")), F.lit("^"), F.lit("(?:[^a-z0-9]|^|$)"))
 
 
-def tokens_of(rule: str) -> list[str]:
+def tokens_of(rule: Column) -> Column:
     """Literal tokens that stand between separators."""
-    return re.findall(r"(?<=\^)[a-z0-9]+(?=\^)", rule.lower())
+    return F.array_distinct(F.regexp_extract_all(F.lower(rule), F.lit(r"(?<=\^)[a-z0-9]+(?=\^)"), F.lit(0)))
 
 
 def host_of(url: Column) -> Column:
@@ -68,28 +75,35 @@ def longest_rule(host: Column, path: Column, rules=HOST_RULES) -> Column:
     return found
 
 
-def rule_index(tokens: DataFrame, patterns) -> DataFrame:
-    """token, pattern for each rule, under its rarest token; tokens: token, one row per URL that holds it."""
-    spark = tokens.sparkSession
-    rows = [(r, regex_of(r), t) for r in patterns for t in sorted(set(tokens_of(r)))]
-    if missing := set(patterns) - {r for r, *_ in rows}:
-        raise ValueError(f"no literal token in {sorted(missing)}")
-    named = [F.struct(F.lit(r).alias("rule"), F.lit(p).alias("pattern"), F.lit(t).alias("token")) for r, p, t in rows]
-    rules = spark.range(1).select(F.inline(F.array(*named)))
-    small = len(rows) <= MAX_BROADCAST_RULES
-    vocabulary = rules.select("token").distinct()
-    counts = tokens.join(F.broadcast(vocabulary) if small else vocabulary, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+def rules_of(spark: SparkSession, patterns) -> DataFrame:
+    """rule, pattern and tokens; patterns: a list of rules, or a table with a column rule."""
+    if not isinstance(patterns, DataFrame):
+        patterns = spark.range(1).select(F.explode(F.array(*map(F.lit, patterns)).cast("array<string>")).alias("rule"))
+    rule = F.col("rule")
+    return patterns.where("rule is not null").select("rule").distinct().select("rule", regex_of(rule).alias("pattern"), tokens_of(rule).alias("tokens"))
+
+
+def rule_index(tokens: DataFrame, rules: DataFrame) -> DataFrame:
+    """token, pattern for each rule that has tokens, under its rarest one; tokens: token, one row per URL that holds it."""
+    named = rules.select("rule", "pattern", F.explode("tokens").alias("token"))
+    counts = tokens.join(named.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("token").alias("token")))
-    return rules.join(counts, "token", "left").groupBy("rule", "pattern").agg(rarest.alias("r")).select(F.col("r.token").alias("token"), "pattern")
+    return named.join(counts, "token", "left").groupBy("rule", "pattern").agg(rarest.alias("r")).select(F.col("r.token").alias("token"), "pattern")
 
 
 def blocked_urls(urls: DataFrame, patterns=PATTERN_RULES) -> DataFrame:
     """The URLs, in a column url of distinct values, that some pattern rule matches."""
     low = F.lower("url")
+    rules = rules_of(urls.sparkSession, patterns)
     tokens = urls.where("url is not null").select("url", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
-    index = rule_index(tokens.select("token"), patterns)
-    index = F.broadcast(index) if len(patterns) <= MAX_BROADCAST_RULES else index
-    return tokens.join(index, "token").where(F.expr("lower(url) rlike pattern")).select("url").distinct()
+    by_token = tokens.join(rule_index(tokens.select("token"), rules), "token").where(F.expr("lower(url) rlike pattern")).select("url").distinct()
+    bare = [r.pattern for r in rules.where(F.size("tokens") == 0).select("pattern").limit(MAX_BARE_RULES + 1).collect()]
+    if len(bare) > MAX_BARE_RULES:
+        raise ValueError(f"over {MAX_BARE_RULES} rules have no whole token: give them one, as every URL runs all of them")
+    hit = F.lit(False)
+    for pattern in sorted(bare):
+        hit = hit | low.rlike(pattern)
+    return by_token.unionByName(urls.where(hit).select("url")).distinct()
 
 
 def judge_urls(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERN_RULES) -> DataFrame:
@@ -108,7 +122,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sql() -> str:
-    any_pattern = " OR ".join(f"regexp_matches(lower(url), '{regex_of(p)}')" for p in PATTERN_RULES)
+    literal = lambda p: re.sub(r"([^\w\s*^])", r"\\\1", p.lower()).replace("*", "(?s:.*)").replace("^", "(?:[^a-z0-9]|^|$)")
+    any_pattern = " OR ".join(f"regexp_matches(lower(url), '{literal(p)}')" for p in PATTERN_RULES)
     cases = " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
         for _, h, p in sorted(HOST_RULES, key=lambda r: -len(r[1] + r[2]))

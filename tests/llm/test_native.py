@@ -149,6 +149,10 @@ URLS = [
 ]
 
 
+def plain_regex(rule):
+    return "".join({"*": r"[\s\S]*", "^": "(?:[^a-z0-9]|^|$)"}.get(c) or re.escape(c) for c in rule.lower())
+
+
 def test_urls_against_brute_force(spark):
     df = spark.createDataFrame([(i, u, "k") for i, u in enumerate(URLS + URLS[-3:])], "page_id long, url string, rule string")
     for r in url_filter.judge_urls(df).collect():
@@ -156,14 +160,22 @@ def test_urls_against_brute_force(spark):
         m = re.search(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
         host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
         fit = [(len(h + p), h + p, v) for v, h, p in url_filter.HOST_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        hit = host != "" and any(re.search(url_filter.regex_of(p), url.lower()) for p in url_filter.PATTERN_RULES)
+        hit = host != "" and any(re.search(plain_regex(p), url.lower()) for p in url_filter.PATTERN_RULES)
         rule, verdict = max(fit)[1:] if fit else (None, "block" if hit else "allow")
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict), url
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
-def test_rules_without_a_token_are_refused(spark):
-    urls = spark.createDataFrame([("http://a/b",)], "url string")
-    with pytest.raises(ValueError):
-        url_filter.blocked_urls(urls, ["*x*"])
-    assert url_filter.blocked_urls(urls, ["^b^", "^zz^*b"]).count() == 1
+def test_rules_from_a_table_and_rules_without_a_token(spark):
+    rng = random.Random(3)
+    bits = ["ad", "ads", "x", "banner", "win", ".", "/", "-", "+", "(", "$", "http://", "?q=", "é", "9", "_", "|", "\n", "[", "\\"]
+    some = lambda n: "".join(rng.choice(bits) for _ in range(rng.randint(1, n)))
+    urls = sorted({some(9) for _ in range(300)} | {"http://hot/" + some(3) for _ in range(100)} | {"x/" * 20_000 + "banner"})
+    rules = ["*banner*", "^ad^", "^zz^*b", "ads", "^hot^*^win^", "*x.*/", "$", "^ad^x^", "(ad", "Ads|x", "^hot^"] + ["^" + some(4) + "^" for _ in range(30)]
+    table = spark.createDataFrame([(r, 1) for r in [*rules, rules[0], None]], "rule string, url int")
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    want = sorted(u for u in urls if any(re.search(plain_regex(r), u.lower()) for r in rules))
+    assert 0 < len(want) < len(urls)
+    for given in (rules, table):
+        assert sorted(r.url for r in url_filter.blocked_urls(df, given).collect()) == want
+    assert url_filter.blocked_urls(df, []).count() == url_filter.blocked_urls(df, table.limit(0)).count() == 0
