@@ -35,25 +35,28 @@ def pinned(pattern: str) -> str:
     return pattern.replace(r"\p{L}", rf"[\p{{L}}--[{_set(NEWER_LETTERS)}]]").replace(r"\p{N}", rf"[\p{{N}}--[{_set(NEWER_NUMBERS)}]]")
 
 
+#: Lower forms for str.translate; sigma is lowered without regard to its place.
+LOWER = {ord("Σ"): "σ"} | {c: to + c - first for first, last, to in NEWER_LOWER for c in range(first, last + 1)}
+#: What any text with a newer letter or number, or with such a capital, holds: one of few characters of the basic plane, tested by a table, or any beyond it.
+_BASIC = re.compile("[" + _set(" ".join(r for r in NEWER_LETTERS.split() if len(r.split("-")[0]) == 4)) + "".join(chr(c) for c in LOWER if c < 0x10000) + "]")
+_BEYOND = re.compile("[\U00010000-\U0010FFFF]")
+
+
+def exotic(text: str) -> bool:
+    """Whether the text may hold what the tables above are about."""
+    return not text.isascii() and (_BASIC.search(text) is not None or _BEYOND.search(text) is not None)
+
+
 class Splitter:
     """findall of a pattern of \\p{L} and \\p{N}; the plain pattern serves texts without the newer ones."""
 
-    newer = re.compile(f"[{_set(NEWER_LETTERS)}{_set(NEWER_NUMBERS)}]")
-
     def __init__(self, pattern: str):
         self.plain = regex.compile(pattern).findall
         self.exact = regex.compile(pinned(pattern), regex.V1).findall
 
     def __call__(self, text: str) -> list[str]:
-        return self.exact(text) if not text.isascii() and self.newer.search(text) else self.plain(text)
-
-
-#: Lower forms for str.translate; sigma is lowered without regard to its place.
-LOWER = {ord("Σ"): "σ"} | {c: to + c - first for first, last, to in NEWER_LOWER for c in range(first, last + 1)}
-UPPER = re.compile("[" + "".join(map(chr, LOWER)) + "]")
+        return self.exact(text) if exotic(text) else self.plain(text)
 
 
 def lowered(text: str) -> str:
-    if not text.isascii() and UPPER.search(text):
-        text = text.translate(LOWER)
-    return text.lower()
+    return (text.translate(LOWER) if exotic(text) else text).lower()

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import regex
 import tiktoken
 from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
@@ -48,7 +49,8 @@ def test_every_letter_as_the_libraries_know_it():
     library, ours, codec = Tokenizer.from_file(path), token_counts.WordCounter(path), byte_bpe.Codec(bpe, public_tokenizers.PATTERN)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe, "rb"))}
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    newer = [c for c in CHARS if letters.Splitter.newer.match(c) or letters.UPPER.match(c)]
+    newer = [c for c in CHARS if regex.match(r"\p{L}|\p{N}", c) and not regex.match(letters.pinned(r"\p{L}|\p{N}"), c, regex.V1) or ord(c) in letters.LOWER]
+    assert len(newer) > 17_000 and all(map(letters.exotic, newer))
     for c in newer[:200] + newer[200::200]:
         for text in (f"ab{c}cd", f"1{c}2 {c}'s", f" {c}", f"!{c}!{c}{c}Σ"):
             assert ours.count(text) == len(library.encode(text, add_special_tokens=False).ids), (hex(ord(c)), text)
