@@ -30,9 +30,13 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, uni(r"\s+"), " ")
 
 
+#: All characters that \\s matches where it knows all letters.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, uni(r"^\s+|\s+$"), "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def nfc(c: Column) -> Column:
@@ -184,9 +188,11 @@ def json_object(c: Column) -> Column:
 
 def clauses(c: Column) -> Column:
     """Clauses that end in punctuation and have twelve characters or more, and what remains after the last mark."""
-    ended = F.regexp_extract_all(c, F.lit(f"(?s)([^{lx.CLAUSE_MARKS[1:-2]}]*{lx.CLAUSE_MARKS})"), F.lit(1))
+    marks = lx.CLAUSE_MARKS.removesuffix("+")
+    parts = F.split(c, f"(?<={marks})(?!{marks})")  # after each run of marks
+    ended = F.slice(parts, F.lit(1), F.size(parts) - 1)
     kept = F.filter(F.transform(ended, strip), lambda x: F.length(x) >= lx.CLAUSE_MIN)
-    rest = strip(F.regexp_replace(c, f"(?s)^.*{lx.CLAUSE_MARKS}", ""))
+    rest = strip(F.element_at(parts, -1))
     return F.when(rest != "", F.array_append(kept, rest)).otherwise(kept)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orderloom import lexicon as lx
 from orderloom.functions import text as tx
+from orderloom.operators import ranks, substrings
 
 # --- fixed values: option groups and entities of the domain ----------------------------------
 OPTION_GROUPS = {"sugar": ("Đường", "binh_thuong"), "ice": ("Đá", "binh_thuong"), "temperature": ("Nóng/Đá", "da")}
@@ -88,25 +89,22 @@ def last_write(rows: DataFrame, key: str, seq: str) -> DataFrame:
 def mention_edges(nodes: DataFrame, entities: DataFrame) -> DataFrame:
     """source_id, MENTIONS, target_id where a node's text holds one of an entity's keywords (entity_id, keywords)."""
     words = entities.select("entity_id", F.explode("keywords").alias("k")).select("entity_id", F.lower("k").alias("k"))
-    low = nodes.select("source_id", F.lower("text").alias("t"))
-    return low.join(words, F.expr("contains(t, k)")).select("source_id", F.lit("MENTIONS").alias("relation"), F.col("entity_id").alias("target_id")).distinct()
+    low = nodes.select("source_id", F.array(F.lower("text")).alias("t"))
+    found = substrings.holding(low, "source_id", "t", words, "k").join(words, "k")
+    return found.select("source_id", F.lit("MENTIONS").alias("relation"), F.col("entity_id").alias("target_id")).distinct()
 
 
 def next_edges(chunks: DataFrame, key: str = "source_id", within: str | None = None) -> DataFrame:
     """Edges from each chunk to the next by key: over all chunks, or within each document.
 
-    Over all chunks, equal parts of the key order are made by range, each part is
-    chained on its own, and the last of each is linked to the first of the next.
+    Parts of the key order are chained each on its own, and the last of each is linked to the first of the next.
     """
-    if within is not None:
-        w = Window.partitionBy(within).orderBy(key)
-        return chunks.select(F.col(key).alias("source_id"), F.lit("NEXT").alias("relation"), F.lead(key).over(w).alias("target_id")).where("target_id is not null")
-    parts = chunks.select(key).repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy(key)
-    linked = parts.withColumn("target_id", F.lead(key).over(w))
-    ends = parts.groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high"))  # one row per part
-    seams = ends.select(F.col("high").alias(key), F.lead("low").over(Window.orderBy("part")).alias("target_id"))
-    both = linked.where("target_id is not null").select(key, "target_id").unionByName(seams.where("target_id is not null"))
+    group = [within] if within is not None else []
+    parts = chunks.select(key, *group).withColumn("part", ranks.part_of(chunks, key))
+    linked = parts.withColumn("target_id", F.lead(key).over(Window.partitionBy(*group, "part").orderBy(key)))
+    ends = parts.groupBy(*group, "part").agg(F.min(key).alias("low"), F.max(key).alias("high"))  # one row per part
+    seams = ends.select(F.col("high").alias(key), F.lead("low").over(Window.partitionBy(*group).orderBy("part")).alias("target_id"))
+    both = linked.select(key, "target_id").unionByName(seams).where("target_id is not null")
     return both.select(F.col(key).alias("source_id"), F.lit("NEXT").alias("relation"), "target_id")
 
 

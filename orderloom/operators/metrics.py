@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderloom.operators import ranks
+
 
 def ratio(n: Column, d: Column) -> Column:
     return F.round(n / F.greatest(F.lit(1), d), 4)
@@ -37,18 +39,17 @@ def confusion(rows: DataFrame, labels: list[str], truth: str = "truth", guess: s
 
 def nearest_rank(values: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
     """The value at index round((n-1)*p), halves to even, of each group's sorted values."""
-    w = Window.partitionBy(*keys)
-    ranked = values.select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("i") == F.bround((F.col("n") - 1) * p).cast("long")).select(*keys, F.col(value).alias("percentile"))
+    ranked = ranks.with_rank(values.select(*keys, value), list(keys), [F.col(value)], ranks.part_of(values, value))
+    return ranked.where(F.col("rank") - 1 == F.bround((F.col("group_size") - 1) * p).cast("long")).select(*keys, F.col(value).alias("percentile"))
 
 
 def exclusive_quantile(values: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
     """The quantile at position p*(n+1) of each group's sorted values, interpolated, held within them."""
-    w = Window.partitionBy(*keys)
-    at = F.least(F.greatest(F.floor(F.col("n") * p + p), F.lit(1)), F.col("n") - 1)
-    ranked = values.select(*keys, F.col(value).cast("double").alias("v"), F.row_number().over(w.orderBy(value)).alias("i"), F.count("*").over(w).alias("n"))
-    near = ranked.withColumn("at", at).withColumn("part", (F.col("n") + 1) * p - F.col("at")).where((F.col("i") == F.col("at")) | (F.col("i") == F.col("at") + 1))
-    share = F.when(F.col("i") == F.col("at"), 1 - F.col("part")).otherwise(F.col("part"))
+    n, i = F.col("group_size"), F.col("rank")
+    ranked = ranks.with_rank(values.select(*keys, F.col(value).cast("double").alias("v")), list(keys), [F.col("v")], ranks.part_of(values.select(F.col(value).cast("double").alias("v")), "v"))
+    at = F.least(F.greatest(F.floor(n * p + p), F.lit(1)), n - 1)
+    near = ranked.withColumn("at", at).withColumn("part", (n + 1) * p - F.col("at")).where((i == F.col("at")) | (i == F.col("at") + 1))
+    share = F.when(i == F.col("at"), 1 - F.col("part")).otherwise(F.col("part"))
     return near.groupBy(*keys).agg(F.sum(share * F.col("v")).alias("quantile"))
 
 
@@ -71,10 +72,11 @@ def cache_rollup(log: DataFrame) -> DataFrame:
 
 
 def split(rows: DataFrame, stratum: str, key: Column, train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """rows with split: of each stratum in order of key, floor(n*train) train, floor(n*validation) validation, the rest test."""
-    w = Window.partitionBy(stratum)
-    i, n = F.row_number().over(w.orderBy(key)), F.count("*").over(w)
-    return rows.withColumn("split", F.when(i <= F.floor(n * train), "train").when(i <= F.floor(n * train) + F.floor(n * validation), "validation").otherwise("test"))
+    """rows with split: of each stratum in order of key, an MD5 digest in hex and then what tells ties apart, floor(n*train) train, floor(n*validation) validation, the rest test."""
+    ranked = ranks.with_rank(rows.withColumn("_key", key), [stratum], [F.col("_key")], F.conv(F.substring(F.col("_key").getField("digest"), 1, 2), 16, 10).cast("int"))
+    i, n = F.col("rank"), F.col("group_size")
+    found = ranked.withColumn("split", F.when(i <= F.floor(n * train), "train").when(i <= F.floor(n * train) + F.floor(n * validation), "validation").otherwise("test"))
+    return found.select(*rows.columns, "split")
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -8,16 +8,22 @@ leave an order open, source_id decides.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom import lexicon as lx
 from orderloom.functions import text as tx
+from orderloom.operators import substrings
 
 #: Which node types a keyword search of each intent looks into, and which a vector search does.
 KEYWORD_TYPES = {"order": ["menu"], "consultant": ["menu", "document"], "faq": ["faq", "document"]}
 VECTOR_TYPES = {"order": ["menu"], "consultant": ["menu", "faq", "document"], "faq": ["faq", "document"]}
 
+#: Vectors in a block, of queries or of nodes, and blocks that nodes make at least.
+VECTORS_IN_BLOCK, MIN_BLOCKS = 8_192, 8
+
 
 def menu_passage(name: Column, category: Column, price: Column, size: Column, description: Column) -> Column:
     part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -39,7 +45,7 @@ def searchable(*parts: Column) -> Column:
 
 def top(hits: DataFrame, k: int, by: list[Column] | None = None, within: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The k first rows of each group; Spark prunes to k in each task before the shuffle."""
-    order = Window.partitionBy(*within).orderBy(*(by or [F.desc("score"), F.asc("source_id")]))
+    order = Window.partitionBy(*within).orderBy(*(by or [F.desc(F.round("score", 9)), F.asc("source_id")]))
     return hits.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
 
 
@@ -60,14 +66,12 @@ def keyword_hits(queries: DataFrame, nodes: DataFrame, limit: int = lx.LIMIT_PER
     """For each query's terms, up to limit nodes of each type with the term in one of their fields.
 
     Each distinct term meets the nodes once, whatever number of queries share
-    it. A substring test has no equi-key; the terms are the side that Spark
-    broadcasts, and nodes stay where they are read.
+    it, and only those that hold its rarest run of characters.
     """
     terms = query_terms(queries)
-    low = F.transform("fields", lambda f: F.lower(f))
-    wide = nodes.select("source_id", "source_type", F.lower("name").alias("low_name"), "text", low.alias("low_fields"))
-    distinct = terms.select("term").distinct()
-    found = wide.join(distinct, F.expr("exists(low_fields, f -> contains(f, term))"))
+    wide = nodes.select("source_id", "source_type", F.lower("name").alias("low_name"), "text")
+    low = nodes.select("source_id", F.transform("fields", lambda f: F.lower(f)).alias("fields"))
+    found = substrings.holding(low, "source_id", "fields", terms, "term").join(wide, "source_id")
     found = top(found, limit, [F.asc("source_id")], ("term", "source_type"))
     score = (
         F.when((F.col("source_type") == "menu") & F.col("low_name").contains(F.col("term")), lx.MENU_NAME_SCORE)
@@ -91,19 +95,76 @@ def retrieve_by_keyword(queries: DataFrame, nodes: DataFrame, k: int = lx.TOP_K)
     return top(cover(keyword_hits(queries, nodes)), k)
 
 
-def vector_hits(queries: DataFrame, nodes: DataFrame, k: int = lx.POOL, least: float | None = lx.MIN_COSINE) -> DataFrame:
+def cosines(queries: pa.Table, nodes: pa.Table) -> np.ndarray:
+    """A row of cosines with the nodes for each query; minus infinity where either vector has no length."""
+    matrix = lambda t: np.stack(t["embedding"].to_numpy()).astype(np.float64)
+    q, n = matrix(queries), matrix(nodes)
+    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(n, axis=1)[None, :]
+    return np.divide(q @ n.T, norms, out=np.full(norms.shape, -np.inf), where=norms > 0)
+
+
+def nearest_in_blocks(queries: pa.Table, nodes: pa.Table, k: int, least: float | None) -> pa.Table:
+    """The k nearest nodes of each query and source type, of one block of either; rows are of one length of vector."""
+    if not queries.num_rows or not nodes.num_rows:
+        return pa.table({"query_id": queries["query_id"][:0], "source_id": nodes["source_id"][:0], "score": pa.array([], pa.float64())})
+    scores = cosines(queries, nodes)
+    allowed = {i: set(kinds) for i, kinds in VECTOR_TYPES.items()}
+    intents, kinds, ids = queries["intent"].to_pylist(), np.array(nodes["source_type"].to_pylist()), nodes["source_id"].to_pylist()
+    order = np.argsort(np.argsort(np.array(ids), kind="stable"), kind="stable")
+    at, to = [], []
+    for kind in np.unique(kinds):
+        some = np.flatnonzero(kinds == kind)
+        for i in (i for i, intent in enumerate(intents) if kind in allowed.get(intent, ())):
+            good = some[scores[i, some] >= (-np.inf if least is None else least)]
+            good = good[np.isfinite(scores[i, good])]
+            first = good[np.lexsort((order[good], -np.round(scores[i, good], 9)))[:k]]
+            at += [i] * len(first)
+            to += first.tolist()
+    return pa.table({"query_id": queries["query_id"].take(pa.array(at, pa.int64())), "source_id": nodes["source_id"].take(pa.array(to, pa.int64())), "score": pa.array(scores[at, to] if at else [], pa.float64())})
+
+
+def in_blocks(queries: DataFrame, query: str, nodes: DataFrame, node: str, block: int = VECTORS_IN_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Both sides with dim, qb and nb: each block of queries meets each block of nodes with vectors of as many numbers."""
+    n_q, n_n = (max(least_, -(-df.count() // block)) for df, least_ in ((queries, 1), (nodes, MIN_BLOCKS)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    whole = lambda df: df.where("size(embedding) > 0").select("*", F.size("embedding").alias("dim"))
+    return whole(queries).select("*", dealt(query, n_q).alias("qb"), every(n_n).alias("nb")), whole(nodes).select("*", every(n_q).alias("qb"), dealt(node, n_n).alias("nb"))
+
+
+def nearest_of_label(queries: DataFrame, entries: DataFrame, key: str, label: str) -> DataFrame:
+    """key, entry and similarity: each query's nearest entry of its label other than itself; both: key, label, embedding."""
+    kind = entries.schema[key].dataType.simpleString()
+
+    def best(q: pa.Table, n: pa.Table) -> pa.Table:
+        at, to, scores = [], [], np.zeros((0, 0))
+        if q.num_rows and n.num_rows:
+            scores = np.round(cosines(q, n), 9)
+            scores[q[key].to_numpy(zero_copy_only=False)[:, None] == n[key].to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+            order = np.argsort(n[key].to_numpy(zero_copy_only=False), kind="stable")
+            to = order[scores[:, order].argmax(axis=1)]
+            at = np.flatnonzero(np.isfinite(scores[np.arange(len(to)), to]))
+            to = to[at]
+        return pa.table({key: q[key].take(pa.array(at, pa.int64())), "entry": n[key].take(pa.array(to, pa.int64())), "similarity": pa.array(scores[at, to] if len(at) else [], pa.float64())})
+
+    q, n = in_blocks(queries.select(key, label, "embedding"), key, entries.select(key, label, "embedding"), key)
+    found = q.groupBy(label, "dim", "qb", "nb").cogroup(n.groupBy(label, "dim", "qb", "nb")).applyInArrow(best, f"{key} {kind}, entry {kind}, similarity double")
+    top_ = found.groupBy(key).agg(F.min_by(F.struct("entry", "similarity"), F.struct((-F.col("similarity")).alias("s"), "entry")).alias("b"))
+    return top_.select(key, "b.entry", "b.similarity")
+
+
+def vector_hits(queries: DataFrame, nodes: DataFrame, k: int = lx.POOL, least: float | None = lx.MIN_COSINE, block: int = VECTORS_IN_BLOCK) -> DataFrame:
     """The k nearest nodes of each type by cosine; queries and nodes carry a column embedding.
 
-    Norms are worked out once per row, so a pair costs one dot product.
+    Queries are a stated set, met with all nodes block by block: a task has two blocks of bounded size, takes one
+    matrix product, and gives back k nodes a query and type at most.
     """
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    q = queries.select("query_id", "intent", F.col("embedding").alias("qe"), norm("embedding").alias("qn"))
-    n = nodes.select("source_id", "source_type", "text", F.col("embedding").alias("ne"), norm("embedding").alias("nn"))
-    dot = F.aggregate(F.zip_with("qe", "ne", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    allowed = of_types(F.col("intent"), VECTOR_TYPES, F.col("source_type")) & (F.size("qe") == F.size("ne")) & (F.col("qn") > 0) & (F.col("nn") > 0)
-    pairs = n.join(q, allowed).select("query_id", "intent", "source_id", "source_type", "text", (dot / (F.col("qn") * F.col("nn"))).alias("score"))
-    pairs = pairs if least is None else pairs.where(F.col("score") >= least)
-    return top(pairs, k, within=("query_id", "source_type"))
+    q, n = in_blocks(queries.select("query_id", "intent", "embedding"), "query_id", nodes.select("source_id", "source_type", "embedding"), "source_id", block)
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("query_id", queries), ("source_id", nodes))]
+    meet = lambda a, b: nearest_in_blocks(a, b, k, least)
+    found = q.groupBy("dim", "qb", "nb").cogroup(n.groupBy("dim", "qb", "nb")).applyInArrow(meet, ", ".join([*kinds, "score double"]))
+    found = found.join(queries.select("query_id", "intent"), "query_id").join(nodes.select("source_id", "source_type", "text"), "source_id")
+    return top(found.select("query_id", "intent", "source_id", "source_type", "text", "score"), k, within=("query_id", "source_type"))
 
 
 def retrieve_by_vector(queries: DataFrame, nodes: DataFrame, k: int = lx.TOP_K) -> DataFrame:
@@ -154,6 +215,25 @@ def expand_siblings(hits: DataFrame, nodes: DataFrame, limit: int = lx.CATEGORY_
     return found.select("query_id", "intent", F.col("other").alias("source_id"), "source_type", "text", score.alias("score"))
 
 
+def overlaps(queries: DataFrame, query: str, texts: DataFrame, text: str, least: float) -> DataFrame:
+    """query, text and overlap: the share of a query's distinct words that a text holds, from least (above 0) up.
+
+    To reach it, a query of n words must share a word other than its ceil(least * n) - 1 commonest: only the rarer
+    ones are looked up, and the texts found are counted in full.
+    """
+    q = queries.select(query, tx.lexical_tokens(F.col("text")).alias("qw")).where(F.size("qw") > 0)
+    words = texts.select(text, F.explode(tx.lexical_tokens(F.col("text"))).alias("w"))
+    asked = q.select(query, F.size("qw").alias("n"), F.explode("qw").alias("w"))
+    counts = words.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("c"))
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.coalesce("c", F.lit(0)), "w"))
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * least - 1e-9))
+    rare = asked.join(counts, "w", "left").withColumn("place", place).where(F.col("place") <= F.col("n") - need + 1)
+    near = words.join(rare.select(query, "w"), "w").select(query, text).distinct()
+    full = near.join(q, query).join(texts.select(text, tx.lexical_tokens(F.col("text")).alias("tw")), text)
+    shared = F.size(F.array_intersect("qw", "tw")) / F.size("qw")
+    return full.select(query, text, shared.alias("overlap")).where(F.col("overlap") >= least)
+
+
 def best_of_each(hits: DataFrame) -> DataFrame:
     """One row per query and source: that of the highest score, found by retrieval rather than expansion on a tie."""
     rank = F.struct(F.col("score"), ~F.col("expanded"))

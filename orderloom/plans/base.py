@@ -113,27 +113,36 @@ def nodes(t: Tables) -> DataFrame:
     return menu.unionByName(faq)
 
 
+#: Searches ask for the ids divisible by this, against all rows.
+EVERY = 20
+
+
+def questions(t: Tables) -> DataFrame:
+    """query_id, intent and text: one query a part, about that part and a word of the FAQ texts."""
+    intent = F.element_at(F.array(*map(F.lit, ["order", "consultant", "faq"])), (F.floor(F.col("p_partkey") / EVERY) % 3 + 1).cast("int"))
+    return t.part.select(F.col("p_partkey").alias("query_id"), intent.alias("intent"), F.concat(F.lit("Cho anh 1 "), "p_name", F.lit(" then, with the WIFI?")).alias("text"))
+
+
 def asked(t: Tables) -> DataFrame:
-    """query_id, intent and text: one query in a hundred parts, about that part and a word of the FAQ texts."""
-    key = F.col("p_partkey")
-    intent = F.element_at(F.array(*map(F.lit, ["order", "consultant", "faq"])), (key / 100 % 3 + 1).cast("int"))
-    return t.part.where("p_partkey % 100 = 0").select(key.alias("query_id"), intent.alias("intent"), F.concat(F.lit("Cho anh 1 "), "p_name", F.lit(" then, with the WIFI?")).alias("text"))
+    """The questions that are searched for."""
+    return questions(t).where(F.col("query_id") % EVERY == 0)
 
 
-RETRIEVAL_SQL = """nodes AS (
+RETRIEVAL_SQL = f"""nodes AS (
   SELECT 'menu_' || p_partkey AS source_id, 'menu' AS source_type, p_name AS name, p_name || ' | ' || p_type || ' | ' || floor(p_retailprice)::BIGINT AS text,
     [p_name, p_brand, p_type] AS fields, p_type AS category, NULL AS topic FROM part WHERE p_size > 5
   UNION ALL
   SELECT 'faq_' || item_id, 'faq', NULL, text, [text], NULL, ['wifi', 'delivery', 'size'][item_id % 3 + 1] FROM benchmark),
-asked AS (
-  SELECT p_partkey AS query_id, ['order', 'consultant', 'faq'][(p_partkey // 100) % 3 + 1] AS intent, 'Cho anh 1 ' || p_name || ' then, with the WIFI?' AS text
-  FROM part WHERE p_partkey % 100 = 0),
+questions AS (
+  SELECT p_partkey AS query_id, ['order', 'consultant', 'faq'][(p_partkey // {EVERY}) % 3 + 1] AS intent, 'Cho anh 1 ' || p_name || ' then, with the WIFI?' AS text FROM part),
+asked AS (SELECT * FROM questions WHERE query_id % {EVERY} = 0),
 words AS (
   SELECT query_id, intent, list_distinct(list_append(string_split(p_name, ' '), 'wifi') || ['then', 'with', 'the']) AS ws
-  FROM asked JOIN part ON p_partkey = query_id),
-terms AS (
+  FROM questions JOIN part ON p_partkey = query_id),
+all_terms AS (
   SELECT query_id, intent, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) AS r FROM (SELECT query_id, intent, unnest(ws) AS term FROM words)) WHERE r <= 6),
+terms AS (SELECT * FROM all_terms WHERE query_id % {EVERY} = 0),
 found AS (
   SELECT * FROM (
     SELECT term, source_id, source_type, name, text, row_number() OVER (PARTITION BY term, source_type ORDER BY source_id) AS r

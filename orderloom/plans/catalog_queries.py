@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orderloom import lexicon as lx
 from orderloom.functions import text as tx
 from orderloom.operators import catalog, retrieval
-from orderloom.plans.base import MENU_SQL, RETRIEVAL_SQL, Tables, as_text, asked, menu_rows, nodes, query, rounded
+from orderloom.plans.base import EVERY, MENU_SQL, RETRIEVAL_SQL, Tables, as_text, asked, menu_rows, nodes, query, questions, rounded
 
 
 @query("SELECT p_partkey, p_name, CASE WHEN p_size > 5 THEN 'active' ELSE 'sold_out' END AS status FROM part WHERE p_size > 1")
@@ -97,10 +97,10 @@ def menu_names(t: Tables) -> DataFrame:
     return t.part.where("p_size > 5").select("p_name").distinct()
 
 
-@query("""WITH w AS (SELECT p_name, unnest(string_split(p_name, ' ')) AS k FROM part WHERE p_partkey < 50)
+@query("""WITH w AS (SELECT p_name, unnest(string_split(p_name, ' ')) AS k FROM part)
 SELECT DISTINCT 'faq_' || item_id AS source_id, 'MENTIONS' AS relation, 'topic::' || k AS target_id FROM benchmark JOIN (SELECT DISTINCT substr(k, 1, 3) AS k FROM w) ON contains(lower(text), k)""")
 def mention_edges(t: Tables) -> DataFrame:
-    k = t.part.where("p_partkey < 50").select(F.explode(F.split("p_name", " ")).alias("k")).select(F.substring("k", 1, 3).alias("k")).distinct()
+    k = t.part.select(F.explode(F.split("p_name", " ")).alias("k")).select(F.substring("k", 1, 3).alias("k")).distinct()
     entities = k.select(F.concat(F.lit("topic::"), "k").alias("entity_id"), F.array("k").alias("keywords"))
     faq = t.benchmark.select(F.concat(F.lit("faq_"), F.col("item_id").cast("string")).alias("source_id"), "text")
     return catalog.mention_edges(faq, entities)
@@ -139,14 +139,14 @@ def keyword_retrieval(t: Tables) -> DataFrame:
 
 VECTOR_SQL = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
 near AS (
-  SELECT q.vec_id AS query_id, x.vec_id AS source_id, list_inner_product(q.e, x.e) / (q.n * x.n) AS score FROM v q JOIN v x ON q.vec_id % 100 = 0
+  SELECT q.vec_id AS query_id, x.vec_id AS source_id, list_inner_product(q.e, x.e) / (q.n * x.n) AS score FROM v q JOIN v x ON q.vec_id % 20 = 0
   WHERE list_inner_product(q.e, x.e) / (q.n * x.n) >= 0.05),
-vranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id) AS place FROM near)"""
+vranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_id) AS place FROM near)"""
 
 
 def vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
     e = t.embeddings
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit("faq").alias("intent"), "embedding")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit("faq").alias("intent"), "embedding")
     return q, e.select(F.col("vec_id").alias("source_id"), F.lit("document").alias("source_type"), F.lit("").alias("text"), "embedding")
 
 
@@ -156,14 +156,14 @@ def vector_retrieval(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {VECTOR_SQL},
-k AS (SELECT DISTINCT q.vec_id AS query_id, x.vec_id AS source_id, 0.5::DOUBLE AS score FROM embeddings q JOIN embeddings x ON q.vec_id % 100 = 0 AND x.label = q.label AND x.vec_id % 10 = 0),
+k AS (SELECT DISTINCT q.vec_id AS query_id, x.vec_id AS source_id, 0.5::DOUBLE AS score FROM embeddings q JOIN embeddings x ON q.vec_id % 20 = 0 AND x.label = q.label),
 f AS (SELECT query_id, source_id, sum(score) AS score FROM (
   SELECT query_id, source_id, score * 0.45::DOUBLE AS score FROM k UNION ALL SELECT query_id, source_id, score * 0.55::DOUBLE FROM vranked WHERE place <= 20) GROUP BY ALL)
-SELECT query_id, source_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id) AS place FROM f) WHERE place <= 20""")
+SELECT query_id, source_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_id) AS place FROM f) WHERE place <= 20""")
 def hybrid_fusion(t: Tables) -> DataFrame:
     q, n = vectors(t)
     e = t.embeddings
-    same = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("source_id"), "label"), "label")
+    same = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("source_id"), "label"), "label")
     keyword = same.select("query_id", F.lit("faq").alias("intent"), "source_id", F.lit("document").alias("source_type"), F.lit("").alias("text"), F.lit(0.5).alias("score"))
     return rounded(retrieval.fuse(keyword, retrieval.vector_hits(q, n)).select("query_id", "source_id", "score"), "score")
 
@@ -215,11 +215,11 @@ def faq_boost(t: Tables) -> DataFrame:
     return rounded(retrieval.boost_topics(hits, asked(t)).select("query_id", "source_id", "score"), "score")
 
 
-@query("""WITH h AS (SELECT conv_id, role, text, turn FROM conversations WHERE turn < 6),
+@query("""WITH h AS (SELECT conv_id, role, text, turn FROM conversations ),
 b AS (SELECT conv_id, role, min(turn) AS f, '[' || upper(role) || ']' || chr(10) || string_agg(text, chr(10) ORDER BY turn, text) AS body FROM h GROUP BY conv_id, role)
 SELECT conv_id AS query_id, md5(string_agg(body, chr(10) || chr(10) ORDER BY f, body)) AS context FROM b GROUP BY conv_id""")
 def context_text(t: Tables) -> DataFrame:
-    hits = t.conversations.where("turn < 6").select(F.col("conv_id").alias("query_id"), F.col("role").alias("source_type"), F.col("turn").alias("ord"), "text")
+    hits = t.conversations.select(F.col("conv_id").alias("query_id"), F.col("role").alias("source_type"), F.col("turn").alias("ord"), "text")
     return retrieval.context(hits).select("query_id", F.md5("context_text").alias("context"))
 
 
@@ -236,10 +236,10 @@ def retrieval_accuracy(t: Tables) -> DataFrame:
 
 
 @query("""SELECT doc_id AS source_id, abs(nb) AS target_id, round(0.9::DOUBLE * 0.75::DOUBLE * 0.85::DOUBLE, 6) AS score FROM (
-  SELECT doc_id, unnest([lag(doc_id) OVER (ORDER BY doc_id), lead(doc_id) OVER (ORDER BY doc_id)]) AS nb FROM documents) WHERE nb IS NOT NULL AND doc_id % 50 = 0""")
+  SELECT doc_id, unnest([lag(doc_id) OVER (ORDER BY doc_id), lead(doc_id) OVER (ORDER BY doc_id)]) AS nb FROM documents) WHERE nb IS NOT NULL AND doc_id % 20 = 0""")
 def neighbour_expansion(t: Tables) -> DataFrame:
     edges = next_edges(t)
-    hits = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.lit("faq").alias("intent"), F.col("doc_id").alias("source_id"), F.lit(0.9).alias("score"))
+    hits = t.documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.lit("faq").alias("intent"), F.col("doc_id").alias("source_id"), F.lit(0.9).alias("score"))
     n = t.documents.select(F.col("doc_id").alias("source_id"), F.lit("document").alias("source_type"), "text")
     found = retrieval.expand(hits, edges, n, "NEXT", lx.ENTITY_FACTOR, lx.NEIGHBOR_LIMIT, both_ways=True)
     return rounded(found.select(F.col("query_id").alias("source_id"), F.col("source_id").alias("target_id"), "score"), "score")
@@ -247,26 +247,24 @@ def neighbour_expansion(t: Tables) -> DataFrame:
 
 @query(r"""SELECT doc_id, len(list_filter(string_split_regex(trim(lower(text)), '\s+'), lambda w: w <> ''))::BIGINT AS tokens,
   md5(list_aggregate(list_sort(list_distinct(list_transform(list_filter(string_split_regex(trim(lower(text)), '[ \t\n\r\f\v]+'), lambda w: w <> ''),
-    lambda w: (('0x' || right(md5(w), 3))::INT & 1023)))), 'string_agg', ',')) AS slots FROM documents WHERE length(text) < 3000""")
+    lambda w: (('0x' || right(md5(w), 3))::INT & 1023)))), 'string_agg', ',')) AS slots FROM documents""")
 def hash_embedding(t: Tables) -> DataFrame:
-    d = t.documents.where("length(text) < 3000").select("doc_id", tx.tokens(F.lower("text")).alias("w"))
+    d = t.documents.select("doc_id", tx.tokens(F.lower("text")).alias("w"))
     slots = F.array_sort(F.array_distinct(F.transform("w", lambda w: tx.hash_slot(w))))
     return d.select("doc_id", F.size("w").cast("long").alias("tokens"), F.md5(as_text(slots)).alias("slots"))
 
 
-@query(f"WITH {RETRIEVAL_SQL} SELECT query_id, string_agg(term, ',' ORDER BY length(term) DESC, term) AS terms FROM terms GROUP BY query_id")
+@query(f"WITH {RETRIEVAL_SQL} SELECT query_id, string_agg(term, ',' ORDER BY length(term) DESC, term) AS terms FROM all_terms GROUP BY query_id")
 def search_terms(t: Tables) -> DataFrame:
-    return asked(t).select("query_id", as_text(tx.search_terms(F.col("text"))).alias("terms"))
+    return questions(t).select("query_id", as_text(tx.search_terms(F.col("text"))).alias("terms"))
 
 
-@query(f"""WITH q AS (SELECT item_id, {LEXICAL_SQL.format("text")} AS a FROM benchmark WHERE item_id < 5), d AS (SELECT doc_id, {LEXICAL_SQL.format("text")} AS b FROM documents WHERE length(text) < 2000)
-SELECT item_id, doc_id, round(len(list_intersect(a, b))::DOUBLE / len(a), 6) AS overlap FROM q JOIN d ON len(b) > 0 WHERE len(list_intersect(a, b))::DOUBLE / len(a) > 0.05""")
+@query(f"""WITH q AS (SELECT item_id, unnest(w) AS word, len(w) AS n FROM (SELECT item_id, {LEXICAL_SQL.format("text")} AS w FROM benchmark)), d AS (SELECT doc_id, unnest({LEXICAL_SQL.format("text")}) AS word FROM documents)
+SELECT item_id, doc_id, round(count(*)::DOUBLE / n, 6) AS overlap FROM q JOIN d USING (word) GROUP BY item_id, doc_id, n HAVING count(*)::DOUBLE / n >= 0.5""")
 def lexical_overlap(t: Tables) -> DataFrame:
-    """Overlaps above a twentieth of a handful of queries with all short documents; queries are the broadcast side."""
-    q = t.benchmark.where("item_id < 5").select("item_id", F.col("text").alias("q"))
-    d = t.documents.where("length(text) < 2000").select("doc_id", "text")
-    found = d.join(F.broadcast(q), F.lit(True)).select("item_id", "doc_id", tx.lexical_overlap(F.col("q"), F.col("text")).alias("overlap"))
-    return rounded(found.where("overlap > 0.05"), "overlap")
+    """Items half of whose words, or more, a document holds: words are the join key, and shared ones are counted."""
+    found = retrieval.overlaps(t.benchmark.select("item_id", "text"), "item_id", t.documents.select("doc_id", "text"), "doc_id", 0.5)
+    return rounded(found, "overlap")
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS squares, round(e[1] / n, 6) AS first

