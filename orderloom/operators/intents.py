@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom import lexicon as lx
 from orderloom.functions import text as tx
+from orderloom.operators import substrings
 
 
 def keyword_score(n: Column, intent: str) -> Column:
@@ -179,35 +177,16 @@ def ordered_quantity(text: Column) -> Column:
 def resolve_orders(orders: DataFrame, menu: DataFrame) -> DataFrame:
     """orders (query_id, text) with action, item, size, quantity and price against menu (name, size, price, available).
 
-    The menu of a shop is small: its distinct names travel with each task as one
-    array, whose length the caller vouches for, and texts never meet in a join.
+    What an order names depends on its text alone, so distinct texts are matched, by joins: names that a text holds
+    by their rarest run of characters, names that share words with it by those words. Null text orders nothing.
     """
-    rows = menu.where(F.coalesce("available", F.lit(True))).select("name", "size", "price").distinct().orderBy("name").limit(MAX_MENU + 1).collect()
-    if len(rows) > MAX_MENU:
-        raise ValueError(f"a menu of over {MAX_MENU} rows needs the join of retrieval.keyword_hits")
-    names = sorted({r.name for r in rows})
-    stem = lambda n: re.findall(r"\w+", n.lower())
-    table = F.from_json(F.lit(json.dumps([{"n": n, "l": n.lower(), "w": sorted(set(stem(n)))} for n in names], ensure_ascii=False)), "array<struct<n:string,l:string,w:array<string>>>")
-    vocabulary = sorted({w for n in names for w in stem(n)})
-    df = orders.withColumn("_t", F.lower("text")).withColumn("_w", words(F.col("_t"))).withColumn("_menu", table)
-    t, w = F.col("_t"), F.col("_w")
-    sizes = [s for ss in lx.BARE_SIZES.values() for s in ss]
-    ignored = set(lx.STOPWORDS) | set(lx.NON_ITEM_WORDS) | set(lx.TRAILING_PARTICLES) | set(sizes)
-    fillers = set(lx.STOPWORDS) | set(lx.TRAILING_PARTICLES) | set(sizes) | set(lx.QUANTITY_WORDS) | set(lx.UNIT_WORDS)
-    inside = F.filter("_menu", lambda m: t.contains(m["l"]))
-    longest = F.array_max(F.transform(inside, lambda m: F.struct(F.length(m["n"]).alias("len"), m["n"].alias("n"))))["n"]
-    unknown = F.when(F.size(inside) > 0, F.array().cast("array<string>")).otherwise(F.filter(w, lambda x: ~x.isin(sorted(ignored)) & ~x.rlike("^[0-9]+$") & ~x.isin(vocabulary)))
-    own = F.array_except(F.array_distinct(w), tx.words_in(lx.GENERIC_ITEM_WORDS))
-    scored = F.transform("_menu", lambda m: F.struct(F.size(F.array_intersect(F.array_except(m["w"], tx.words_in(lx.GENERIC_ITEM_WORDS)), own)).alias("s"), m["n"].alias("n")))
-    best = F.array_max(F.transform(scored, lambda s: s["s"]))
-    leaders = F.filter(scored, lambda s: s["s"] == best)
-    unique = F.when((best > 0) & (F.size(leaders) == 1), leaders[0]["n"])
-    said = F.array_intersect(F.filter(w, lambda x: ~x.isin(sorted(fillers)) & ~x.rlike("^[0-9]+$")), tx.words_in(vocabulary))
-    fits = F.when(F.size(said) > 0, F.filter("_menu", lambda m: F.size(F.array_except(said, m["w"])) == 0)).otherwise(F.slice(F.col("_menu"), 1, 0))
-    df = df.withColumn("unknown_words", unknown).withColumn("_fits", F.transform(fits, lambda m: m["n"]))
-    df = df.withColumn("item", F.when(F.size("unknown_words") == 0, F.coalesce(longest, unique, F.when(F.size("_fits") == 1, F.col("_fits")[0]))))
-    df = df.withColumn("size", ordered_size(F.col("text"))).withColumn("quantity", ordered_quantity(F.col("text")))
-    variants = menu.where(F.coalesce("available", F.lit(True))).groupBy(F.col("name").alias("item")).agg(F.collect_set(F.struct("size", "price")).alias("_v"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    stock = menu.where(F.coalesce("available", F.lit(True)))
+    names = stock.select("name").distinct().select("name", F.lower("name").alias("low"), F.array_distinct(words(F.lower("name"))).alias("ws"))
+    found = named_items(orders.select(text).distinct(), names)
+    df = orders.withColumn("_text", text).join(found.withColumnRenamed("text", "_text"), "_text", "left")
+    df = df.withColumn("size", ordered_size(F.col("_text"))).withColumn("quantity", ordered_quantity(F.col("_text")))
+    variants = stock.groupBy(F.col("name").alias("item")).agg(F.collect_set(F.struct("size", "price")).alias("_v"))
     df = df.join(variants, "item", "left")
     match = F.filter("_v", lambda v: v["size"] == F.col("size"))
     action = (
@@ -219,10 +198,38 @@ def resolve_orders(orders: DataFrame, menu: DataFrame) -> DataFrame:
         .otherwise("confirm")
     )
     price = F.when(F.size("_v") == 1, F.col("_v")[0]["price"]).when(F.size(match) > 0, match[0]["price"])
-    choices = F.when(F.col("item").isNull() & (F.size("unknown_words") == 0), F.slice("_fits", 1, lx.MAX_ITEM_CHOICES))
+    choices = F.when(F.col("item").isNull() & (F.size("unknown_words") == 0), F.col("_fits"))
     names = [c for c in orders.columns]
     return df.select(*names, action.alias("action"), "item", "size", "quantity", F.when(action == "confirm", price).alias("price"), choices.alias("choices"), "unknown_words")
 
 
-#: Names and sizes that resolve_orders carries with each task.
-MAX_MENU = 5_000
+def named_items(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """text, item, unknown_words and _fits (names that hold all menu words of the text, MAX_ITEM_CHOICES at most) for distinct texts; names: name, low, ws."""
+    sizes = [s for ss in lx.BARE_SIZES.values() for s in ss]
+    ignored = set(lx.STOPWORDS) | set(lx.NON_ITEM_WORDS) | set(lx.TRAILING_PARTICLES) | set(sizes)
+    fillers = set(lx.STOPWORDS) | set(lx.TRAILING_PARTICLES) | set(sizes) | set(lx.QUANTITY_WORDS) | set(lx.UNIT_WORDS)
+    none = F.array().cast("array<string>")
+    texts = texts.select("text", F.lower("text").alias("t")).withColumn("w", words(F.col("t")))
+    inside = substrings.holding(texts.select("text", F.array("t").alias("t")), "text", "t", names, "low").join(names, "low")
+    longest = inside.groupBy("text").agg(F.max(F.struct(F.length("name").alias("n"), "name"))["name"].alias("longest"))
+    postings = names.select("name", "ws", F.explode("ws").alias("word"))
+    counts = postings.groupBy("word").agg(F.count("*").alias("n"))
+    known = texts.select("text", F.explode(F.array_distinct("w")).alias("word")).join(counts.select("word"), "word").groupBy("text").agg(F.collect_set("word").alias("known"))
+    base = texts.join(longest, "text", "left").join(known, "text", "left").withColumn("known", F.coalesce("known", none))
+    unknown = F.filter("w", lambda x: ~x.isin(sorted(ignored)) & ~x.rlike("^[0-9]+$") & ~F.array_contains("known", x))
+    said = F.array_intersect(F.filter("w", lambda x: ~x.isin(sorted(fillers)) & ~x.rlike("^[0-9]+$")), F.col("known"))
+    own = F.array_except(F.array_distinct("w"), tx.words_in(lx.GENERIC_ITEM_WORDS))
+    base = base.select("text", "longest", F.when(F.col("longest").isNotNull(), none).otherwise(unknown).alias("unknown_words"), said.alias("said"), own.alias("own"))
+    open_ = base.where(F.col("longest").isNull() & (F.size("unknown_words") == 0))
+    shared = open_.select("text", F.explode("own").alias("word")).join(postings.select("word", "name"), "word").groupBy("text", "name").agg(F.count("*").alias("s"))
+    leaders = shared.groupBy("text", "s").agg(F.count("*").alias("n"), F.min("name").alias("name"))
+    unique = leaders.groupBy("text").agg(F.max_by(F.struct("n", "name"), "s").alias("top")).select("text", F.when(F.col("top.n") == 1, F.col("top.name")).alias("unique"))
+    rarest = F.min_by("word", F.struct("n", "word"))
+    rare = open_.select("text", "said", F.explode("said").alias("word")).join(counts, "word").groupBy("text", "said").agg(rarest.alias("word"))
+    fits = rare.join(postings, "word").where(F.size(F.array_except("said", "ws")) == 0).select("text", "name")
+    place = F.row_number().over(Window.partitionBy("text").orderBy("name"))
+    fits = fits.withColumn("place", place).where(F.col("place") <= lx.MAX_ITEM_CHOICES).groupBy("text").agg(F.array_sort(F.collect_list("name")).alias("_fits"))
+    one = F.when(F.size("_fits") == 1, F.col("_fits")[0])
+    item = F.when(F.size("unknown_words") == 0, F.coalesce("longest", "unique", one))
+    met = base.join(unique, "text", "left").join(fits, "text", "left").withColumn("_fits", F.coalesce("_fits", none))
+    return met.select("text", item.alias("item"), "unknown_words", "_fits")

@@ -1,8 +1,8 @@
 """Per-key state: sessions, rate limits, caches and dialogues, over logs in batch and as streams.
 
-A fold keeps the state of one key and goes over its rows in order. Batch folds
-run in applyInPandas, a group per key; the rows of one session, client or cache
-are what such a state is about, and stay within a worker's memory.
+A fold keeps the state of one key and goes over its rows in order. Batch folds sort
+rows by key and order within partitions and read them batch by batch, the state
+carried on, so a worker holds one batch and one key's state, however long its log.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom import lexicon as lx
+from orderloom.functions import text as tx
 
 
 def sessionize(events: DataFrame, key: str, ts: str, gap: int = lx.SESSION_TTL) -> DataFrame:
@@ -35,8 +36,25 @@ def session_windows(events: DataFrame, key: str, ts: str, gap: str = "30 minutes
     )
 
 
-def folded(rows: DataFrame, key: str, step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return rows.groupBy(key).applyInPandas(step, schema)
+def folded(rows: DataFrame, key: str, by: list[str], start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """What the steps give for each key's rows in the order of by. start() makes a step with a state of its own; it gets the rows in pieces."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, step = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = pd.factorize(batch[key], use_na_sentinel=False)[0]
+            firsts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(batch)]
+            for at, to in zip(firsts, firsts[1:]):
+                piece = batch.iloc[at:to].reset_index(drop=True)
+                k = piece[key].iloc[0]
+                k = None if pd.isna(k) else k
+                if step is None or k != now:
+                    now, step = k, start()
+                yield step(piece)
+
+    return rows.repartition(key).sortWithinPartitions(key, *by).mapInPandas(run, schema)
 
 
 def admit(times: list[float], limit: int, window: float, kept: deque | None = None) -> list[bool]:
@@ -55,12 +73,12 @@ def rate_limit(requests: DataFrame, client: str, seconds: str, limit: int = lx.R
     """requests (with their own columns) and allowed."""
     by = [seconds] + ([order] if order else [])
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(by)
-        return rows.assign(allowed=admit(rows[seconds].tolist(), limit, window))
+    def start():
+        kept: deque = deque()
+        return lambda rows: rows.assign(allowed=admit(rows[seconds].tolist(), limit, window, kept))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
-    return folded(requests, client, step, f"{fields}, allowed boolean")
+    return folded(requests, client, by, start, f"{fields}, allowed boolean")
 
 
 def rate_limit_stream(requests: DataFrame, client: str, seconds: str, limit: int = lx.RATE_LIMIT, window: float = lx.RATE_WINDOW) -> DataFrame:
@@ -83,32 +101,153 @@ def exact_cache(log: DataFrame, cache: str, order: str, seconds: str, key: str,
     Least recently used entries go first; a hit does not extend an entry's life.
     """
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        store: OrderedDict = OrderedDict()
-        rows, hit, hits = rows.sort_values(order), [], []
-        for t, k in zip(rows[seconds], rows[key]):
-            entry = store.get(k)
-            if entry is not None and entry[0] <= t:
-                entry = store.pop(k) and None
-            hit.append(entry is not None)
-            if entry is None:
-                entry = store[k] = [t + ttl, 0]
-            else:
-                entry[1] += 1
-            hits.append(entry[1])
-            store.move_to_end(k)
-            while len(store) > size:
-                store.popitem(last=False)
-        return pd.DataFrame({cache: rows[cache], order: rows[order], "hit": hit, "hits": hits})
+    def start():
+        store = ExactStore(ttl, size)
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            for t, k in zip(rows[seconds], rows[key]):
+                hits = store.get(k, t)
+                if hits is None:
+                    store.put(k, t)
+                found.append((hits is not None, hits or 0))
+            return pd.DataFrame({cache: rows[cache], order: rows[order], "hit": [h for h, _ in found], "hits": [n for _, n in found]})
+
+        return step
+
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema}
+    return folded(log.select(cache, order, seconds, key), cache, [order], start, f"{cache} {kinds[cache]}, {order} {kinds[order]}, hit boolean, hits long")
+
+
+class ExactStore:
+    """Keys with the end of their life and their hits; the least recently used goes first, and a hit does not extend a life."""
+
+    def __init__(self, ttl: float, size: int):
+        self.ttl, self.size, self.entries = ttl, size, OrderedDict()
+
+    def get(self, key, now: float) -> int | None:
+        """The entry's hits with this one, or null."""
+        entry = self.entries.get(key)
+        if entry is None:
+            return None
+        if entry[0] <= now:
+            del self.entries[key]
+            return None
+        entry[1] += 1
+        self.entries.move_to_end(key)
+        return entry[1]
+
+    def put(self, key, now: float) -> None:
+        self.entries[key] = [now + self.ttl, 0]
+        self.entries.move_to_end(key)
+        while len(self.entries) > self.size:
+            self.entries.popitem(last=False)
+
+
+class SemanticStore:
+    """Entries (key, end of life, unit vector, tags) in order of first storing; the oldest goes first."""
+
+    def __init__(self, ttl: float, size: int):
+        self.ttl, self.size = ttl, size
+        self.keys: list = []
+        self.until: list = []
+        self.vectors: list = []
+        self.tags: list = []
+
+    @staticmethod
+    def unit(vector) -> np.ndarray:
+        v = np.asarray(vector if vector is not None else [], dtype=np.float32)
+        return v / n if (n := np.linalg.norm(v)) > 0 else v
+
+    def get(self, vector: np.ndarray, now: float, threshold: float, tags: frozenset = frozenset()) -> tuple[object, float | None, bool]:
+        """The key that answers or null, the best similarity or null, and whether its equal tags made it answer below the threshold."""
+        live = [i for i, u in enumerate(self.until) if u > now]
+        if len(live) < len(self.until):
+            self.keys, self.until, self.vectors, self.tags = ([x[i] for i in live] for x in (self.keys, self.until, self.vectors, self.tags))
+        near = np.array([x @ vector if len(x) == len(vector) else -1.0 for x in self.vectors], dtype=np.float32)
+        if not len(near):
+            return None, None, False
+        best = int(near.argmax())
+        alias = bool(near[best] < threshold and tags and self.tags[best] == tags)
+        return (self.keys[best] if near[best] >= threshold or alias else None), round(float(near[best]), 4), alias
+
+    def put(self, key, vector: np.ndarray, now: float, tags: frozenset = frozenset()) -> None:
+        if key in self.keys:
+            i = self.keys.index(key)
+            self.until[i], self.vectors[i], self.tags[i] = now + self.ttl, vector, tags
+            return
+        self.keys, self.until, self.vectors, self.tags = [*self.keys, key], [*self.until, now + self.ttl], [*self.vectors, vector], [*self.tags, tags]
+        if len(self.keys) > self.size:
+            self.keys, self.until, self.vectors, self.tags = self.keys[1:], self.until[1:], self.vectors[1:], self.tags[1:]
+
+
+def threshold_of(intent: Column) -> Column:
+    """The similarity from which a stored answer of this intent serves."""
+    return F.coalesce(*[F.when(intent == i, F.lit(x)) for i, x in lx.SEMANTIC_THRESHOLDS.items()], F.lit(lx.SEMANTIC_DEFAULT))
 
+
+def cacheable(intent: Column, answer: Column, enabled: bool = True, skip: list[str] = ()) -> tuple[Column, Column]:
+    """Whether a cache is asked at all for the intent, and whether the answer may be stored: blank ones never are."""
+    asked = F.lit(enabled) & intent.isin(lx.CACHEABLE) & ~intent.isin(*skip) if skip else F.lit(enabled) & intent.isin(lx.CACHEABLE)
+    asked = F.coalesce(asked, F.lit(False))
+    return asked, asked & F.coalesce(tx.strip(answer) != "", F.lit(False))
+
+
+def two_tier_cache(log: DataFrame, ttl: int = lx.CACHE_TTL, size: int = lx.CACHE_SIZE) -> DataFrame:
+    """intent, seq, tier, matched, similarity and stored for a log of intent, seq, seconds, op, key, text, answer, embedding and tags.
+
+    A lookup (op null) asks the exact store for its key, then the semantic one; an exact hit puts its own entry into the
+    semantic store as well. Where the nearest entry has the same tags, all of stable FAQ topics, it counts as the same question. Only cacheable intents are
+    asked, and a miss stores the answer in both stores unless it is blank. Rows of op clear empty their intent's stores.
+    tier is exact, alias, semantic, miss, skipped or cleared.
+    """
+
+    def start():
+        exact, near = ExactStore(ttl, size), SemanticStore(ttl, size)
+
+        def one(r) -> tuple:
+            if r.op == "clear":
+                exact.entries.clear()
+                near.__init__(ttl, size)
+                return "cleared", None, None, False
+            if not r.asked:
+                return "skipped", None, None, False
+            v, tags = near.unit(r.embedding), frozenset(r.alias if r.alias is not None else ())
+            if exact.get(r.key, r.seconds) is not None:
+                if r.storable:
+                    near.put(r.text, v, r.seconds, tags)
+                return "exact", r.key, None, bool(r.storable)
+            key, similarity, alias = near.get(v, r.seconds, r.threshold, tags)
+            if key is not None:
+                return ("alias" if alias else "semantic"), key, similarity, False
+            if r.storable:
+                exact.put(r.key, r.seconds)
+                near.put(r.text, v, r.seconds, tags)
+            return "miss", None, similarity, bool(r.storable)
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            found = [(r.intent, r.seq, *one(r)) for r in rows.itertuples()]
+            return pd.DataFrame(found, columns=["intent", "seq", "tier", "matched", "similarity", "stored"])
+
+        return step
+
+    asked, storable = cacheable(F.col("intent"), F.col("answer"))
+    stable = F.when((F.col("intent") == "faq") & (F.size(F.array_except("tags", F.array(*map(F.lit, lx.FAQ_ALIAS_TAGS)))) == 0), F.col("tags"))
+    given = log.select(
+        "intent", "seq", F.col("seconds").cast("double").alias("seconds"), "op", "key", "text", "embedding",
+        stable.alias("alias"), asked.alias("asked"), storable.alias("storable"), threshold_of(F.col("intent")).alias("threshold"),
+    )
     kinds = {f.name: f.dataType.simpleString() for f in log.schema}
-    return folded(log.select(cache, order, seconds, key), cache, step, f"{cache} {kinds[cache]}, {order} {kinds[order]}, hit boolean, hits long")
+    return folded(given, "intent", ["seq"], start, f"intent {kinds['intent']}, seq {kinds['seq']}, tier string, matched string, similarity double, stored boolean")
 
 
-def alias_hit(intent: Column, asked: Column, stored: Column) -> Column:
-    """Equal, non-empty tag sets of stable FAQ topics count as the same question."""
-    tags = F.array(*map(F.lit, lx.FAQ_ALIAS_TAGS))
-    return (intent == "faq") & (F.size(asked) > 0) & (F.sort_array(asked) == F.sort_array(stored)) & (F.size(F.array_except(asked, tags)) == 0)
+def cache_statistics(found: DataFrame) -> DataFrame:
+    """intent and how many lookups each tier answered, from the result of two_tier_cache."""
+    n = lambda *tiers: F.count_if(F.col("tier").isin(*tiers))
+    asked = F.count_if(~F.col("tier").isin("skipped", "cleared"))
+    hits = n("exact", "alias", "semantic")
+    rate = F.round(hits / F.greatest(F.lit(1), asked), 4)
+    return found.groupBy("intent").agg(asked.alias("asked"), n("exact").alias("exact"), n("alias").alias("alias"), n("semantic").alias("semantic"), n("miss").alias("misses"), n("skipped").alias("skipped"), rate.alias("hit_rate"))
 
 
 def semantic_cache(log: DataFrame, cache: str, order: str, seconds: str, key: str, embedding: str, threshold: float = lx.SEMANTIC_DEFAULT, ttl: int = lx.CACHE_TTL, size: int = lx.CACHE_SIZE) -> DataFrame:
@@ -118,36 +257,24 @@ def semantic_cache(log: DataFrame, cache: str, order: str, seconds: str, key: st
     holds at most size entries, so each lookup is one product of that many rows.
     """
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        keys: list = []
-        until: list = []
-        vectors: list = []
-        out = []
-        rows = rows.sort_values(order)
-        for o, t, k, e in zip(rows[order], rows[seconds], rows[key], rows[embedding]):
-            live = [i for i, u in enumerate(until) if u > t]
-            keys, until, vectors = [keys[i] for i in live], [until[i] for i in live], [vectors[i] for i in live]
-            v = np.asarray(e, dtype=np.float32)
-            v = v / n if (n := np.linalg.norm(v)) > 0 else v
-            near = np.stack(vectors) @ v if keys else np.zeros(0)
-            best = int(near.argmax()) if len(near) else -1
-            hit = best >= 0 and near[best] >= threshold
-            out.append((rows[cache].iloc[0], o, bool(hit), keys[best] if hit else None, round(float(near[best]), 4) if best >= 0 else None))
-            if not hit:
-                if k in keys:
-                    i = keys.index(k)
-                    until[i], vectors[i] = t + ttl, v
-                else:
-                    keys.append(k)
-                    until.append(t + ttl)
-                    vectors.append(v)
-                if len(keys) > size:
-                    keys, until, vectors = keys[1:], until[1:], vectors[1:]
-        return pd.DataFrame(out, columns=[cache, order, "hit", "matched", "similarity"])
+    def start():
+        store = SemanticStore(ttl, size)
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for c, o, t, k, e in zip(rows[cache], rows[order], rows[seconds], rows[key], rows[embedding]):
+                v = store.unit(e)
+                found, similarity, _ = store.get(v, t, threshold)
+                out.append((c, o, found is not None, found, similarity))
+                if found is None:
+                    store.put(k, v, t)
+            return pd.DataFrame(out, columns=[cache, order, "hit", "matched", "similarity"])
+
+        return step
 
     kinds = {f.name: f.dataType.simpleString() for f in log.schema}
     schema = f"{cache} {kinds[cache]}, {order} {kinds[order]}, hit boolean, matched {kinds[key]}, similarity double"
-    return folded(log.select(cache, order, seconds, key, embedding), cache, step, schema)
+    return folded(log.select(cache, order, seconds, key, embedding), cache, [order], start, schema)
 
 
 def follow_ups(turns: DataFrame) -> DataFrame:
@@ -180,22 +307,29 @@ def follow_ups(turns: DataFrame) -> DataFrame:
             return "order_modifier_without_item"
         return None
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        last, business, topic, open_order, out = None, None, [], False, []
-        for n, r in enumerate(rows.sort_values("turn").itertuples(), start=1):
-            text = r.text or ""
-            why = reason(text, r.intent, bool(r.weak), last, None if business is None else n - business, open_order)
-            segments = [*topic, text] if why else [text]
-            if len(segments) > lx.MAX_SEGMENTS:
-                segments = [segments[0], *segments[-(lx.MAX_SEGMENTS - 1) :]]
-            intent = last if why else r.intent
-            if intent in lx.FOLLOWUP_INTENTS:  # greetings leave the topic as it was
-                last, business, topic, open_order = intent, n, segments, getattr(r, "action", None) in lx.ORDER_QUESTIONS
-            out.append((r.session, r.turn, intent, why, " ".join(segments)))
-        return pd.DataFrame(out, columns=["session", "turn", "intent", "reason", "query"])
+    def start():
+        last, business, topic, open_order, n = None, None, [], False, 0
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal last, business, topic, open_order, n
+            out = []
+            for r in rows.itertuples():
+                n += 1
+                text = r.text or ""
+                why = reason(text, r.intent, bool(r.weak), last, None if business is None else n - business, open_order)
+                segments = [*topic, text] if why else [text]
+                if len(segments) > lx.MAX_SEGMENTS:
+                    segments = [segments[0], *segments[-(lx.MAX_SEGMENTS - 1) :]]
+                intent = last if why else r.intent
+                if intent in lx.FOLLOWUP_INTENTS:  # greetings leave the topic as it was
+                    last, business, topic, open_order = intent, n, segments, getattr(r, "action", None) in lx.ORDER_QUESTIONS
+                out.append((r.session, r.turn, intent, why, " ".join(segments)))
+            return pd.DataFrame(out, columns=["session", "turn", "intent", "reason", "query"])
+
+        return step
 
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
-    return folded(turns, "session", step, f"session {kinds['session']}, turn {kinds['turn']}, intent string, reason string, query string")
+    return folded(turns, "session", ["turn"], start, f"session {kinds['session']}, turn {kinds['turn']}, intent string, reason string, query string")
 
 
 class Cart:
@@ -302,9 +436,9 @@ class Cart:
 def dialogues(turns: DataFrame) -> DataFrame:
     """session, turn, event, lines, total, pending and submitted, from session, turn, text, intent and resolved orders (action, item, size, quantity, price)."""
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        cart, out = Cart(), []
-        for r in rows.sort_values("turn").itertuples():
+    def talk(cart: Cart, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in rows.itertuples():
             event = cart.hear(r.text or "")
             if event is None:
                 line = None if pd.isna(r.price) else {"item": r.item, "size": r.size, "quantity": int(r.quantity), "price": int(r.price)}
@@ -315,8 +449,12 @@ def dialogues(turns: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
     wanted = turns.select("session", "turn", "text", "intent", "action", "item", F.col("size").alias("size"), "quantity", "price")
     wanted = wanted.withColumnRenamed("size", "size_")
-    named = lambda rows: step(rows.rename(columns={"size_": "size"}))
-    return folded(wanted, "session", named, f"session {kinds['session']}, turn {kinds['turn']}, event string, lines long, total long, pending string, submitted long")
+
+    def start():
+        cart = Cart()
+        return lambda rows: talk(cart, rows.rename(columns={"size_": "size"}))
+
+    return folded(wanted, "session", ["turn"], start, f"session {kinds['session']}, turn {kinds['turn']}, event string, lines long, total long, pending string, submitted long")
 
 
 def summaries(messages: DataFrame) -> DataFrame:
@@ -327,16 +465,22 @@ def summaries(messages: DataFrame) -> DataFrame:
     """
     limit = int(lx.CONTEXT_TOKENS * lx.SUMMARY_RATIO)
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
+    def start():
         history: list[str] = []
-        summary, out = None, []
-        for r in rows.sort_values("turn").itertuples():
-            history.append(r.text or "")
-            if sum(max(1, len(t) // lx.CHARS_PER_TOKEN) for t in history) >= limit and len(history) > lx.HISTORY_WINDOW:
-                summary = "\n".join(history[: -lx.HISTORY_WINDOW])[: lx.SUMMARY_CHARS]
-                history = history[-lx.HISTORY_WINDOW :]
-            out.append((r.session, r.turn, len(history), summary))
-        return pd.DataFrame(out, columns=["session", "turn", "kept", "summary"])
+        summary = None
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal summary
+            out = []
+            for r in rows.itertuples():
+                history.append(r.text or "")
+                if sum(max(1, len(t) // lx.CHARS_PER_TOKEN) for t in history) >= limit and len(history) > lx.HISTORY_WINDOW:
+                    summary = "\n".join(history[: -lx.HISTORY_WINDOW])[: lx.SUMMARY_CHARS]
+                    del history[: -lx.HISTORY_WINDOW]
+                out.append((r.session, r.turn, len(history), summary))
+            return pd.DataFrame(out, columns=["session", "turn", "kept", "summary"])
+
+        return step
 
     kinds = {f.name: f.dataType.simpleString() for f in messages.schema}
-    return folded(messages.select("session", "turn", "text"), "session", step, f"session {kinds['session']}, turn {kinds['turn']}, kept long, summary string")
+    return folded(messages.select("session", "turn", "text"), "session", ["turn"], start, f"session {kinds['session']}, turn {kinds['turn']}, kept long, summary string")
