@@ -112,6 +112,14 @@ def hash_slot(token: Column, dim: int = lx.EMBEDDING_DIM) -> Column:
     return F.conv(F.substring(F.md5(token), 30, 3), 16, 10).cast("int").bitwiseAND(dim - 1)
 
 
+def hash_vector(words: Column, dim: int = lx.EMBEDDING_DIM, normal: bool = True) -> Column:
+    """A hashed bag of words: how often each slot occurs, at length 1 if normal; null for no words."""
+    slots = F.transform(words, lambda w: hash_slot(w, dim))
+    counts = F.map_from_entries(F.transform(F.array_distinct(slots), lambda s: F.struct(s.alias("s"), F.size(F.filter(slots, lambda x: x == s)).cast("double").alias("n"))))
+    dense = let({"m": counts}, lambda v: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(v["m"], i), F.lit(0.0))))
+    return F.when(F.size(words) > 0, unit(dense) if normal else dense)
+
+
 def cache_text(c: Column) -> Column:
     return strip(F.regexp_replace(squeeze(strip(F.lower(c))), "[?!。！？]+$", ""))
 

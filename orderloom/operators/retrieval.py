@@ -190,6 +190,63 @@ def boost_topics(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.join(q, "query_id").withColumn("score", F.col("score") + added).drop("q")
 
 
+def retrieve_hybrid(queries: DataFrame, nodes: DataFrame, k: int = lx.TOP_K) -> DataFrame:
+    """Keyword and vector search, k of either, fused; sources on a topic of the query are raised for queries of intent faq."""
+    fused = fuse(retrieve_by_keyword(queries, nodes, k), retrieve_by_vector(queries, nodes, k), k).withColumn("plain", F.col("score"))
+    raised = boost_topics(fused.join(nodes.select("source_id", "topic"), "source_id"), queries)
+    score = F.when(F.col("intent") == "faq", F.col("score")).otherwise(F.col("plain"))
+    return raised.withColumn("score", score).select("query_id", "intent", "source_id", "source_type", "text", "score")
+
+
+def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """source_id and near, its neighbours (source_id, source_type, text, share of its score): a bounded list, whatever is asked.
+
+    Documents have those next and before and what they mention, FAQ entries what they mention, menu items others of their category.
+    """
+    target = nodes.select(F.col("source_id").alias("target_id"), F.col("source_type").alias("to_type"), F.col("text").alias("to_text"))
+
+    def along(relation: str, kinds: list[str], limit: int, both_ways: bool) -> DataFrame:
+        step = edges.where(F.col("relation") == relation).select("source_id", "target_id")
+        if both_ways:
+            step = step.unionByName(step.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
+        own = nodes.where(F.col("source_type").isin(kinds)).select("source_id")
+        step = step.where("source_id <> target_id").distinct().join(own, "source_id", "left_semi")
+        found = top(step, limit, [F.asc("target_id")], ("source_id",)).join(target, "target_id")
+        return found.select("source_id", "target_id", "to_type", "to_text", F.lit(lx.EXPANSION_WEIGHT * lx.ENTITY_FACTOR).alias("share"))
+
+    menu = nodes.where("source_type = 'menu' and category is not null").select("source_id", "category")
+    first = top(menu, lx.CATEGORY_LIMIT + 1, [F.asc("source_id")], ("category",)).select("category", F.col("source_id").alias("target_id"))
+    kin = top(menu.join(first, "category").where("source_id <> target_id").select("source_id", "target_id"), lx.CATEGORY_LIMIT, [F.asc("target_id")], ("source_id",)).join(target, "target_id")
+    kin = kin.select("source_id", "target_id", "to_type", "to_text", F.lit(lx.EXPANSION_WEIGHT * lx.CATEGORY_FACTOR).alias("share"))
+    all_ = along("NEXT", ["document"], lx.NEIGHBOR_LIMIT, True).unionByName(along("MENTIONS", ["document", "faq"], lx.ENTITY_LIMIT, False)).unionByName(kin)
+    one = F.struct(F.col("target_id").alias("source_id"), F.col("to_type").alias("source_type"), F.col("to_text").alias("text"), "share")
+    return all_.groupBy("source_id").agg(F.collect_list(one).alias("near"))
+
+
+def expand_by_type(hits: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The hits and their neighbours, with expanded telling these apart; hits are read once."""
+    near = hits.join(neighbours(nodes, edges), "source_id", "left")
+    own = F.struct("source_id", "source_type", "text", "score", F.lit(False).alias("expanded"))
+    others = F.transform(F.coalesce("near", F.array()), lambda n: F.struct(n["source_id"].alias("source_id"), n["source_type"].alias("source_type"), n["text"].alias("text"), (F.col("score") * n["share"]).alias("score"), F.lit(True).alias("expanded")))
+    return near.select("query_id", "intent", F.explode(F.concat(F.array(own), others)).alias("h")).select("query_id", "intent", "h.*")
+
+
+def retrieve_with_graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = lx.TOP_K, scorer=None) -> DataFrame:
+    """Hybrid retrieval of a pool wider than k, its neighbours, a light rerank of both, and a scorer's cut to k."""
+    wide = expand_by_type(retrieve_hybrid(queries, nodes, lx.POOL), edges, nodes)
+    return model_rerank(light_rerank(best_of_each(wide), queries), queries, scorer, k)
+
+
+def retrieve_auto(mode: str, queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = lx.TOP_K) -> DataFrame:
+    """query_id, source_id, source_type and score by the mode named: vector, hybrid, hybrid_graph, else keyword."""
+    ways = {
+        "vector": lambda: retrieve_by_vector(queries, nodes, k),
+        "hybrid": lambda: retrieve_hybrid(queries, nodes, k),
+        "hybrid_graph": lambda: retrieve_with_graph(queries, nodes, edges, k),
+    }
+    return ways.get(mode, lambda: retrieve_by_keyword(queries, nodes, k))().select("query_id", "source_id", "source_type", "score")
+
+
 def expand(hits: DataFrame, edges: DataFrame, nodes: DataFrame, relation: str, factor: float, limit: int, both_ways: bool = False) -> DataFrame:
     """Neighbours of the hits along one relation of edges (source_id, relation, target_id), with a share of their scores."""
     step = edges.where(F.col("relation") == relation).select("source_id", "target_id")

@@ -29,8 +29,9 @@ def holding(texts: DataFrame, key: str, fields: str, needles: DataFrame, needle:
     asked = needles.where(F.col(needle).isNotNull()).select(needle).distinct()
     own = F.least(F.lit(GRAM), F.char_length(needle))
     parts = asked.select(needle, F.explode(F.when(F.col(needle) == "", F.array(F.lit(""))).otherwise(runs(F.col(needle), own))).alias("run"))
+    sizes = [r[0] for r in asked.where(F.col(needle) != "").select(own).distinct().collect()]  # GRAM numbers at most
     given = F.filter(fields, lambda f: f.isNotNull())
-    each = F.flatten(F.transform(given, lambda f: F.concat(*[runs(f, F.lit(n)) for n in range(1, GRAM + 1)])))
+    each = F.flatten(F.transform(given, lambda f: F.concat(F.array().cast("array<string>"), *[runs(f, F.lit(n)) for n in sorted(sizes)])))
     listed = texts.select(key, F.explode(F.array_append(F.array_distinct(each), F.lit(""))).alias("run"))
     counts = listed.join(parts.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("run").alias("run")))

@@ -186,26 +186,6 @@ def sibling_expansion(t: Tables) -> DataFrame:
 LEXICAL_SQL = f"list_filter(list_distinct(string_split_regex(trim(translate(lower({{}}), '?.,:;|-_', '        ')), '\\s+')), lambda w: w <> '' AND NOT list_contains([{', '.join(chr(39) + w + chr(39) for w in lx.LEXICAL_STOPWORDS)}], w))"
 
 
-def retrieve(t: Tables, k: int = lx.TOP_K) -> DataFrame:
-    """Keyword retrieval, its siblings in the graph, lexical rerank: the flagship plan."""
-    q, n = asked(t), nodes(t)
-    hits = retrieval.retrieve_by_keyword(q, n)
-    wide = hits.withColumn("expanded", F.lit(False)).unionByName(retrieval.expand_siblings(hits, n).withColumn("expanded", F.lit(True)))
-    return retrieval.model_rerank(retrieval.light_rerank(retrieval.best_of_each(wide), q), q, None, k)
-
-
-@query(f"""WITH {RETRIEVAL_SQL}, {SIBLINGS_SQL},
-a AS (SELECT query_id, source_id, source_type, text, score, false AS expanded FROM ranked WHERE place <= 5 UNION ALL SELECT query_id, source_id, source_type, text, score, true FROM sib),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY score DESC, expanded) AS r FROM a) WHERE r = 1),
-c AS (SELECT b.query_id, b.source_id, b.source_type, q.intent, expanded, score, {LEXICAL_SQL.format("q.text")} AS qt, {LEXICAL_SQL.format("b.text")} AS bt FROM b JOIN asked q USING (query_id)),
-d AS (SELECT query_id, source_id, (score + CASE WHEN len(qt) = 0 OR len(bt) = 0 THEN 0 ELSE len(list_intersect(qt, bt))::DOUBLE / len(qt) END * 0.15::DOUBLE)
-  * CASE WHEN expanded THEN 0.85 ELSE 1 END::DOUBLE * CASE WHEN intent = 'order' AND source_type = 'menu' THEN 1.1 WHEN intent = 'faq' AND source_type = 'faq' THEN 1.1
-    WHEN intent = 'consultant' AND source_type IN ('menu', 'document') THEN 1.05 ELSE 1 END::DOUBLE AS score FROM c)
-SELECT query_id, source_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_id) AS p FROM d) WHERE p <= 5""")
-def graph_retrieval(t: Tables) -> DataFrame:
-    return rounded(retrieve(t).select("query_id", "source_id", "score"), "score")
-
-
 @query(f"""WITH {RETRIEVAL_SQL}
 SELECT query_id, source_id, round(score + CASE WHEN topic = 'wifi' OR contains(lower(r.text), 'wifi') THEN 0.35 ELSE 0 END::DOUBLE, 6) AS score
 FROM (SELECT * FROM ranked WHERE place <= 5) r JOIN (SELECT source_id, topic FROM nodes) USING (source_id)""")

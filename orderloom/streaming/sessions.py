@@ -193,6 +193,11 @@ def cacheable(intent: Column, answer: Column, enabled: bool = True, skip: list[s
     return asked, asked & F.coalesce(tx.strip(answer) != "", F.lit(False))
 
 
+def invalidated(key: Column, scope: Column) -> Column:
+    """Whether clearing a scope, an intent or all, takes the entry of this key."""
+    return (scope == "all") | key.startswith(F.concat(scope, F.lit(":")))
+
+
 def two_tier_cache(log: DataFrame, ttl: int = lx.CACHE_TTL, size: int = lx.CACHE_SIZE) -> DataFrame:
     """intent, seq, tier, matched, similarity and stored for a log of intent, seq, seconds, op, key, text, answer, embedding and tags.
 
