@@ -19,6 +19,18 @@ EASY_ONLY, ADVICE = "Dạ, nếu anh/chị muốn món dễ uống, ", "Dạ, em
 NATURAL_STARTS = ["dạ", "với tiêu chí", "nếu anh", "nếu chị"]
 POLITE = {"vi": ["nhé", "ạ", "em nhé", "giúp anh nhé", "giúp mình với"], "en": ["please", "thanks", "for me please"]}
 TYPOS = [("không", "ko"), ("mình", "mik"), ("quán", "quan"), ("được", "dc"), ("wifi", "wf"), ("cà phê", "cafe"), ("mật khẩu", "pass")]
+ORDER_STEPS = {
+    "ask_item": "ASK_ITEM — hỏi khách muốn món nào trong CANDIDATE_ITEMS.",
+    "ask_size": "ASK_SIZE — liệt kê các size kèm giá trong AVAILABLE_SIZES và hỏi khách chọn size nào.",
+    "size_unavailable": "SIZE_UNAVAILABLE — báo size khách chọn không có, mời chọn size trong AVAILABLE_SIZES.",
+    "confirm": "CONFIRM — nhắc lại số lượng, tên món, size, giá mỗi ly và xin khách xác nhận.",
+}
+ORDER_RULES = ["- Follow NEXT_ACTION exactly; ask only one question.", "- Never pick a size for the customer.", "- Do not confirm the order as completed.", "- Do not calculate total price.", "- Do not invent item, size, price, topping, or discount."]
+UNKNOWN_NAME, UNKNOWN_SIZE = "(chưa rõ)", "(khách chưa chọn)"
+REMINDER = "À, món **%s** lúc nãy anh/chị xác nhận giúp em để em thêm vào đơn nhé?"
+INTENT_LABELS = {"order": ("🛒", "Đặt hàng"), "consultant": ("💡", "Tư vấn"), "faq": ("❓", "Hỏi đáp"), "ignore": ("🔇", "Không rõ")}
+OTHER_INTENT = "🤖"
+SUMMARY_HEAD = "TÓM TẮT HỘI THOẠI TRƯỚC ĐÓ:"
 FAQ_MAX, CONSULTANT_MAX, SUPPORTING_MAX = 5, 5, 3
 
 
@@ -145,3 +157,71 @@ def noisy(text: Column, key: Column, language: Column, typo: float = 0.08, polit
 
 def new_id(prefix: str) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.replace(F.uuid(), F.lit("-")), 1, 16))
+
+
+def order_context(action: Column, item: Column, quantity: Column, size: Column, price: Column, variants: Column, choices: Column, description: Column) -> Column:
+    """The state of an order and the next step, for a model; empty where nothing matched. variants: array of size and price; choices: array of name and variants."""
+    line = lambda head, value: F.concat(F.lit(f"- {head}: "), value)
+    asked = F.concat(tx.words_in([f"- item: {UNKNOWN_NAME}", "CANDIDATE_ITEMS:"]), F.transform(choices, lambda c: F.concat(F.lit("- "), c["name"], F.lit(": "), price_range(c["variants"]))))
+    sizes = F.transform(variants, lambda v: F.concat(F.lit("- "), v["size"], F.lit(": "), tx.vnd(v["price"])))
+    told = F.when(F.size(variants) > 0, F.array(line("description", tx.short_description(description)))).otherwise(F.array().cast("array<string>"))
+    known = F.concat(F.array(line("item", item), F.lit("AVAILABLE_SIZES:")), sizes, told)
+    chosen = F.when(price.isNotNull(), F.array(F.concat(F.lit("- selected: "), F.coalesce(size, variants[0]["size"]), F.lit(" — "), tx.vnd(price), F.lit("/ly")))).otherwise(F.array().cast("array<string>"))
+    step = F.coalesce(*[F.when(action == a, F.lit(f"NEXT_ACTION: {x}")) for a, x in ORDER_STEPS.items()])
+    lines = F.concat(
+        tx.words_in(["ORDER_STATE:"]), F.when(action == "ask_item", asked).otherwise(known),
+        F.array(line("quantity", quantity.cast("string")), line("requested_size", F.coalesce(size, F.lit(UNKNOWN_SIZE)))), chosen, F.array(F.lit(""), step), tx.words_in(["", "ORDER_RULES:", *ORDER_RULES]),
+    )
+    return F.when(action == "no_match", "").otherwise(F.array_join(lines, "\n"))
+
+
+def line_label(quantity: Column, item: Column, size: Column) -> Column:
+    return F.concat(quantity.cast("string"), F.lit(" "), item, F.when(F.coalesce(size, F.lit("")) != "", F.concat(F.lit(" size "), size)).otherwise(""))
+
+
+def pending_reminder(intent: Column, pending: Column, label: Column) -> Column:
+    """What is added to an answer about something else while a line waits to be confirmed; null where nothing is."""
+    return F.when(~intent.isin("order", "ignore") & (pending == "confirm_line"), F.format_string(REMINDER, label))
+
+
+def footer(intent: Column, latency: Column, cache: Column, followup: Column, session: Column) -> Column:
+    """Below an answer: intent, cache tier (null: no hit), the question as understood (null: no follow-up), milliseconds, session."""
+    emoji = F.coalesce(*[F.when(intent == i, F.lit(e)) for i, (e, _) in INTENT_LABELS.items()], F.lit(OTHER_INTENT))
+    label = F.coalesce(*[F.when(intent == i, F.lit(x)) for i, (_, x) in INTENT_LABELS.items()], intent)
+    tier = F.concat(F.upper(F.substring(cache, 1, 1)), F.lower(F.substring(cache, 2, 99)))
+    hit = F.when(cache.isNull(), "").otherwise(F.concat(F.lit(" · ⚡ "), F.when(cache == "", "Cache").otherwise(tier), F.lit(" hit")))
+    asked = F.when(followup.isNull(), "").otherwise(F.concat(F.lit("  ·  ↪ *"), followup, F.lit("*")))
+    return F.concat(F.lit("\n\n---\n"), emoji, F.lit(" **"), label, F.lit("**"), hit, asked, F.lit("  ·  `"), F.bround(latency).cast("long").cast("string"), F.lit(" ms`  ·  `"), session, F.lit("`"))
+
+
+def model_request(system: Column, summary: Column, history: Column, context: Column, question: Column) -> Column:
+    """Messages for a model: the system prompt with a summary, known roles that are not blank, and the question with its context. history: array of role and content."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    prompt = F.when(filled(summary), tx.strip(F.concat(F.coalesce(system, F.lit("")), F.lit(f"\n\n{SUMMARY_HEAD}\n"), summary))).otherwise(F.coalesce(system, F.lit("")))
+    kept = F.filter(history, lambda m: m["role"].isin("user", "assistant", "system") & (tx.strip(m["content"]) != ""))
+    kept = F.transform(kept, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    asked = F.when(filled(context), F.concat(F.lit("CONTEXT:\n"), context, F.lit("\n\nUSER QUESTION:\n"), question)).otherwise(question)
+    first = F.when(prompt != "", F.array(message("system", prompt))).otherwise(F.slice(F.array(message("system", prompt)), 1, 0))
+    return F.concat(first, kept, F.array(message("user", asked)))
+
+
+def coerced(value: Column, valid: list[str], fallback: Column) -> Column:
+    """A model's label where it is one of the valid ones, else the router's."""
+    return F.when(value.isin(valid), value).otherwise(fallback)
+
+
+def extraction_value(extraction: Column, key: str) -> Column:
+    """A text field of an extraction in JSON, trimmed; empty where it is missing or no text."""
+    v = F.try_parse_json(extraction)
+    return F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")) == "STRING", tx.strip(F.try_variant_get(v, f"$.{key}", "string"))).otherwise("")
+
+
+def menu_embedding_input(name: Column, english: Column, category: Column, description: Column, price: Column, size: Column) -> Column:
+    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.concat(F.concat_ws(" | ", part(name), part(english), part(category), part(description), F.concat(part(price), F.lit(" VND")), F.concat(F.lit("Size "), part(size))))
+
+
+def faq_embedding_input(topic: Column, question: Column, answer: Column) -> Column:
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(F.lit("Topic: "), part(topic), F.lit("\nQuestion: "), part(question), F.lit("\nAnswer: "), part(answer))

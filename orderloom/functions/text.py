@@ -180,6 +180,29 @@ def diacritic_language(c: Column) -> Column:
     return F.when(low.rlike(lx.VI_DIACRITICS) | any_of(low, lx.EXTRACTOR_VI_MARKERS), "vi").otherwise("en")
 
 
+def any_marker_language(c: Column) -> Column:
+    """vi where any Vietnamese letter or pronoun occurs, else en: the rule of the trained router and of the dataset generator."""
+    return F.when(any_of(F.lower(c), lx.ANY_VI_MARKERS), "vi").otherwise("en")
+
+
+def item_name(passage: Column) -> Column:
+    """What stands before a passage's first bar."""
+    return strip(F.substring_index(passage, "|", 1))
+
+
+def subject_vi(c: Column) -> Column:
+    """Who a Vietnamese sample is for, in the dataset's terms; empty if it does not say."""
+    low = strip(F.regexp_replace(F.lower(c), r"\s+#\d+$", ""))
+    who = "anh|chị|em|mình|tôi|tui|bọn em|tụi em"
+    found = [F.nullif(F.regexp_extract(low, uni(p), 1), F.lit("")) for p in (rf"\bcho\s+({who})\b", rf"\b({who})\s+(?:muốn|cần|hỏi|xin|đặt|gọi|lấy|order|thích)\b")]
+    return F.coalesce(*found, F.lit(""))
+
+
+def subject_en(c: Column) -> Column:
+    said = lambda words: c.rlike(uni(rf"(?i)\b{words}\b"))
+    return F.when(said("my friend and i"), "my friend and I").when(said("we"), "we").when(said("i"), "I").otherwise("")
+
+
 def generated_language(c: Column) -> Column:
     """vi by diacritics, en by a common English word, else unknown."""
     low = F.lower(c)

@@ -11,6 +11,10 @@ VI_DIACRITICS = "[àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹ
 ENGLISH_WORDS = r"\b(hello|hi|order|coffee|tea|recommend|what|which|where)\b"
 VI_MARKERS = ["anh", "chị", "em", "cho", "món", "quán", "cà phê", "trà", "sữa", "đá", "nóng", "ngon", "giá", "wifi", "mấy giờ"]
 EN_MARKERS = ["hello", "hi", "order", "coffee", "tea", "recommend", "wifi", "open", "close", "price", "menu", "pay"]
+ANY_VI_MARKERS = [
+    "à", "á", "ạ", "ả", "ã", "ă", "ắ", "ằ", "ẳ", "ẵ", "ặ", "â", "ấ", "ầ", "ẩ", "ẫ", "ậ", "đ", "ê", "ế", "ề", "ể", "ễ", "ệ",
+    "ô", "ố", "ồ", "ổ", "ỗ", "ộ", "ơ", "ớ", "ờ", "ở", "ỡ", "ợ", "ư", "ứ", "ừ", "ử", "ữ", "ự", "quán", "món", "cho", "anh", "chị", "em", "mình",
+]
 EXTRACTOR_VI_MARKERS = ["đ", "ă", "â", "ê", "ô", "ơ", "ư", "anh", "chị", "em", "mình", "quán", "món", "giá", "ngon", "mật khẩu", "gợi ý", "đóng cửa", "mở cửa"]
 
 # --- fixed values: rule router --------------------------------------------------------------

@@ -127,3 +127,19 @@ def variants_of(names: DataFrame, menu: DataFrame) -> DataFrame:
     )
     found = names.withColumn("k", F.lower("name")).join(own, "k", "left")
     return found.select("name", F.transform(F.coalesce("variants", F.array().cast(own.schema["variants"].dataType)), lambda v: F.struct(v["size"].alias("size"), v["price"].alias("price"))).alias("variants"))
+
+
+def seed_counts(products_: DataFrame, faqs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """kind and n: how much a seed brings, each table counted by itself."""
+    own = products_.agg(F.count("*").alias("products"), F.coalesce(F.sum(F.size("variants")), F.lit(0)).alias("variants"), F.coalesce(F.sum(F.size("option_groups")), F.lit(0)).alias("option_links"))
+    found = own.select(F.explode(F.create_map(*[x for k in own.columns for x in (F.lit(k), F.col(k))])).alias("kind", "n"))
+    for kind, df in (("faqs", faqs), ("chunks", chunks)):
+        found = found.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n"))
+    return found
+
+
+def projection(menu: DataFrame, faqs: DataFrame, chunks: DataFrame, topics: DataFrame) -> DataFrame:
+    """All edges of the graph: categories, tags and ingredients of menu items, topics that FAQ entries mention, chunks next to each other in their document."""
+    edges = menu.select("source_id", F.lit("BELONGS_TO").alias("relation"), F.col("category").alias("target_id"))
+    edges = edges.unionByName(list_edges(menu, "tags", "HAS_TAG", "tag::")).unionByName(list_edges(menu, "ingredients", "HAS_INGREDIENT"))
+    return edges.unionByName(mention_edges(faqs, topics)).unionByName(next_edges(chunks, within="document"))

@@ -42,3 +42,15 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def overwrite(df: DataFrame, path: str) -> None:
     """A table replaced as a whole: reset, wipe and rebuild."""
     df.write.mode("overwrite").parquet(path)
+
+
+def write_dataset(samples: DataFrame, path: str, keys: list[str], expected: int | None = None) -> DataFrame:
+    """Samples as JSON Lines under path/data and their counts by keys as JSON under path/stats, read back and returned; the data written must be as many as expected."""
+    write_jsonl(samples, f"{path}/data")
+    written = samples.sparkSession.read.schema(samples.schema).json(f"{path}/data")
+    stats = written.groupBy(*keys).agg(F.count("*").alias("n"))
+    stats.write.mode("overwrite").json(f"{path}/stats")
+    n = written.count()
+    if expected is not None and n != expected:
+        raise ValueError(f"{n} samples were written, not {expected}")
+    return samples.sparkSession.read.schema(stats.schema).json(f"{path}/stats")

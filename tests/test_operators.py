@@ -6,6 +6,7 @@ from collections import OrderedDict
 import pytest
 from pyspark.sql import functions as F
 
+from orderloom.functions import answers
 from orderloom.functions import text as tx
 from orderloom.operators import catalog, intents, metrics, retrieval
 from orderloom.sources import files
@@ -91,6 +92,32 @@ def test_catalog(spark, tmp_path):
     assert [(v.id, v.size, v.price) for v in p.variants] == [("m1", "S", 35000), ("m2", "M", 45000)]
 
 
+def test_order_contexts(spark):
+    v = [("M", 49000), ("L", 59000)]
+    rows = [("confirm", "Latte", 2, "L", 59000, v, None), ("ask_size", "Latte", 1, None, None, v, None), ("ask_item", None, 1, None, None, None, [("Latte", v), ("Mocha", v[:1])]), ("no_match", None, 1, None, None, None, None)]
+    df = spark.createDataFrame(rows, "action string, item string, quantity int, size string, price int, variants array<struct<size:string,price:int>>, choices array<struct<name:string,variants:array<struct<size:string,price:int>>>>")
+    c = F.col
+    got = [r.x for r in df.select(answers.order_context(c("action"), c("item"), c("quantity"), c("size"), c("price"), c("variants"), c("choices"), F.lit("Latte — mild, hot. Good.")).alias("x")).collect()]
+    rules = "\n\nORDER_RULES:\n" + "\n".join(answers.ORDER_RULES)
+    head = "ORDER_STATE:\n- item: Latte\nAVAILABLE_SIZES:\n- M: 49.000đ\n- L: 59.000đ\n- description: mild, hot\n"
+    assert got[0] == head + "- quantity: 2\n- requested_size: L\n- selected: L — 59.000đ/ly\n\nNEXT_ACTION: " + answers.ORDER_STEPS["confirm"] + rules
+    assert got[1] == head + f"- quantity: 1\n- requested_size: {answers.UNKNOWN_SIZE}\n\nNEXT_ACTION: " + answers.ORDER_STEPS["ask_size"] + rules
+    assert got[2].startswith(f"ORDER_STATE:\n- item: {answers.UNKNOWN_NAME}\nCANDIDATE_ITEMS:\n- Latte: 49.000–59.000đ\n- Mocha: 49.000đ\n- quantity: 1\n") and got[3] == ""
+
+
+def test_subjects_and_fields(spark):
+    assert values(spark, ["Cho chị 1 trà #12", "mình muốn gọi", "bọn em đặt", "trà đào"], tx.subject_vi) == ["chị", "mình", "bọn em", ""]
+    assert values(spark, ["My friend and I want tea", "can we", "I want", "tea"], tx.subject_en) == ["my friend and I", "we", "I", ""]
+    assert values(spark, ['{"a": " x "}', '{"a": 5}', "{", None], lambda c: answers.extraction_value(c, "a")) == ["x", "", "", ""]
+
+
+def test_datasets_are_counted_when_written(spark, tmp_path):
+    df = spark.createDataFrame([(i, "ab"[i % 2], None) for i in range(5)], "i int, k string, none string")
+    assert sorted(map(tuple, files.write_dataset(df, f"{tmp_path}/d", ["k"], 5).collect())) == [("a", 3), ("b", 2)]
+    with pytest.raises(ValueError):
+        files.write_dataset(df, f"{tmp_path}/e", ["k"], 6)
+
+
 def test_files(spark, tmp_path):
     src = tmp_path / "docs.jsonl"
     src.write_text('{"id": "a", "text": "x", "chunk_index": 1}\n\n{"id": "b", "entities": [{"name": "n"}]}\n')
