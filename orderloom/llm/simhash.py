@@ -180,7 +180,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: that of the least id, rows without an id last, and of rows with that id any one.
 
     Rows are told apart by a key of their own, written once with them, so neither equal ids nor equal rows matter.
-    What is decided travels in narrow rows; the documents are read once more for a semi-join with the kept keys.
+    What is decided travels in narrow rows; the documents are read once more and shuffled once, unsorted, for a semi-join
+    with the kept keys, in the same way at every size.
     """
     own, row = [F.col(c) for c in docs.columns], free_name(docs, "_row")
     keyed = materialize(docs.select(*own, F.monotonically_increasing_id().alias(row)), "keyed")
@@ -188,7 +189,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = narrow.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     rooted = with_root(materialize(first, "fingerprint-rows"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return keyed.join(materialize(kept, "kept-rows"), row, "left_semi").select(*docs.columns)
+    return keyed.join(materialize(kept, "kept-rows").hint("shuffle_hash"), row, "left_semi").select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
