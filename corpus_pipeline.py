@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orderloom.llm import byte_bpe, mixing, quality, secret_scan, simhash
-from orderloom.llm._shared import materialize, table
+from orderloom.llm._shared import keep, materialize, remove, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's result over the written results of the others; what only an earlier stage read is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            remove(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
