@@ -156,7 +156,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def with_encoding(df: DataFrame, ranks: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """df and its text's ids, as array<int>."""
+    """df and its text's ids, as array<int>; a column named into is replaced."""
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
@@ -167,7 +167,7 @@ def with_encoding(df: DataFrame, ranks: str, pattern: str, text: str = "text", i
 
 
 def with_decoding(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """df and the bytes its ids stand for; null ids give no bytes."""
+    """df and the bytes its ids stand for; null ids give no bytes, and a column named into is replaced."""
 
     @F.pandas_udf("binary")
     def decode(lists: pd.Series) -> pd.Series:

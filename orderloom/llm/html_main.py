@@ -284,7 +284,7 @@ def main_text(page: str) -> str:
 
 
 def with_main_text(df: DataFrame, html: str = "html", into: str = "main_text") -> DataFrame:
-    """df and the main text of its html column."""
+    """df and the main text of its html column; a column named into is replaced."""
 
     @F.pandas_udf("string")
     def extract(pages: pd.Series) -> pd.Series:

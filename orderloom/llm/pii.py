@@ -118,8 +118,8 @@ def features(value: Column) -> dict[str, Column]:
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, whose text is not null, with base and wider: arrays of start, end, kind, and the votes and features of each span. These two names are taken: docs must not have them."""
-    names = docs.columns
+    """docs, whose text is not null, with base and wider: arrays of start, end, kind, and the votes and features of each span. Columns of docs by these two names are replaced."""
+    names = [c for c in docs.columns if c.lower() not in ("base", "wider")]
     inner = docs.select(F.struct(*names).alias("doc"), F.col(text).alias("t"))
     found = with_spans(inner, "t", [*BASE, *WIDER])
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))

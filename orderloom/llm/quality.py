@@ -101,7 +101,7 @@ def judge(text: str, compress) -> tuple:
 
 
 def with_quality(df: DataFrame, text: str = "text", into: str = "quality_rules") -> DataFrame:
-    """df and a struct of FIELDS about its text column."""
+    """df and a struct of FIELDS about its text column; a column named into is replaced."""
 
     @F.pandas_udf(FIELDS)
     def rules(texts: pd.Series) -> pd.DataFrame:

@@ -97,9 +97,9 @@ def ownership(cands: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", with_text: bool = True) -> DataFrame:
     """docs (without text, if so asked) and: base, an array of spans; live, the spans taken for live credentials (of all kinds); n_copied, spans with copied examples; held, for each candidate its place and the owners and repositories of its value.
 
-    docs must not have columns of these four names; redact() takes any.
+    Columns of docs by these four names are replaced; redact() keeps all.
     """
-    names = [c for c in docs.columns if with_text or c != text]
+    names = [c for c in docs.columns if (with_text or c != text) and c.lower() not in ("base", "live", "n_copied", "held")]
     inner = docs.select(F.struct(*names).alias("doc"), text_of(text).alias("_text"), F.col(owner).alias("owner"), F.col(repository).alias("repository"))
     found = candidates(inner).select("doc", "owner", "repository", "base", F.concat("base", "wider").alias("spans"), F.monotonically_increasing_id().alias("rid"))
     found = materialize(found, "secret-spans")

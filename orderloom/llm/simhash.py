@@ -63,7 +63,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
-    """df and the fingerprint of its text column, as a signed 64-bit integer."""
+    """df and the fingerprint of its text column, as a signed 64-bit integer; a column named into is replaced."""
 
     @F.pandas_udf("long")
     def fingerprints(texts: pd.Series) -> pd.Series:

@@ -124,7 +124,7 @@ def counter(path: str) -> WordCounter:
 
 
 def with_token_counts(df: DataFrame, vocabulary: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
-    """df and the token count of its text column; vocabulary is a path that workers can open."""
+    """df and the token count of its text column; vocabulary is a path that workers can open. A column named into is replaced."""
 
     @F.pandas_udf("long")
     def counts(texts: pd.Series) -> pd.Series:

@@ -55,6 +55,8 @@ def test_ownership_separates_examples_from_live_values(spark):
     found = {r.doc_id: r for r in secret_scan.scan(df.drop("base")).collect()}
     assert [s.value for s in found[1].live] == [live] and found[1].n_copied == 0
     assert found[2].live == [] and found[2].n_copied == 1 and len(found) == 7
+    clash = secret_scan.scan(df)
+    assert sorted(clash.columns) == sorted([*df.columns, "held", "live", "n_copied"]) and {len(r.base) for r in clash.collect()} == {0}
     out = secret_scan.redact(df)
     assert out.columns == df.columns
     texts = {r.doc_id: r.text for r in out.collect()}

@@ -116,3 +116,9 @@ def test_clean_text_and_empty_table(spark):
     assert row.base == [] and row.wider == []
     none = pii.with_candidates(df.where(F.lit(False)))
     assert pii.with_personal_data(none, pii.fit(none)).count() == 0
+
+
+def test_columns_that_clash_are_replaced(spark):
+    df = spark.createDataFrame([(1, "x@y.com", 5, 6)], "doc_id long, text string, base int, wider int")
+    found = pii.with_candidates(df)
+    assert sorted(found.columns) == ["base", "doc_id", "text", "wider"] and found.first().base[0].kind == "email"
