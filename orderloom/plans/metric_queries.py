@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom import lexicon as lx
+from orderloom.functions import text as tx
 from orderloom.operators import metrics
 from orderloom.plans.base import TEMPLATES, UTTERANCES_SQL, Tables, query, utterances
 from orderloom.plans.dialogue_queries import ROUTER_SQL, TRUTH, routed
@@ -165,11 +166,15 @@ def subset_join(t: Tables) -> DataFrame:
     return full.groupBy("q").agg(F.count("*").alias("fits")).select(F.col("q")[0].alias("w"), "fits")
 
 
-@query("""WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey < 20), a AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)
-SELECT p_partkey, w FROM a WHERE w NOT IN (SELECT w FROM v)""")
+WORDS_SQL = r"list_filter(string_split_regex(trim(lower(text)), '\s+'), lambda w: w <> '')"
+
+
+@query(f"""WITH v AS (SELECT DISTINCT unnest({WORDS_SQL}) AS w FROM documents), a AS (SELECT DISTINCT conv_id, turn, unnest({WORDS_SQL}) AS w FROM conversations)
+SELECT conv_id, turn, w FROM a WHERE w NOT IN (SELECT w FROM v)""")
 def unknown_words(t: Tables) -> DataFrame:
-    words = t.part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("w")).distinct()
-    return words.join(words.where("p_partkey < 20").select("w").distinct(), "w", "left_anti")
+    """Words of messages that no document has."""
+    words = lambda df, *keys: df.select(*keys, F.explode(tx.tokens(F.lower("text"))).alias("w")).distinct()
+    return words(t.conversations, "conv_id", "turn").join(words(t.documents), "w", "left_anti").select("conv_id", "turn", "w")
 
 
 @query(f"""SELECT id, ['latte', 'green tea', 'mocha'][id % 3 + 1] AS name, (20 + (id * 7) % 40) * 1000 + [0, 5000, 10000][id % 3 + 1] AS price, ['S', 'M', 'L'][id % 3 + 1] AS size,
