@@ -137,19 +137,20 @@ def nearest_of_label(queries: DataFrame, entries: DataFrame, key: str, label: st
     kind = entries.schema[key].dataType.simpleString()
 
     def best(q: pa.Table, n: pa.Table) -> pa.Table:
-        at, to, scores = [], [], np.zeros((0, 0))
+        at, to, exact = [], [], np.zeros((0, 0))
         if q.num_rows and n.num_rows:
-            scores = np.round(cosines(q, n), 9)
+            exact = cosines(q, n)
+            scores = np.round(exact, 9)
             scores[q[key].to_numpy(zero_copy_only=False)[:, None] == n[key].to_numpy(zero_copy_only=False)[None, :]] = -np.inf
             order = np.argsort(n[key].to_numpy(zero_copy_only=False), kind="stable")
             to = order[scores[:, order].argmax(axis=1)]
             at = np.flatnonzero(np.isfinite(scores[np.arange(len(to)), to]))
             to = to[at]
-        return pa.table({key: q[key].take(pa.array(at, pa.int64())), "entry": n[key].take(pa.array(to, pa.int64())), "similarity": pa.array(scores[at, to] if len(at) else [], pa.float64())})
+        return pa.table({key: q[key].take(pa.array(at, pa.int64())), "entry": n[key].take(pa.array(to, pa.int64())), "similarity": pa.array(exact[at, to] if len(at) else [], pa.float64())})
 
     q, n = in_blocks(queries.select(key, label, "embedding"), key, entries.select(key, label, "embedding"), key)
     found = q.groupBy(label, "dim", "qb", "nb").cogroup(n.groupBy(label, "dim", "qb", "nb")).applyInArrow(best, f"{key} {kind}, entry {kind}, similarity double")
-    top_ = found.groupBy(key).agg(F.min_by(F.struct("entry", "similarity"), F.struct((-F.col("similarity")).alias("s"), "entry")).alias("b"))
+    top_ = found.groupBy(key).agg(F.min_by(F.struct("entry", "similarity"), F.struct((-F.round("similarity", 9)).alias("s"), "entry")).alias("b"))
     return top_.select(key, "b.entry", "b.similarity")
 
 
