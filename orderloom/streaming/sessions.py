@@ -164,9 +164,12 @@ class SemanticStore:
         live = [i for i, u in enumerate(self.until) if u > now]
         if len(live) < len(self.until):
             self.keys, self.until, self.vectors, self.tags = ([x[i] for i in live] for x in (self.keys, self.until, self.vectors, self.tags))
-        near = np.array([x @ vector if len(x) == len(vector) else -1.0 for x in self.vectors], dtype=np.float32)
-        if not len(near):
+        if not self.keys:
             return None, None, False
+        if all(len(x) == len(vector) for x in self.vectors):
+            near = np.round(np.stack(self.vectors) @ vector, 6)  # rounded, so that equal entries tie and the first answers
+        else:
+            near = np.round([x @ vector if len(x) == len(vector) else -1.0 for x in self.vectors], 6)
         best = int(near.argmax())
         alias = bool(near[best] < threshold and tags and self.tags[best] == tags)
         return (self.keys[best] if near[best] >= threshold or alias else None), round(float(near[best]), 4), alias
