@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from orderloom.llm import byte_bpe, chroma, html_main, mixing, pii, quality, secret_scan, simhash, token_counts, url_filter
+from orderloom.llm import byte_bpe, chroma, html_main, mixing, pii, prefix_trie, quality, secret_scan, simhash, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chroma_fingerprints": chroma.op8_chroma_fingerprints,
         "op9_personal_data": pii.op9_personal_data,
         "op10_html_extraction": html_main.op10_html_extraction,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -31,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_secret_scan": secret_scan.op2_sql(),
         "op3_url_filter": url_filter.op3_sql(),
         "op7_mixing": mixing.OP7_SQL,
+        "op13_prefix_trie": prefix_trie.OP13_SQL,
     }
     if corpus_pipeline.ORACLE_SQL is not None:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
