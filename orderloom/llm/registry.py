@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from orderloom.llm import byte_bpe, chroma, html_main, mixing, pii, prefix_trie, quality, secret_scan, simhash, spelling, token_counts, url_filter
+from orderloom.llm import bottom_k, byte_bpe, chroma, html_main, mixing, pii, prefix_trie, quality, secret_scan, simhash, spelling, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chroma_fingerprints": chroma.op8_chroma_fingerprints,
         "op9_personal_data": pii.op9_personal_data,
         "op10_html_extraction": html_main.op10_html_extraction,
+        "op11_bottom_k": bottom_k.op11_bottom_k,
         "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
@@ -33,6 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_secret_scan": secret_scan.op2_sql(),
         "op3_url_filter": url_filter.op3_sql(),
         "op7_mixing": mixing.OP7_SQL,
+        "op11_bottom_k": bottom_k.OP11_SQL,
         "op12_spelling_variants": spelling.OP12_SQL,
         "op13_prefix_trie": prefix_trie.OP13_SQL,
     }
