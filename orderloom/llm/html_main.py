@@ -2,14 +2,15 @@
 
 A page becomes a tree of elements, with the end tags that HTML lets authors leave
 out implied. Parts that are never article text (menus, page headers, footers,
-sidebars, notices, adverts, forms, scripts) are pruned by tag, role and hidden
-attributes. Class and id names are only evidence: whole names are judged, bad ones
+sidebars, notices, adverts, fields, scripts) are pruned by tag, role and hidden
+attributes. Forms, and class and id names, are only evidence: whole names are judged, bad ones
 are weighed against good ones, and what they speak against is pruned unless it holds
 most of the page's unlinked text; reader comments are pruned however long.
 Paragraphs pass points for their length and their commas to their ancestors, less
 to farther ones, and each ancestor's score is discounted by its link density. The
-best container is kept, with those of its siblings that score or read like article
-text.
+best container is kept. Where it is an article element, siblings that score or read like it join
+it; elsewhere, at every level above, all that stands beside it does, but for
+what is mostly links, notices, and headings that only such follows.
 
 Row-wise and without a shuffle. Null and empty pages give an empty text. No text is
 dropped by length or number; elements nested deeper than NEST are read as siblings,
@@ -46,13 +47,13 @@ ENDS = {
     "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-PRUNED = frozenset("head nav aside footer form button select dialog template svg math canvas object audio video menu search".split()) | RAW
-ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
+PRUNED = frozenset("head nav aside footer button select option datalist label dialog template svg math canvas object audio video menu search".split()) | RAW
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names that mark what is not the article, at the end of a name, or at its start before a mere holder.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar rail menu navbar nav navigation breadcrumb breadcrumbs "
     "footer masthead topbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription social share sharing related recommended "
-    "comment comments disqus respond replies pagination pager widget login signup paywall toolbar skip".split()
+    "comment comments disqus respond replies pagination pager widget login signup paywall toolbar skip copyright".split()
 )
 HOLDERS = frozenset(
     "area bar block body bottom box button buttons col column container content count group heading icon icons inner item items left link links list outer panel "
@@ -63,6 +64,10 @@ COMMENTS = frozenset("comment comments disqus respond replies".split())
 GOOD = frozenset("article body content entry main page post story text blog".split())
 ARTICLE = frozenset(("article", "main"))
 CONTAINERS = frozenset("# body article main section div center td th table details dialog fieldset".split())
+#: Blocks outside article elements, of so many characters at most, that are notices.
+NOTICE = re.compile(r"^\s*(?:©|copyright (?:©|\(c\)|\d{4}))|\ball rights reserved\b|\bwe use cookies\b", re.I)
+NOTICE_CHARS = 300
+NOTICE_HINT = re.compile("©|&copy|copyright|rights reserved|cookies|&#", re.I)
 #: Elements nested deeper are read as siblings, as browsers do.
 NEST = 512
 
@@ -97,19 +102,20 @@ def unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
     if tag in PRUNED or tag == "header" and not inside:
         return True, False, ""
     if not attributes or tag in ("html", "body"):
-        return False, False, ""
-    names = []
+        return False, tag == "form", ""
+    names, form = [], tag == "form"
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "role":
             if value.lower() in ROLES:
                 return True, False, ""
+            form = form or value.lower() == "form"
         elif name == "hidden" or name == "aria-hidden":
             if name == "hidden" or value.lower() == "true":
                 return True, False, ""
         elif name in ("class", "id"):
             names += value.split()
-    return False, tag not in ARTICLE and sum(standing(n, inside) for n in names) < 0, " ".join(names)
+    return False, tag not in ARTICLE and (form or sum(standing(n, inside) for n in names) < 0), " ".join(names)
 
 
 def tree(page: str) -> list[Node]:
@@ -220,18 +226,35 @@ def measure(nodes: list[Node]) -> None:
 
 
 def prune(nodes: list[Node]) -> None:
-    """Cuts what its names speak against, unless it holds most of the unlinked text; comments in any case."""
+    """Cuts forms and what its names speak against, unless it holds most of the unlinked text and every article element; comments in any case."""
     if not any(n.marked for n in nodes):
         return
     most = (nodes[0].chars - nodes[0].linked) / 2
+    articles = [n for n in nodes if n.tag in ARTICLE and n.chars and not n.cut]
+    unmarked = [n for n in articles if not n.marked and not any(u.marked for u in ancestors(n))]
     for node in nodes:
         if node.parent is not None and node.parent.cut:
             node.cut = True
         elif node.marked and not node.cut:
-            node.cut = node.chars - node.linked <= most or any(not COMMENTS.isdisjoint(words_of(n)) for n in node.names.split())
+            small = node.chars - node.linked <= most or bool(unmarked)
+            node.cut = small or any(not COMMENTS.isdisjoint(words_of(n)) for n in node.names.split())
     measure(nodes)
 
 
+def cut_notices(nodes: list[Node]) -> None:
+    """Cuts short blocks outside article elements that are notices."""
+    inside, found = set(), False
+    for node in nodes:
+        if node.tag in ARTICLE or node.parent is not None and id(node.parent) in inside:
+            inside.add(id(node))
+        elif node.tag in BLOCK and not node.cut and 0 < node.chars <= NOTICE_CHARS and NOTICE.search(" ".join(lines([node]))):
+            found = True
+            for part in under(node):
+                part.cut = True
+    if found:
+        measure(nodes)
+
+
 def weigh(nodes: list[Node]) -> None:
     """Points of paragraphs for their ancestors."""
     holders = {id(n.parent) for n in nodes if n.tag in BLOCK and not n.cut}
@@ -259,28 +282,93 @@ def main_text(page: str) -> str:
     nodes = tree(page)
     measure(nodes)
     prune(nodes)
+    if NOTICE_HINT.search(page):
+        cut_notices(nodes)
     weigh(nodes)
     open_ = [n for n in nodes if not n.cut and n.chars and n.tag in CONTAINERS and (n.score or n.tag in ARTICLE)]
     if not open_:
         return "\n".join(lines(nodes[:1]))
-    scores = [(value(n), -i) for i, n in enumerate(open_)]
-    best_score, at = max(scores)
+    best_score, at = max((value(n), -i) for i, n in enumerate(open_))
     best = open_[-at]
-    up = best.parent
-    while up is not None:  # a part of an article stands for the whole of it
+    for up in ancestors(best):  # a part of an article stands for the whole of it
         if up.tag in ARTICLE:
             best = up
-        up = up.parent
-    least = max(10.0, 0.2 * best_score)
-    kept = []
-    for part in best.parent.parts if best.parent is not None else [best]:
+    if best.tag in ARTICLE:
+        return "\n".join(lines(beside_article(best, max(10.0, 0.2 * best_score))))
+    kept = [best]
+    for up in ancestors(best):
+        kept, best = beside(up, best, kept), up
+    return "\n".join(lines(kept))
+
+
+def ancestors(node: Node):
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
+def units(parent: Node) -> list[list]:
+    """A parent's parts: each block by itself, and each run of text and inline elements between blocks."""
+    out: list[list] = [[]]
+    for part in parent.parts:
+        if isinstance(part, Node) and part.tag in BLOCK:
+            out += [[part], []]
+        else:
+            out[-1].append(part)
+    return [u for u in out if u]
+
+
+def reads(unit: list) -> bool:
+    """Whether a unit beside the best container is text of the page, not mostly links, nor named as something else."""
+    nodes = [p for p in unit if isinstance(p, Node) and not p.cut]
+    chars = sum(n.chars for n in nodes) + sum(len(p.strip()) for p in unit if isinstance(p, str))
+    return chars > 2 * sum(n.linked for n in nodes) and not any(n.marked for n in nodes)
+
+
+def beside(parent: Node, best: Node, kept: list) -> list:
+    """What stands for the parent: kept, for its part best, and the parts beside it that read like text; headings stay where anything after them does."""
+    out: list = []
+    follows = False
+    for unit in reversed(units(parent)):
+        if unit == [best]:
+            out[:0], follows = kept, True
+            continue
+        nodes = [p for p in unit if isinstance(p, Node)]
+        if len(unit) == 1 and nodes and nodes[0].tag in HEADINGS:
+            stays = follows and not nodes[0].cut and not nodes[0].marked
+        elif not any(n.chars and not n.cut for n in nodes) and not any(isinstance(p, str) and p.strip() for p in unit):
+            continue
+        else:
+            stays = reads(unit)
+            follows = follows or stays
+        if stays:
+            whole = Node("div", None)  # a run beside blocks is a block of its own
+            whole.parts = unit
+            out[:0] = [whole]
+    return out
+
+
+def beside_article(best: Node, least: float) -> list[Node]:
+    """The article, with siblings that score or read like it, and the heading right before it if it has none."""
+    kept: list[Node] = []
+    titled = any(n.tag in ("h1", "h2") for n in under(best))
+    for part in best.parent.parts:
         if part is best:
             kept.append(part)
-        elif isinstance(part, Node) and not part.cut and part.chars and best.tag != "body":
-            reads = part.tag == "p" and (part.chars > 80 and density(part) < 0.25 or not part.linked and re.search(r"\.(?:\s|$)", "".join(lines([part])) or ""))
-            if reads or part.tag in BLOCK and value(part) >= least:
+        elif isinstance(part, Node) and not part.cut and part.chars and not part.marked:
+            prose = part.tag == "p" and (part.chars > 80 and density(part) < 0.25 or not part.linked and re.search(r"\.(?:\s|$)", "".join(lines([part]))))
+            heading = part.tag in HEADINGS and not titled and best in part.parent.parts[part.parent.parts.index(part) + 1 :]
+            if prose or heading or part.tag in BLOCK and part.tag not in HEADINGS and value(part) >= least:
                 kept.append(part)
-    return "\n".join(lines(kept))
+    return kept
+
+
+def under(top: Node):
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo.extend(p for p in node.parts if isinstance(p, Node) and not p.cut)
 
 
 def with_main_text(df: DataFrame, html: str = "html", into: str = "main_text") -> DataFrame:

@@ -128,13 +128,27 @@ def plain_main_text(page):
         best = up if up[0] == "article" else best
         up = parent[id(up)]
     kept = []
-    for p in parent[id(best)][2] if parent[id(best)] is not None else [best]:
-        if p is best:
-            kept.append(p)
-        elif not isinstance(p, str) and size(under(p)):
-            reads = p[0] == "p" and (size(under(p)) > 80 and density(p) < 0.25 or not links(p) and re.search(r"\.(\s|$)", " ".join("".join(under(p)).split())))
-            if reads or is_block(p) and value(p) >= least:
+    if best[0] == "article":
+        for p in parent[id(best)][2]:
+            if p is best:
                 kept.append(p)
+            elif not isinstance(p, str) and size(under(p)):
+                reads = p[0] == "p" and (size(under(p)) > 80 and density(p) < 0.25 or not links(p) and re.search(r"\.(\s|$)", " ".join("".join(under(p)).split())))
+                if reads or is_block(p) and value(p) >= least:
+                    kept.append(p)
+    else:  # all from the root down, but for blocks beside the best one or what holds it that are mostly links
+        holds = lambda n: n is best or any(not isinstance(p, str) and holds(p) for p in n[2])
+
+        def keep(node):
+            if node is best:
+                return kept.append(node)
+            for p in node[2]:
+                if holds(p):
+                    keep(p)
+                elif 2 * size(links(["", "", [p]])) < size(under(p)):
+                    kept.append(p)
+
+        keep(root)
 
     def lines(node):
         out, run = [], ""
@@ -177,3 +191,55 @@ def test_tree_scoring_against_a_plain_version():
         assert got == plain_main_text(page), page
         parts += len(got) < 0.8 * len(re.sub("<[^>]*>", "", page))
     assert parts > 50
+
+
+WORDS = "harbour lantern, meadow, quietly river stone winter morning window letter".split()
+
+
+def planted_page(rng):
+    """A page without article elements, and its paragraphs in page order; menus, notices, fields and scripts stand between them."""
+    want: list[str] = []
+
+    def block(tag, sentences):
+        text = " ".join(" ".join(rng.choice(WORDS) for _ in range(rng.randint(4, 12))).capitalize() + rng.choice([".", "."] if sentences > 1 else ["", "."]) for _ in range(sentences))
+        want.append(text)
+        return f"<{tag}>{text}</{tag}>"
+
+    junk = lambda: rng.choice([
+        "", "", "<nav><ul><li><a href=x>Menu, entry</a></li></ul></nav>", "<script>var a = 'no';</script>", "<div class=sidebar><p>Side text, short.</p></div>", "<aside>Beside, aside.</aside>",
+        "<ul><li><a href=1>See this, too</a></li><li><a href=2>And this one</a></li></ul>", "<div>© 2024 Some Body</div>", "<label>Name</label><input name=q><button>Send</button>", "<div id=comments><p>Great, thanks.</p></div>",
+    ])
+    head = block("h2", 1) if rng.random() < 0.5 else ""
+    body = "".join(block("p", rng.randint(2, 5)) for _ in range(rng.randint(4, 8)))
+    after = [block("p", rng.randint(1, 4)) if rng.random() < 0.7 else f"<ul>{block('li', 1)}{block('li', 1)}</ul>" for _ in range(rng.randint(0, 3))]
+    inner = f"{head}{junk()}<div class=text>{body}</div>" if rng.random() < 0.5 else f"<div>{head}{body}</div>"
+    second = "".join(after) if rng.random() < 0.4 else f"<div>{''.join(after)}</div>"
+    last = f"<section>{block('p', 1)}</section>" if rng.random() < 0.5 else ""
+    page = f"{inner}{junk()}{second}{junk()}{last}"
+    for _ in range(rng.randint(0, 2)):
+        page = f"<div>{junk()}{page}{junk()}</div>"
+    if rng.random() < 0.4:
+        page = f"<form id=aspnetForm action=x>{page}<input type=hidden name=v></form>"
+    return f"<html><head><title>No</title></head><body>{page}<footer>Foot, note.</footer></body></html>", want
+
+
+def test_no_paragraph_is_lost():
+    rng = random.Random(21)
+    for _ in range(800):
+        page, want = planted_page(rng)
+        assert html_main.main_text(page) == "\n".join(want), page
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class=ad><p>%s</p></div><article><p>Short.</p></article>", "Short."),
+        ("<div><div><h3>Before</h3><p>%s</p></div><h3>More</h3><ul><li><a>one</a></ul></div>", "Before\n%s"),
+        ("<div>start <b>of</b> it<div><p>%s</p></div>end <i>of</i> it</div>", "start of it\n%s\nend of it"),
+        ("<h1>Title</h1><article><p>%s</p></article>", "Title\n%s"),
+        ("<form role=form><p>Name, please.</p></form><p>%s</p>", "%s"),
+    ],
+)
+def test_places(page, want):
+    prose = " ".join(f"Sentence {i} is long enough, and stands here." for i in range(8))
+    assert html_main.main_text(f"<html><body>{page.replace('%s', prose)}</body></html>") == want.replace("%s", prose)
