@@ -181,3 +181,40 @@ def test_rules_from_a_table_and_rules_without_a_token(spark):
     for given in (rules, table):
         assert sorted(r.url for r in url_filter.blocked_urls(df, given).collect()) == want
     assert url_filter.blocked_urls(df, []).count() == url_filter.blocked_urls(df, table.limit(0)).count() == 0
+
+
+def public_style_rules(rng, n):
+    """Rules as public lists have them: hosts, paths, literal separators, stars, and words that stand in other words."""
+    names = [f"{rng.choice(['ads', 'track', 'pix', 'win', 'bet', 'stat'])}{rng.choice(['', 'er', rng.randint(0, 99), 'zone', 'x'])}" for _ in range(60)]
+    word = lambda: rng.choice(names)
+    shapes = ["/{}/{}.gif", "-{}-{}.", "://{}.*", "*-{}-{}-*", "*{}*", ".{}/{}*", "^{}^", "?{}=", "_{}_{}", "{}*{}^", "^{}*^{}", "/{}{}", "&{}^", "{}.com^", "*/{}", "{}", "^", "**", "é{}", "{}|{}", "/*/{}/^", "a", "-?"]
+    return [s.format(word(), word()) for s in rng.choices(shapes, k=n)], names
+
+
+def test_thousands_of_rules_against_brute_force(spark):
+    rng = random.Random(13)
+    rules, names = public_style_rules(rng, 3000)
+    rules = [r for r in rules if r not in ("^", "**", "a")]
+    ends = ["/", ".", "-", "_", "?", "=", "&", "x", "/é", "|"]
+    urls = sorted({f"http{rng.choice(['', 's'])}://" + "".join(rng.choice([*rng.sample(names, 3), "safe", "page", "q7"]) + rng.choice(ends) for _ in range(rng.randint(1, 4))) for _ in range(400)} | {f"http://safe{i}/q" for i in range(300)})
+    some = [re.compile(plain_regex(r)) for r in set(rules)]
+    want = [u for u in urls if any(p.search(u.lower()) for p in some)]
+    assert 50 < len(want) < len(urls) - 50
+    assert sorted(r.url for r in url_filter.blocked_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()) == want
+    every = spark.createDataFrame([(u,) for u in [*urls, ""]], "url string")
+    for rule, n in (("^", len(urls) + 1), ("**", len(urls) + 1), ("://", len(urls)), ("^^^^", None), ("^*-", None), ("zz*", 0)):
+        found = sorted(r.url for r in url_filter.blocked_urls(every, [rule]).collect())
+        assert found == sorted(u for u in [*urls, ""] if re.search(plain_regex(rule), u.lower())) and n in (None, len(found)), rule
+
+
+def test_ties_of_rare_tokens_and_a_url_of_a_megabyte(spark):
+    import time
+
+    rules = ["/alpha/beta.", "*x*y*zq*", "-online-*-casino-", "://ads.*", "^free^*^bets^*^now^", "*freemoney*", "a*b*c*d$"]
+    long = ["http://h/" + t * (1_000_000 // len(t)) for t in ("a", "-online-", "free/", "x", "ab/c", "://ads", "\U0001f600")]
+    short = ["http://h/alpha/beta.", "http://h/alpha/betas", "http://h/alpha-beta.", "see ://ads.x", "x-online-a-casino-"]
+    df = spark.createDataFrame([(u,) for u in long + short], "url string")
+    began = time.time()
+    got = {r.url for r in url_filter.blocked_urls(df, rules).collect()}
+    assert time.time() - began < 60
+    assert got == {"http://h/alpha/beta.", "see ://ads.x", "x-online-a-casino-"}
