@@ -253,11 +253,16 @@ def history_summaries(t: Tables) -> DataFrame:
     return sessions.summaries(t.conversations.select(F.col("conv_id").alias("session"), "turn", F.repeat("text", 8).alias("text")))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn = f THEN NULL ELSE role END AS role, length(text) AS n FROM (
-  SELECT *, min(turn) OVER (PARTITION BY conv_id) AS f FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '') WHERE NOT (role = 'assistant' AND turn = f)""")
+@query("""SELECT conv_id, turn, role, length(text) AS n FROM (
+  SELECT *, min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS f FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '') WHERE turn >= f""")
 def model_messages(t: Tables) -> DataFrame:
-    """Messages for a model: roles filtered, blank ones dropped, none of the assistant's before the first of the user."""
-    m = t.conversations.where("role in ('user', 'assistant') and trim(text) <> ''")
+    return messages_for_model(t.conversations).select("conv_id", "turn", "role", F.length("text").alias("n"))
+
+
+def messages_for_model(log: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text for a model: roles filtered, blank ones dropped, and all of the assistant's before the first of the user."""
+    m = log.where("role in ('user', 'assistant') and trim(text) <> ''")
     h = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("h"))
-    kept = F.when(F.col("h")[0]["role"] == "user", F.col("h")).otherwise(F.slice("h", 2, F.size("h")))
-    return h.select("conv_id", F.explode(kept).alias("m")).select("conv_id", "m.turn", "m.role", F.length("m.text").alias("n"))
+    first = F.array_position(F.transform("h", lambda x: x["role"]), "user").cast("int")
+    kept = F.when(first > 0, F.slice("h", F.greatest(first, F.lit(1)), F.size("h")))
+    return h.select("conv_id", F.explode(kept).alias("m")).select("conv_id", "m.*")
