@@ -72,15 +72,36 @@ def admit(times: list[float], limit: int, window: float, kept: deque | None = No
 def rate_limit(requests: DataFrame, client: str, seconds: str, limit: int = lx.RATE_LIMIT, window: float = lx.RATE_WINDOW, order: str | None = None) -> DataFrame:
     """requests (with their own columns) and allowed."""
     by = [seconds] + ([order] if order else [])
-
-    def start():
-        kept: deque = deque()
-        return lambda rows: rows.assign(allowed=admit(rows[seconds].tolist(), limit, window, kept))
-
+    start = lambda: RateStep(seconds, limit, window)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
     return folded(requests, client, by, start, f"{fields}, allowed boolean")
 
 
+class RateStep:
+    """One client's requests, a piece at a time; at most limit times are kept."""
+
+    def __init__(self, seconds: str, limit: int, window: float):
+        self.seconds, self.limit, self.window, self.kept = seconds, limit, window, deque()
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(allowed=admit(rows[self.seconds].tolist(), self.limit, self.window, self.kept))
+
+
+class SessionStep:
+    """One key's events, a piece at a time: the number of pauses over gap seconds before each."""
+
+    def __init__(self, ts: str, gap: float):
+        self.ts, self.gap, self.last, self.session = ts, pd.Timedelta(seconds=gap), None, 0
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for at in rows[self.ts]:
+            self.session += self.last is not None and at - self.last > self.gap
+            self.last = at
+            found.append(self.session)
+        return rows.assign(session=found)
+
+
 def rate_limit_stream(requests: DataFrame, client: str, seconds: str, limit: int = lx.RATE_LIMIT, window: float = lx.RATE_WINDOW) -> DataFrame:
     """The same over a stream: client, seconds, allowed. The state holds at most limit times per client."""
 
@@ -101,20 +122,7 @@ def exact_cache(log: DataFrame, cache: str, order: str, seconds: str, key: str,
     Least recently used entries go first; a hit does not extend an entry's life.
     """
 
-    def start():
-        store = ExactStore(ttl, size)
-
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            found = []
-            for t, k in zip(rows[seconds], rows[key]):
-                hits = store.get(k, t)
-                if hits is None:
-                    store.put(k, t)
-                found.append((hits is not None, hits or 0))
-            return pd.DataFrame({cache: rows[cache], order: rows[order], "hit": [h for h, _ in found], "hits": [n for _, n in found]})
-
-        return step
-
+    start = lambda: ExactStep(cache, order, seconds, key, ttl, size)
     kinds = {f.name: f.dataType.simpleString() for f in log.schema}
     return folded(log.select(cache, order, seconds, key), cache, [order], start, f"{cache} {kinds[cache]}, {order} {kinds[order]}, hit boolean, hits long")
 
@@ -144,6 +152,23 @@ class ExactStore:
             self.entries.popitem(last=False)
 
 
+class ExactStep:
+    """One exact cache's requests, a piece at a time; at most size entries are kept."""
+
+    def __init__(self, cache: str, order: str, seconds: str, key: str, ttl: float, size: int):
+        self.names, self.store = (cache, order, seconds, key), ExactStore(ttl, size)
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        cache, order, seconds, key = self.names
+        found = []
+        for t, k in zip(rows[seconds], rows[key]):
+            hits = self.store.get(k, t)
+            if hits is None:
+                self.store.put(k, t)
+            found.append((hits is not None, hits or 0))
+        return pd.DataFrame({cache: rows[cache], order: rows[order], "hit": [h for h, _ in found], "hits": [n for _, n in found]})
+
+
 class SemanticStore:
     """Entries (key, end of life, unit vector, tags) in order of first storing; the oldest goes first."""
 
@@ -265,26 +290,30 @@ def semantic_cache(log: DataFrame, cache: str, order: str, seconds: str, key: st
     holds at most size entries, so each lookup is one product of that many rows.
     """
 
-    def start():
-        store = SemanticStore(ttl, size)
-
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for c, o, t, k, e in zip(rows[cache], rows[order], rows[seconds], rows[key], rows[embedding]):
-                v = store.unit(e)
-                found, similarity, _ = store.get(v, t, threshold)
-                out.append((c, o, found is not None, found, similarity))
-                if found is None:
-                    store.put(k, v, t)
-            return pd.DataFrame(out, columns=[cache, order, "hit", "matched", "similarity"])
-
-        return step
-
+    start = lambda: SemanticStep(cache, order, seconds, key, embedding, threshold, ttl, size)
     kinds = {f.name: f.dataType.simpleString() for f in log.schema}
     schema = f"{cache} {kinds[cache]}, {order} {kinds[order]}, hit boolean, matched {kinds[key]}, similarity double"
     return folded(log.select(cache, order, seconds, key, embedding), cache, [order], start, schema)
 
 
+class SemanticStep:
+    """One semantic cache's requests, a piece at a time; at most size entries are kept."""
+
+    def __init__(self, cache: str, order: str, seconds: str, key: str, embedding: str, threshold: float, ttl: float, size: int):
+        self.names, self.threshold, self.store = (cache, order, seconds, key, embedding), threshold, SemanticStore(ttl, size)
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        cache, order, seconds, key, embedding = self.names
+        out = []
+        for c, o, t, k, e in zip(rows[cache], rows[order], rows[seconds], rows[key], rows[embedding]):
+            v = self.store.unit(e)
+            found, similarity, _ = self.store.get(v, t, self.threshold)
+            out.append((c, o, found is not None, found, similarity))
+            if found is None:
+                self.store.put(k, v, t)
+        return pd.DataFrame(out, columns=[cache, order, "hit", "matched", "similarity"])
+
+
 def follow_ups(turns: DataFrame) -> DataFrame:
     """session, turn, intent, reason (null for a new question) and query, from session, turn, text, intent, weak and, if there, action.
 
