@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderloom.functions import text as tx
 from orderloom.operators import ranks
 
 
@@ -85,12 +86,34 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counted.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rules)), F.array(*[F.col(r) for r in rules]))).alias("rule", "violations"))
 
 
-def field_matches(rows: DataFrame, fields: list[str], parsed: str = "parsed") -> DataFrame:
-    """metric, value: how many predictions parse, match in all fields, and match in each (columns f and want_f)."""
-    ok = {f: F.col(parsed) & F.col(f).eqNullSafe(F.col(f"want_{f}")) for f in fields}
-    every = F.lit(True)
-    for c in ok.values():
-        every = every & c
-    rates = {"parse_rate": F.col(parsed), "all_fields": every} | {f"field_{f}": c for f, c in ok.items()}
-    row = rows.agg(*[F.round(F.avg(c.cast("int")), 4).alias(k) for k, c in rates.items()])
-    return row.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rates)), F.array(*[F.col(k) for k in rates]))).alias("metric", "value"))
+def same_text(c: Column) -> Column:
+    """A field's value as it is compared: trimmed, lower-case, without a number behind a mark, single blanks; empty for none."""
+    low = F.regexp_replace(F.lower(tx.strip(c.cast("string"))), r"\s+#\d+$", "")
+    return F.coalesce(tx.strip(F.regexp_replace(low, r"\s+", " ")), F.lit(""))
+
+
+def field_matches(rows: DataFrame, fields: list[str], relevant: list[str], valid: dict[str, list[str]], raw: str = "raw", hard: str = "hard") -> DataFrame:
+    """slice, metric, n and value of structured predictions, from one pass over the rows.
+
+    raw holds a prediction as text, want_f the value wanted of each field f, hard a flag. A prediction parses if an object is found
+    in it, and is valid if it has all fields as keys and allowed values (valid); only valid ones match. Rates are
+    of all rows of their slice: all, and hard. A slice without rows has rates of 0. relevant: the fields that a cache depends on.
+    """
+    found = rows.withColumn("_object", tx.json_object(F.col(raw)))
+    value = lambda f: F.get_json_object("_object", f"$.{f}")
+    parsed = F.col("_object").isNotNull()
+    keys = F.size(F.array_except(F.array(*map(F.lit, fields)), F.json_object_keys("_object"))) == 0
+    good = parsed & F.coalesce(keys, F.lit(False))
+    for f, values in valid.items():
+        good = good & F.coalesce(value(f).isin(values), F.lit(False))
+    found = found.withColumn("_valid", good)
+    match = {f: F.col("_valid") & (same_text(value(f)) == same_text(F.col(f"want_{f}"))) for f in fields}
+    every = lambda names: F.array_min(F.array(*[match[f] for f in names]))
+    rates = {"parse_rate": parsed, "valid_rate": F.col("_valid"), "all_fields": every(fields), "cache_relevant": every(relevant)} | {f"field_{f}": c for f, c in match.items()}
+    told = found.select(F.coalesce(hard, F.lit(False)).alias("hard"), *[c.alias(k) for k, c in rates.items()])
+    counts = told.agg(*[F.count_if(F.col(k) & (F.lit(True) if s == "all" else F.col("hard"))).alias(f"{s}:{k}") for s in ("all", "hard") for k in rates], F.count("*").alias("all"), F.count_if("hard").alias("hard"))
+    each = [
+        F.struct(F.lit(s).alias("slice"), F.lit(k).alias("metric"), F.col(s).alias("n"), F.round(F.col(f"`{s}:{k}`") / F.greatest(F.lit(1), F.col(s)), 4).alias("value"))
+        for s in ("all", "hard") for k in rates
+    ]
+    return counts.select(F.inline(F.array(*each)))

@@ -128,7 +128,7 @@ def in_blocks(queries: DataFrame, query: str, nodes: DataFrame, node: str, block
     n_q, n_n = (max(least_, -(-df.count() // block)) for df, least_ in ((queries, 1), (nodes, MIN_BLOCKS)))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    whole = lambda df: df.where("size(embedding) > 0").select("*", F.size("embedding").alias("dim"))
+    whole = lambda df: df.where("size(embedding) > 0").select(*[F.col(c).alias(c) for c in df.columns], F.size("embedding").alias("dim"))  # noqa: E731  both sides may come from one table
     return whole(queries).select("*", dealt(query, n_q).alias("qb"), every(n_n).alias("nb")), whole(nodes).select("*", every(n_q).alias("qb"), dealt(node, n_n).alias("nb"))
 
 

@@ -185,18 +185,21 @@ def generated_catalog(t: Tables) -> DataFrame:
     return rows.withColumn("entity", F.when(F.col("name").contains("tea"), "tea").otherwise("coffee"))
 
 
-@query("""WITH e AS (SELECT event_id % 7 <> 0 AS p, event_type IN ('click', 'view', 'error') AS a, event_id % 5 <> 1 AS b FROM events)
-SELECT 'parse_rate' AS metric, round(avg(p::INT), 4) AS value FROM e UNION ALL SELECT 'all_fields', round(avg((p AND a AND b)::INT), 4) FROM e
-UNION ALL SELECT 'field_intent', round(avg((p AND a)::INT), 4) FROM e UNION ALL SELECT 'field_k', round(avg((p AND b)::INT), 4) FROM e""")
+@query("""WITH e AS (SELECT event_id % 10 = 3 AS hard, event_id % 7 <> 0 AS p, event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_type <> 'error' AS v,
+  event_type IN ('click', 'view') AS a, event_id % 5 <> 1 AS b FROM events),
+m AS (SELECT hard, unnest([{'m': 'parse_rate', 'x': p}, {'m': 'valid_rate', 'x': v}, {'m': 'all_fields', 'x': v AND a AND b}, {'m': 'cache_relevant', 'x': v AND a}, {'m': 'field_intent', 'x': v AND a}, {'m': 'field_k', 'x': v AND b}]) AS r FROM e)
+SELECT 'all' AS slice, r.m AS metric, count(*) AS n, round(avg(r.x::INT), 4) AS value FROM m GROUP BY ALL UNION ALL SELECT 'hard', r.m, count(*), round(avg(r.x::INT), 4) FROM m WHERE hard GROUP BY ALL""")
 def field_metrics(t: Tables) -> DataFrame:
-    """Structured predictions against what was wanted: here one in seven does not parse."""
-    raw = F.when(F.col("event_id") % 7 == 0, "{").otherwise(F.to_json(F.struct(F.col("event_type").alias("intent"), (F.col("event_id") % 5).alias("k"))))
+    """Structured predictions against what was wanted: here one in seven does not parse, one in eleven lacks a field, and errors are no valid intent."""
+    i, k = F.col("event_type").alias("intent"), (F.col("event_id") % 5).alias("k")
+    whole = F.concat(F.lit("sure: "), F.to_json(F.struct(i, k)), F.lit(" done"))
+    raw = F.when(F.col("event_id") % 7 == 0, "{").when(F.col("event_id") % 11 == 0, F.to_json(F.struct(i))).otherwise(whole)
     rows = t.events.select(
-        F.try_parse_json(raw).isNotNull().alias("parsed"), F.get_json_object(raw, "$.intent").alias("intent"), F.get_json_object(raw, "$.k").alias("k"),
-        F.when(F.col("event_type").isin("click", "view", "error"), F.col("event_type")).otherwise("other").alias("want_intent"),
+        raw.alias("raw"), (F.col("event_id") % 10 == 3).alias("hard"),
+        F.when(F.col("event_type").isin("click", "view", "error"), F.concat(F.lit(" "), F.initcap("event_type"), F.lit(" #4"))).otherwise("other").alias("want_intent"),
         F.when(F.col("event_id") % 5 == 1, "9").otherwise((F.col("event_id") % 5).cast("string")).alias("want_k"),
     )
-    return metrics.field_matches(rows, ["intent", "k"])
+    return metrics.field_matches(rows, ["intent", "k"], ["intent"], {"intent": ["click", "purchase", "signup", "view"]})
 
 
 assert len(TRUTH) == len(TEMPLATES)

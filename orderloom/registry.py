@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.plans import answer_queries, base, cache_queries, catalog_queries, detail_queries, dialogue_queries, hybrid_queries, metric_queries, refresh_queries  # noqa: F401  they register their queries
+from orderloom.plans import answer_queries, base, build_queries, cache_queries, catalog_queries, detail_queries, dialogue_queries, hybrid_queries, metric_queries, refresh_queries  # noqa: F401  they register their queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
