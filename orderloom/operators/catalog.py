@@ -97,15 +97,10 @@ def mention_edges(nodes: DataFrame, entities: DataFrame) -> DataFrame:
 def next_edges(chunks: DataFrame, key: str = "source_id", within: str | None = None) -> DataFrame:
     """Edges from each chunk to the next by key: over all chunks, or within each document.
 
-    Parts of the key order are chained each on its own, and the last of each is linked to the first of the next.
+    Keys are chained in ranges of bounded size, whatever the size of a document.
     """
-    group = [within] if within is not None else []
-    parts = chunks.select(key, *group).withColumn("part", ranks.part_of(chunks, key))
-    linked = parts.withColumn("target_id", F.lead(key).over(Window.partitionBy(*group, "part").orderBy(key)))
-    ends = parts.groupBy(*group, "part").agg(F.min(key).alias("low"), F.max(key).alias("high"))  # one row per part
-    seams = ends.select(F.col("high").alias(key), F.lead("low").over(Window.partitionBy(*group).orderBy("part")).alias("target_id"))
-    both = linked.select(key, "target_id").unionByName(seams).where("target_id is not null")
-    return both.select(F.col(key).alias("source_id"), F.lit("NEXT").alias("relation"), "target_id")
+    found = ranks.chained(chunks, key, [within] if within is not None else [], "target_id").where("target_id is not null")
+    return found.select(F.col(key).alias("source_id"), F.lit("NEXT").alias("relation"), "target_id")
 
 
 def list_edges(nodes: DataFrame, values: str, relation: str, prefix: str = "") -> DataFrame:

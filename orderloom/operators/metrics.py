@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions import text as tx
-from orderloom.operators import ranks
+from orderloom.operators import quantiles
 
 
 def ratio(n: Column, d: Column) -> Column:
@@ -39,26 +39,28 @@ def confusion(rows: DataFrame, labels: list[str], truth: str = "truth", guess: s
 
 
 def nearest_rank(values: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
-    """The value at index round((n-1)*p), halves to even, of each group's sorted values."""
-    ranked = ranks.with_rank(values.select(*keys, value), list(keys), [F.col(value)], ranks.part_of(values, value))
-    return ranked.where(F.col("rank") - 1 == F.bround((F.col("group_size") - 1) * p).cast("long")).select(*keys, F.col(value).alias("percentile"))
+    """The value at index round((n-1)*p), halves to even, of each group's values in order."""
+    return quantiles.values_at(values, value, {"percentile": F.bround((F.col("n") - 1) * p) + 1}, *keys).select(*keys, "percentile")
 
 
 def exclusive_quantile(values: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
-    """The quantile at position p*(n+1) of each group's sorted values, interpolated, held within them."""
-    n, i = F.col("group_size"), F.col("rank")
-    ranked = ranks.with_rank(values.select(*keys, F.col(value).cast("double").alias("v")), list(keys), [F.col("v")], ranks.part_of(values.select(F.col(value).cast("double").alias("v")), "v"))
-    at = F.least(F.greatest(F.floor(n * p + p), F.lit(1)), n - 1)
-    near = ranked.withColumn("at", at).withColumn("part", (n + 1) * p - F.col("at")).where((i == F.col("at")) | (i == F.col("at") + 1))
-    share = F.when(i == F.col("at"), 1 - F.col("part")).otherwise(F.col("part"))
-    return near.groupBy(*keys).agg(F.sum(share * F.col("v")).alias("quantile"))
+    """The quantile at position p*(n+1) of each group's values in order, interpolated, held within them."""
+    n = F.col("n")
+    at = F.least(F.greatest(F.floor(n * p + p), F.lit(1)), F.greatest(n - 1, F.lit(1)))
+    found = quantiles.values_at(values.select(*keys, F.col(value).cast("double").alias("v")), "v", {"low": at, "high": F.least(at + 1, n)}, *keys)
+    share = F.when(n > 1, (n + 1) * p - at).otherwise(0.0)
+    return found.select(*keys, (F.col("low") * (1 - share) + F.col("high") * share).alias("quantile"))
 
 
 def latency(values: DataFrame, value: str, *keys: str) -> DataFrame:
-    v = F.col(value)
-    return values.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.percentile(v, 0.5), 4).alias("median"), F.min(v).alias("least"), F.max(v).alias("most")
-    )
+    """keys, n, mean, median, least and most of the values that are not null."""
+    v, n = F.col(value), F.col("n")
+    middle = quantiles.values_at(values, value, {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1}, *keys)
+    middle = middle.select(*keys, F.round((F.col("low") + F.col("high")) / 2, 4).alias("median"))
+    told = values.groupBy(*keys).agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"))
+    on = [F.col(f"t.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys] or F.lit(True)
+    both = told.alias("t").join(middle.alias("m"), on, "left")
+    return both.select(*[F.col(f"t.{k}").alias(k) for k in keys], "t.n", "t.mean", "m.median", "t.least", "t.most")
 
 
 def cache_rollup(log: DataFrame) -> DataFrame:
@@ -72,12 +74,20 @@ def cache_rollup(log: DataFrame) -> DataFrame:
     return row.withColumn("passed", (F.col("cacheable_hit_rate") >= 0.60) & (F.col("false_hit_rate") == 0))
 
 
-def split(rows: DataFrame, stratum: str, key: Column, train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """rows with split: of each stratum in order of key, an MD5 digest in hex and then what tells ties apart, floor(n*train) train, floor(n*validation) validation, the rest test."""
-    ranked = ranks.with_rank(rows.withColumn("_key", key), [stratum], [F.col("_key")], F.conv(F.substring(F.col("_key").getField("digest"), 1, 2), 16, 10).cast("int"))
-    i, n = F.col("rank"), F.col("group_size")
-    found = ranked.withColumn("split", F.when(i <= F.floor(n * train), "train").when(i <= F.floor(n * train) + F.floor(n * validation), "validation").otherwise("test"))
-    return found.select(*rows.columns, "split")
+def split(rows: DataFrame, stratum: str, digest: Column, tie: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
+    """rows with split: of each stratum in order of a hexadecimal digest and what tells ties apart, floor(n*train) train, floor(n*validation) validation, the rest test.
+
+    Only the two rows at the cuts are looked for, one pair a stratum; rows are compared with those, and not sorted.
+    """
+    n = F.col("n")
+    cuts = {"_train": F.floor(n * train), "_validation": F.floor(n * train) + F.floor(n * validation)}
+    dealt = rows.withColumn("_digest", digest)
+    found = quantiles.digests_at(dealt, "_digest", tie, cuts, stratum)
+    met = dealt.alias("d").join(found.drop("n").withColumnRenamed(stratum, "_stratum").alias("c"), F.col(f"d.{stratum}").eqNullSafe(F.col("c._stratum")))
+    own = F.struct(F.col("d._digest").alias("_digest"), F.col(f"d.{tie}").alias(tie))
+    before = lambda cut: F.coalesce(own <= F.col(f"c.{cut}"), F.lit(False))
+    split_ = F.when(before("_train"), "train").when(before("_validation"), "validation").otherwise("test")
+    return met.select(*[F.col(f"d.{c}").alias(c) for c in rows.columns if c != "split"], split_.alias("split"))
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -1,32 +1,26 @@
-"""Ranks within groups of any size: each group is sorted in parts, and parts are counted.
-
-A window over a whole group sorts it in one task. Here rows are dealt into parts that
-follow the order, each part is numbered on its own, and running sums over the parts'
-counts, one narrow row a part, give what comes before.
-"""
+"""Rows in the order of a key, chained one to the next, in ranges of bounded size."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 64
-
-
-def part_of(rows: DataFrame, value: str, parts: int = PARTS) -> Column:
-    """The number of the value's part: how many of some values, drawn by hash, it reaches. Equal values share a part; null is in part -1."""
-    drawn = rows.select(value).where(F.col(value).isNotNull()).distinct().orderBy(F.xxhash64(value)).limit(parts).collect()
-    bounds = F.array(*[F.lit(r[0]) for r in drawn]).cast(f"array<{rows.schema[value].dataType.simpleString()}>")
-    return F.coalesce(F.when(F.col(value).isNotNull(), F.size(F.filter(bounds, lambda b: b <= F.col(value)))), F.lit(-1))
-
-
-def with_rank(rows: DataFrame, keys: list[str], order: list[Column], part: Column, rank: str = "rank", size: str = "group_size") -> DataFrame:
-    """rows, their rank from 1 within the groups of keys, and the groups' sizes; part must not fall along the order."""
-    dealt = rows.withColumn("_part", part)
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys] + [F.col("d._part") == F.col("n._part")]
-    group = Window.partitionBy(*keys)
-    n = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
-    n = n.select(*keys, "_part", F.sum("_n").over(group).alias(size), (F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
-    met = dealt.withColumn("_own", own).alias("d").join(n.alias("n"), same)
-    return met.select(*[F.col(f"d.{c}") for c in rows.columns], (F.col("_own") + F.col("_before")).alias(rank), F.col(size))
+#: Rows of a range that one task sorts, on average.
+IN_RANGE = 1_000_000
+
+
+def chained(rows: DataFrame, key: str, group: list[str], into: str, in_range: int = IN_RANGE) -> DataFrame:
+    """group, key and into, the next key of the group, null after its last; keys of a group are unique.
+
+    Rows are dealt into ranges of the groups and keys together, so a group of any size is many ranges. Each range is chained on its own, and
+    the last of each group in a range is linked to its first in the next one, by one row a group and range. The ranges are kept while they are read twice, so both
+    readings agree.
+    """
+    narrow = rows.select(*group, key)
+    parts = max(1, -(-narrow.count() // in_range))
+    ranged = narrow.repartitionByRange(parts, *group, key).withColumn("_part", F.spark_partition_id()).persist()
+    linked = ranged.withColumn(into, F.lead(key).over(Window.partitionBy(*group, "_part").orderBy(key)))
+    ends = ranged.groupBy(*group, "_part").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    seams = ends.select(*group, F.col("_high").alias(key), F.lead("_low").over(Window.partitionBy(*group).orderBy("_part")).alias(into))
+    inner = linked.where(F.col(into).isNotNull()).select(*group, key, into)
+    return inner.unionByName(seams.select(*group, key, into))

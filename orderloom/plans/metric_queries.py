@@ -97,8 +97,7 @@ def dataset_stats(t: Tables) -> DataFrame:
 @query("""SELECT doc_id, lang, CASE WHEN i <= floor(n * 0.8) THEN 'train' WHEN i <= floor(n * 0.8) + floor(n * 0.1) THEN 'validation' ELSE 'test' END AS split FROM (
   SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7' || doc_id), doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)""")
 def stratified_split(t: Tables) -> DataFrame:
-    key = F.struct(F.md5(F.concat(F.lit("7"), F.col("doc_id").cast("string"))).alias("digest"), "doc_id")
-    return metrics.split(t.documents, "lang", key).select("doc_id", "lang", "split")
+    return metrics.split(t.documents, "lang", F.md5(F.concat(F.lit("7"), F.col("doc_id").cast("string"))), "doc_id").select("doc_id", "lang", "split")
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS i FROM documents) WHERE i <= 20")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orderloom import lexicon as lx
 from orderloom.functions import text as tx
-from orderloom.operators import ranks, retrieval, substrings
+from orderloom.operators import metrics, quantiles, ranks, retrieval, substrings
 from orderloom.streaming import sessions
 
 
@@ -31,17 +31,64 @@ def test_holding_against_all_pairs(spark):
     assert substrings.holding(df, "id", "fields", asked.limit(0), "term").count() == 0
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_ranks_against_sorting(spark, parts):
+def some_groups(kind, n=4000):
+    """Groups of which one holds most rows, and in it one value holds half; kind: the values beside it."""
     rng = random.Random(2)
-    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, *range(40)]), i) for i in range(500)]
-    df = spark.createDataFrame(rows, "k string, v int, i int")
-    got = ranks.with_rank(df, ["k"], [F.col("v"), F.col("i")], ranks.part_of(df, "v", parts)).collect()
-    order = {}
-    for k, v, i in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
-        order.setdefault(k, []).append(i)
-    assert sorted((str(r.k), r.i, r["rank"], r.group_size) for r in got) == sorted((str(k), i, n + 1, len(ids)) for k, ids in order.items() for n, i in enumerate(ids))
-    assert ranks.with_rank(df.limit(0), ["k"], [F.col("v")], F.lit(0)).count() == 0
+    beside = {"wide": lambda: rng.choice([-1e300, -3.5, rng.random(), 10 ** rng.uniform(-300, 300)]), "close": lambda: 7 + rng.randint(0, 5) * 1e-12, "steps": lambda: float(rng.randint(0, 60))}[kind]
+    return [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([7.0, beside(), None if rng.random() < 0.1 else beside()])) for _ in range(n)] + [("one", 5.0), ("none", None)]
+
+
+@pytest.mark.parametrize("kind, in_hand", [("wide", 20), ("close", 5), ("steps", 1), ("steps", 100_000)])
+def test_values_at_ranks_against_sorting(spark, kind, in_hand):
+    rows = some_groups(kind)
+    df = spark.createDataFrame(rows, "k string, v double")
+    n = F.col("n")
+    wanted = {"first": F.lit(1), "mid": F.floor((n + 1) / 2), "late": F.floor(n * 0.97), "last": n, "out": n + 1}
+    got = {r.k: r for r in quantiles.values_at(df, "v", wanted, "k", in_hand=in_hand).collect()}
+    by = {}
+    for k, v in rows:
+        if v is not None:
+            by.setdefault(k, []).append(v)
+    assert got.keys() == by.keys()
+    for k, vs in by.items():
+        vs, r = sorted(vs), got[k]
+        at = lambda i: vs[i - 1] if 1 <= i <= len(vs) else None
+        assert (r.n, r["first"], r.mid, r.late, r["last"], r.out) == (len(vs), at(1), at((len(vs) + 1) // 2), at(int(len(vs) * 0.97)), at(len(vs)), None), k
+    whole = quantiles.values_at(df, "v", {"mid": F.floor((n + 1) / 2)}, in_hand=in_hand).first()
+    every = sorted(v for _, v in rows if v is not None)
+    assert whole.mid == every[(len(every) + 1) // 2 - 1]
+    assert quantiles.values_at(df.limit(0), "v", wanted, "k").count() == 0
+
+
+@pytest.mark.parametrize("in_hand", [1, 7, 100_000])
+def test_splits_and_digests_against_sorting(spark, in_hand):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), f"{rng.choice([1, rng.getrandbits(32)]):08x}", i) for i in range(900)] + [("one", "00000000", 1000)]
+    df = spark.createDataFrame(rows, "k string, d string, i int")
+    got = {r.k: r for r in quantiles.digests_at(df, "d", "i", {"cut": F.floor(F.col("n") * 0.8)}, "k", in_hand=in_hand).collect()}
+    by = {}
+    for k, d, i in rows:
+        by.setdefault(k, []).append((d, i))
+    for k, own in by.items():
+        at = int(len(own) * 0.8)
+        assert (got[k].cut and tuple(got[k].cut)) == (sorted(own)[at - 1] if at else None)
+    parts = {(r.k, r.i): r.split for r in metrics.split(df.withColumn("split", F.lit("old")), "k", F.col("d"), "i").collect()}
+    for k, own in by.items():
+        told = [parts[k, i] for _, i in sorted(own)]
+        assert told == ["train"] * int(len(own) * 0.8) + ["validation"] * int(len(own) * 0.1) + ["test"] * (len(own) - int(len(own) * 0.8) - int(len(own) * 0.1))
+
+
+def test_chains_in_ranges_of_bounded_size(spark):
+    rng = random.Random(6)
+    keys = rng.sample(range(10**6), 1500)
+    rows = [(k, rng.choice(["hot", "hot", "hot", "b", None])) for k in keys]
+    df = spark.createDataFrame(rows, "id long, doc string")
+    found = ranks.chained(df, "id", ["doc"], "next", in_range=100).collect()
+    by = {}
+    for k, doc in sorted(rows):
+        by.setdefault(doc, []).append(k)
+    assert sorted((str(r.doc), r.id, r["next"] or -1) for r in found) == sorted((str(d), a, b) for d, ks in by.items() for a, b in zip(ks, [*ks[1:], -1]))
+    assert ranks.chained(df.limit(0), "id", [], "next").count() == 0
 
 
 def test_overlaps_against_all_pairs(spark):
