@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,27 +62,32 @@ def tokens(c: Column) -> Column:
 def clean_query(c: Column) -> Column:
     """The query without stopwords and numbers, in order; the query itself where nothing is left."""
     kept = F.filter(tokens(query_text(c)), lambda t: ~t.isin(lx.STOPWORDS) & ~t.rlike("^[0-9]+$"))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(c)
+    return let({"kept": kept}, lambda v: F.when(F.size(v["kept"]) > 0, F.array_join(v["kept"], " ")).otherwise(c))
 
 
 def search_terms(c: Column) -> Column:
     """Aliases' canonical words and the other words, longest first, six at most."""
-    q = query_text(c)
-    named = [F.when(any_of(q, names), F.lit(term)) for term, names in lx.ALIASES.items()]
-    words = F.filter(tokens(q), lambda t: (F.length(t) >= lx.MIN_TOKEN) & ~t.isin(lx.STOPWORDS))
-    found = F.array_distinct(F.concat(F.array_compact(F.array(*named)), words))
-    longest = F.transform(F.array_sort(F.transform(found, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda s: s["t"])
-    return F.when(F.size(found) > 0, F.slice(longest, 1, lx.MAX_TERMS)).otherwise(F.array(q))
+
+    def found(q: Column) -> Column:
+        named = [F.when(any_of(q, names), F.lit(term)) for term, names in lx.ALIASES.items()]
+        words = F.filter(tokens(q), lambda t: (F.length(t) >= lx.MIN_TOKEN) & ~t.isin(lx.STOPWORDS))
+        return F.array_distinct(F.concat(F.array_compact(F.array(*named)), words))
+
+    def longest(q: Column, terms: Column) -> Column:
+        ordered = F.transform(F.sort_array(F.transform(terms, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda s: s["t"])
+        return F.when(F.size(terms) > 0, F.slice(ordered, 1, lx.MAX_TERMS)).otherwise(F.array(q))
+
+    return let({"q": query_text(c)}, lambda v: let({"q": v["q"], "found": found(v["q"])}, lambda w: longest(w["q"], w["found"])))
 
 
 def any_of(text: Column, needles: list[str]) -> Column:
-    """Whether the text holds one of the needles."""
-    return F.exists(words_in(needles), lambda n: F.contains(text, n))
+    """Whether the text, worked out once, holds one of the needles."""
+    return let({"t": text}, lambda v: F.exists(words_in(needles), lambda n: F.contains(v["t"], n)))
 
 
 def hits(text: Column, needles: list[str]) -> Column:
-    """How many of the needles the text holds."""
-    return F.size(F.filter(words_in(needles), lambda n: F.contains(text, n)))
+    """How many of the needles the text, worked out once, holds."""
+    return let({"t": text}, lambda v: F.size(F.filter(words_in(needles), lambda n: F.contains(v["t"], n))))
 
 
 def lexical_tokens(c: Column) -> Column:
@@ -90,8 +96,8 @@ def lexical_tokens(c: Column) -> Column:
 
 
 def lexical_overlap(query: Column, text: Column) -> Column:
-    q, t = lexical_tokens(query), lexical_tokens(text)
-    return F.when((F.size(q) == 0) | (F.size(t) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
+    share = lambda q, t: F.when((F.size(q) == 0) | (F.size(t) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
+    return let({"q": lexical_tokens(query), "t": lexical_tokens(text)}, lambda v: share(v["q"], v["t"]))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -114,10 +120,16 @@ def hash_slot(token: Column, dim: int = lx.EMBEDDING_DIM) -> Column:
 
 def hash_vector(words: Column, dim: int = lx.EMBEDDING_DIM, normal: bool = True) -> Column:
     """A hashed bag of words: how often each slot occurs, at length 1 if normal; null for no words."""
-    slots = F.transform(words, lambda w: hash_slot(w, dim))
-    counts = F.map_from_entries(F.transform(F.array_distinct(slots), lambda s: F.struct(s.alias("s"), F.size(F.filter(slots, lambda x: x == s)).cast("double").alias("n"))))
-    dense = let({"m": counts}, lambda v: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(v["m"], i), F.lit(0.0))))
-    return F.when(F.size(words) > 0, unit(dense) if normal else dense)
+
+    @F.pandas_udf("array<double>")
+    def counted(slots: pd.Series) -> pd.Series:
+        out = []
+        for s in slots:
+            v = None if s is None or not len(s) else np.bincount(np.asarray(s), minlength=dim).astype(np.float64)
+            out.append(v / np.sqrt((v * v).sum()) if normal and v is not None else v)
+        return pd.Series(out, dtype=object)
+
+    return counted(F.transform(words, lambda w: hash_slot(w, dim)))
 
 
 def cache_text(c: Column) -> Column:

@@ -199,37 +199,35 @@ def retrieve_hybrid(queries: DataFrame, nodes: DataFrame, k: int = lx.TOP_K) ->
     return raised.withColumn("score", score).select("query_id", "intent", "source_id", "source_type", "text", "score")
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """source_id and near, its neighbours (source_id, source_type, text, share of its score): a bounded list, whatever is asked.
+def neighbours(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """source_id, target_id and the share of its score for the neighbours of the sources of hits, a bounded number of each.
 
     Documents have those next and before and what they mention, FAQ entries what they mention, menu items others of their category.
     """
-    target = nodes.select(F.col("source_id").alias("target_id"), F.col("source_type").alias("to_type"), F.col("text").alias("to_text"))
+    asked = hits.select("source_id", "source_type").distinct()
 
     def along(relation: str, kinds: list[str], limit: int, both_ways: bool) -> DataFrame:
         step = edges.where(F.col("relation") == relation).select("source_id", "target_id")
         if both_ways:
             step = step.unionByName(step.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
-        own = nodes.where(F.col("source_type").isin(kinds)).select("source_id")
-        step = step.where("source_id <> target_id").distinct().join(own, "source_id", "left_semi")
-        found = top(step, limit, [F.asc("target_id")], ("source_id",)).join(target, "target_id")
-        return found.select("source_id", "target_id", "to_type", "to_text", F.lit(lx.EXPANSION_WEIGHT * lx.ENTITY_FACTOR).alias("share"))
+        step = step.join(asked.where(F.col("source_type").isin(kinds)).select("source_id"), "source_id", "left_semi").where("source_id <> target_id").distinct()
+        return top(step, limit, [F.asc("target_id")], ("source_id",)).select("source_id", "target_id", F.lit(lx.EXPANSION_WEIGHT * lx.ENTITY_FACTOR).alias("share"))
 
     menu = nodes.where("source_type = 'menu' and category is not null").select("source_id", "category")
     first = top(menu, lx.CATEGORY_LIMIT + 1, [F.asc("source_id")], ("category",)).select("category", F.col("source_id").alias("target_id"))
-    kin = top(menu.join(first, "category").where("source_id <> target_id").select("source_id", "target_id"), lx.CATEGORY_LIMIT, [F.asc("target_id")], ("source_id",)).join(target, "target_id")
-    kin = kin.select("source_id", "target_id", "to_type", "to_text", F.lit(lx.EXPANSION_WEIGHT * lx.CATEGORY_FACTOR).alias("share"))
-    all_ = along("NEXT", ["document"], lx.NEIGHBOR_LIMIT, True).unionByName(along("MENTIONS", ["document", "faq"], lx.ENTITY_LIMIT, False)).unionByName(kin)
-    one = F.struct(F.col("target_id").alias("source_id"), F.col("to_type").alias("source_type"), F.col("to_text").alias("text"), "share")
-    return all_.groupBy("source_id").agg(F.collect_list(one).alias("near"))
+    own = menu.join(asked.select("source_id"), "source_id", "left_semi")
+    kin = top(own.join(first, "category").where("source_id <> target_id").select("source_id", "target_id"), lx.CATEGORY_LIMIT, [F.asc("target_id")], ("source_id",))
+    kin = kin.select("source_id", "target_id", F.lit(lx.EXPANSION_WEIGHT * lx.CATEGORY_FACTOR).alias("share"))
+    return along("NEXT", ["document"], lx.NEIGHBOR_LIMIT, True).unionByName(along("MENTIONS", ["document", "faq"], lx.ENTITY_LIMIT, False)).unionByName(kin)
 
 
 def expand_by_type(hits: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The hits and their neighbours, with expanded telling these apart; hits are read once."""
-    near = hits.join(neighbours(nodes, edges), "source_id", "left")
-    own = F.struct("source_id", "source_type", "text", "score", F.lit(False).alias("expanded"))
-    others = F.transform(F.coalesce("near", F.array()), lambda n: F.struct(n["source_id"].alias("source_id"), n["source_type"].alias("source_type"), n["text"].alias("text"), (F.col("score") * n["share"]).alias("score"), F.lit(True).alias("expanded")))
-    return near.select("query_id", "intent", F.explode(F.concat(F.array(own), others)).alias("h")).select("query_id", "intent", "h.*")
+    """The hits and their neighbours, with expanded telling these apart. Only the hits' neighbours are looked for, and their texts come last."""
+    held = hits.select("query_id", "intent", "source_id", "source_type", "text", "score").persist()
+    near = held.select("query_id", "intent", "source_id", "score").join(neighbours(held, nodes, edges), "source_id")
+    near = near.select("query_id", "intent", F.col("target_id").alias("source_id"), (F.col("score") * F.col("share")).alias("score"))
+    near = near.join(nodes.select("source_id", "source_type", "text"), "source_id")
+    return held.withColumn("expanded", F.lit(False)).unionByName(near.withColumn("expanded", F.lit(True)))
 
 
 def retrieve_with_graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = lx.TOP_K, scorer=None) -> DataFrame:
