@@ -31,7 +31,17 @@ REMINDER = "À, món **%s** lúc nãy anh/chị xác nhận giúp em để em th
 INTENT_LABELS = {"order": ("🛒", "Đặt hàng"), "consultant": ("💡", "Tư vấn"), "faq": ("❓", "Hỏi đáp"), "ignore": ("🔇", "Không rõ")}
 OTHER_INTENT = "🤖"
 SUMMARY_HEAD = "TÓM TẮT HỘI THOẠI TRƯỚC ĐÓ:"
-FAQ_MAX, CONSULTANT_MAX, SUPPORTING_MAX = 5, 5, 3
+NO_ADVICE = "Dạ, em chưa có đủ dữ liệu để tư vấn chính xác. Anh/chị cho em biết khẩu vị, ngân sách hoặc thời tiết hôm nay nhé ạ?"
+ADVICE_HEAD = "Dạ, em gợi ý mình vài món nè:\n"
+ADVICE_END = "\n\nAnh/chị ưng món nào để em lên đơn ạ? Hoặc cho em biết thêm khẩu vị (đậm vị, mát lạnh, giá mềm…) để em gợi ý sát hơn nhé."
+FOUND_HEAD, FOUND_END = "Dạ, em tìm thấy:\n", "\n\nAnh/chị nói rõ khẩu vị để em gợi ý phù hợp hơn ạ."
+NO_FACT = "Dạ, hiện tại em chưa tìm thấy thông tin này trong FAQ. Anh/chị vui lòng hỏi nhân viên tại quầy để được xác nhận chính xác ạ."
+FACT_HEAD, FACT_END = "Dạ, theo dữ liệu hiện có:\n", "\n\nEm chỉ trả lời dựa trên dữ liệu có sẵn, không tự suy diễn thêm ạ."
+SMALL_TALK = "Dạ em nghe ạ. Anh/chị muốn đặt món, hỏi thông tin quán, hay cần em gợi ý món phù hợp không ạ?"
+SUBTOTAL, TOTAL = "Tạm tính", "Tổng cộng"
+CHECKOUT_HEAD, CHECKOUT_END = "Dạ, em đọc lại đơn của mình ạ:\n", "\n\nAnh/chị xác nhận chốt đơn này giúp em nhé?"
+CART_HEAD, CART_END = "\n\nĐơn hiện tại:\n", "\n\nAnh/chị cần gọi thêm gì nữa không ạ?"
+FAQ_MAX, CONSULTANT_MAX, SUPPORTING_MAX, ADVISED_MAX = 5, 5, 3, 3
 
 
 def size_list(variants: Column) -> Column:
@@ -92,6 +102,43 @@ def order_answer(action: Column, item: Column, size: Column, quantity: Column, p
     )
 
 
+def consultant_fallback(items: Column, context: Column) -> Column:
+    """The advice that needs no model. items: array of name, variants (size, price) and description, in order of rank; context: the sources' text, null for none."""
+    def line(i: Column) -> Column:
+        note = tx.short_description(i["description"])
+        return F.concat(F.lit("• **"), i["name"], F.lit("**"), F.when(note != "", F.concat(F.lit(" — "), note)).otherwise(""), F.lit("\n   "), size_list(i["variants"]))
+
+    lines = F.transform(F.filter(F.slice(items, 1, ADVISED_MAX), lambda i: F.size(i["variants"]) > 0), line)
+    advice = F.concat(F.lit(ADVICE_HEAD), F.array_join(lines, "\n"), F.lit(ADVICE_END))
+    found = F.concat(F.lit(FOUND_HEAD), context, F.lit(FOUND_END))
+    return F.when(F.coalesce(context, F.lit("")) == "", NO_ADVICE).when(F.coalesce(F.size(items), F.lit(0)) > 0, advice).otherwise(found)
+
+
+def faq_fallback(text: Column) -> Column:
+    """The best source's text as an answer; null or empty for none."""
+    return F.when(F.coalesce(text, F.lit("")) == "", NO_FACT).otherwise(F.concat(F.lit(FACT_HEAD), text, F.lit(FACT_END)))
+
+
+def fallback_answer(intent: Column, order: Column, items: Column, context: Column, best: Column) -> Column:
+    """What each agent answers where its model gives nothing: order, consultant, faq, and small talk for the rest."""
+    return F.when(intent == "order", order).when(intent == "consultant", consultant_fallback(items, context)).when(intent == "faq", faq_fallback(best)).otherwise(SMALL_TALK)
+
+
+def cart_summary(lines: Column, label: str = SUBTOTAL) -> Column:
+    """A cart's lines and their sum. lines: array of quantity, item, size (null or empty: none) and price, in order."""
+    each = F.transform(lines, lambda x: F.concat(F.lit("• "), line_label(x["quantity"], x["item"], x["size"]), F.lit(" — "), tx.vnd(x["price"] * x["quantity"])))
+    total = F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + x["price"] * x["quantity"])
+    return F.concat(F.array_join(each, "\n"), F.lit(f"\n**{label}: "), tx.vnd(total), F.lit("**"))
+
+
+def checkout_answer(lines: Column) -> Column:
+    return F.concat(F.lit(CHECKOUT_HEAD), cart_summary(lines, TOTAL), F.lit(CHECKOUT_END))
+
+
+def cart_updated(prefix: Column, lines: Column) -> Column:
+    return F.concat(prefix, F.lit(CART_HEAD), cart_summary(lines), F.lit(CART_END))
+
+
 def cached_answer(answer: Column, intent: Column, context: Column, key: Column) -> Column:
     """A cached answer with a lead-in for advice that names what was asked for."""
     has = lambda c, *words: tx.any_of(F.coalesce(c, F.lit("")), list(words))

@@ -177,3 +177,44 @@ def mention_expansion(t: Tables) -> DataFrame:
 @query(f"SELECT conv_id, turn, CASE WHEN {sql_any('lower(text)', ['hello', 'hi'])} THEN 1 ELSE 0 END AS greets FROM conversations WHERE role = 'user'")
 def message_scan(t: Tables) -> DataFrame:
     return t.conversations.where("role = 'user'").select("conv_id", "turn", tx.any_of(F.lower("text"), ["hello", "hi"]).cast("int").alias("greets"))
+
+
+_TEXT = lambda value: quoted(value).replace("\n", "' || chr(10) || '")
+
+
+@query(f"""WITH {OFFERS_SQL}, s AS (SELECT name, CASE WHEN count(*) = 1 THEN any_value({VND.format("price")}) ELSE string_agg(size || ' ' || {VND.format("price")}, ' · ' ORDER BY r) END AS sizes FROM least GROUP BY name)
+SELECT p_partkey AS id, md5(CASE p_partkey % 7 WHEN 0 THEN {_TEXT(answers.SMALL_TALK)} WHEN 1 THEN {_TEXT(answers.NO_FACT)} WHEN 2 THEN {_TEXT(answers.FACT_HEAD)} || p_name || {_TEXT(answers.FACT_END)}
+  WHEN 3 THEN {_TEXT(answers.NO_ADVICE)} WHEN 4 THEN {_TEXT(answers.FOUND_HEAD)} || p_name || {_TEXT(answers.FOUND_END)} WHEN 5 THEN 'taken'
+  ELSE {_TEXT(answers.ADVICE_HEAD)} || coalesce('• **' || p_name || '** — ' || lower(p_type) || chr(10) || '   ' || sizes, '') || {_TEXT(answers.ADVICE_END)} END) AS answer
+FROM part LEFT JOIN s ON name = p_name""")
+def fallback_answers(t: Tables) -> DataFrame:
+    """Each agent's answer without a model: with and without context, with and without items."""
+    k = F.col("id") % 7
+    p = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lower("p_type").alias("note")).join(offers(t), "name", "left")
+    variants = F.coalesce("variants", F.filter(F.array(F.struct(F.lit("S").alias("size"), F.lit(0).alias("price"))), lambda v: F.lit(False)))
+    item = F.array(F.struct("name", variants.alias("variants"), F.concat("name", F.lit(" — "), "note").alias("description")))
+    intent = F.when(k == 0, "ignore").when(k <= 2, "faq").when(k == 5, "order").otherwise("consultant")
+    items = F.when(k == 6, item)
+    answer = answers.fallback_answer(intent, F.lit("taken"), items, F.when(k >= 4, F.col("name")), F.when(k == 2, F.col("name")))
+    return p.select("id", F.md5(answer).alias("answer"))
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q, l_partkey, floor(l_extendedprice)::BIGINT AS price, CASE WHEN l_linenumber % 3 <> 0 THEN ['S', 'M', 'L'][l_linenumber % 3] END AS size FROM lineitem),
+s AS (SELECT l_orderkey, string_agg('• ' || q || ' món ' || l_partkey || coalesce(' size ' || size, '') || ' — ' || {VND.format("(price * q)")}, chr(10) ORDER BY l_linenumber, q, l_partkey::VARCHAR, price) AS body, {VND.format("sum(price * q)::BIGINT")} AS total FROM l GROUP BY l_orderkey)
+SELECT l_orderkey, md5({_TEXT(answers.CHECKOUT_HEAD)} || body || chr(10) || '**{answers.TOTAL}: ' || total || '**' || {_TEXT(answers.CHECKOUT_END)}) AS checkout,
+  md5('Dạ.' || {_TEXT(answers.CART_HEAD)} || body || chr(10) || '**{answers.SUBTOTAL}: ' || total || '**' || {_TEXT(answers.CART_END)}) AS updated FROM s""")
+def cart_summaries(t: Tables) -> DataFrame:
+    """Carts as they are read back before checkout, and after a change."""
+    size = F.when(F.col("l_linenumber") % 3 != 0, F.element_at(F.array(*map(F.lit, ["S", "M"])), F.greatest(F.col("l_linenumber") % 3, F.lit(1)).cast("int")))
+    line = F.struct(
+        F.col("l_linenumber").alias("place"), F.col("l_quantity").cast("long").alias("quantity"), F.concat(F.lit("món "), F.col("l_partkey").cast("string")).alias("item"),
+        size.alias("size"), F.floor("l_extendedprice").alias("price"),
+    )
+    carts = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return carts.select("l_orderkey", F.md5(answers.checkout_answer(F.col("lines"))).alias("checkout"), F.md5(answers.cart_updated(F.lit("Dạ."), F.col("lines"))).alias("updated"))
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS text FROM conversations ORDER BY conv_id, turn")
+def messages_in_order(t: Tables) -> DataFrame:
+    """All messages in order of their keys, as a log is read back: a range sort, no single task."""
+    return t.conversations.orderBy("conv_id", "turn").select("conv_id", "turn", "role", F.md5("text").alias("text"))

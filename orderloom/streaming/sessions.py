@@ -226,13 +226,14 @@ def invalidated(key: Column, scope: Column) -> Column:
     return (scope == "all") | key.startswith(F.concat(scope, F.lit(":")))
 
 
-def two_tier_cache(log: DataFrame, ttl: int = lx.CACHE_TTL, size: int = lx.CACHE_SIZE) -> DataFrame:
+def two_tier_cache(log: DataFrame, ttl: int = lx.CACHE_TTL, size: int = lx.CACHE_SIZE, cache: str = "intent") -> DataFrame:
     """intent, seq, tier, matched, similarity and stored for a log of intent, seq, seconds, op, key, text, answer, embedding and tags.
 
     A lookup (op null) asks the exact store for its key, then the semantic one; an exact hit puts its own entry into the
     semantic store as well. Where the nearest entry has the same tags, all of stable FAQ topics, it counts as the same question. Only cacheable intents are
     asked, and a miss stores the answer in both stores unless it is blank. Rows of op clear empty their intent's stores.
-    tier is exact, alias, semantic, miss, skipped or cleared.
+    tier is exact, alias, semantic, miss, skipped or cleared. cache: the column that tells caches apart, such as tenant and
+    intent; one cache is one task, since each lookup depends on those before it, so a log of many tenants is to be told apart by them.
     """
 
     def start():
@@ -267,11 +268,11 @@ def two_tier_cache(log: DataFrame, ttl: int = lx.CACHE_TTL, size: int = lx.CACHE
     asked, storable = cacheable(F.col("intent"), F.col("answer"))
     stable = F.when((F.col("intent") == "faq") & (F.size(F.array_except("tags", F.array(*map(F.lit, lx.FAQ_ALIAS_TAGS)))) == 0), F.col("tags"))
     given = log.select(
-        "intent", "seq", F.col("seconds").cast("double").alias("seconds"), "op", "key", "text", "embedding",
+        F.col(cache).alias("cache"), "intent", "seq", F.col("seconds").cast("double").alias("seconds"), "op", "key", "text", "embedding",
         stable.alias("alias"), asked.alias("asked"), storable.alias("storable"), threshold_of(F.col("intent")).alias("threshold"),
     )
     kinds = {f.name: f.dataType.simpleString() for f in log.schema}
-    return folded(given, "intent", ["seq"], start, f"intent {kinds['intent']}, seq {kinds['seq']}, tier string, matched string, similarity double, stored boolean")
+    return folded(given, "cache", ["seq"], start, f"intent {kinds['intent']}, seq {kinds['seq']}, tier string, matched string, similarity double, stored boolean")
 
 
 def cache_statistics(found: DataFrame) -> DataFrame:

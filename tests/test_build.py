@@ -192,3 +192,16 @@ def test_refreshed_nodes_are_embedded_by_a_model(spark):
     embed = models.embedder("bag", lambda: 8, lambda n, texts: [np.bincount([len(w) % n for w in t.split()] or [0], minlength=n).tolist() for t in texts])
     df = spark.createDataFrame([("a", "one two three"), ("b", None)], "source_id string, text string").withColumn("embedding", embed(F.col("text")))
     assert {r.source_id: r.embedding and sum(r.embedding) for r in df.collect()} == {"a": 3.0, "b": None}
+
+
+def test_fallback_answers_and_carts_as_text(spark):
+    from orderloom.functions import answers
+
+    df = spark.createDataFrame([(1, [(2, "Trà", "M", 45000), (1, "Bánh", None, 30000)])], "i int, lines array<struct<quantity:int,item:string,size:string,price:int>>")
+    r = df.select(answers.checkout_answer(F.col("lines")).alias("c"), answers.cart_updated(F.lit("Dạ."), F.filter("lines", lambda x: F.lit(False))).alias("u"), answers.faq_fallback(F.lit(None).cast("string")).alias("f")).first()
+    assert r.c == f"{answers.CHECKOUT_HEAD}• 2 Trà size M — 90.000đ\n• 1 Bánh — 30.000đ\n**Tổng cộng: 120.000đ**{answers.CHECKOUT_END}"
+    assert r.u == f"Dạ.{answers.CART_HEAD}\n**Tạm tính: 0đ**{answers.CART_END}" and r.f == answers.NO_FACT
+    items = spark.createDataFrame([([("A", [("S", 1000)], "A — nice. More"), ("B", [], ""), ("C", [("S", 1000), ("M", 2000)], "")],)], "items array<struct<name:string,variants:array<struct<size:string,price:int>>,description:string>>")
+    got = items.select(answers.consultant_fallback(F.col("items"), F.lit("x")).alias("a"), answers.consultant_fallback(F.lit(None).cast(items.schema["items"].dataType), F.lit("x")).alias("b"), answers.consultant_fallback(F.col("items"), F.lit("")).alias("c")).first()
+    assert got.a.startswith(answers.ADVICE_HEAD + "• **A** — nice") and "**B**" not in got.a and "• **C**\n   S 1.000đ · M 2.000đ" in got.a
+    assert got.b == answers.FOUND_HEAD + "x" + answers.FOUND_END and got.c == answers.NO_ADVICE
