@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import re
 import uuid
 
@@ -51,28 +52,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_open: list[list[str]] = []
+#: What materialize() has written inside each scratch() block of this thread or task, the innermost last.
+_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables that materialize() writes inside this block are deleted at its end, but for those kept with keep()."""
-    _open.append([])
+    """Tables that materialize() writes inside this block are deleted at its end, but for those kept with keep().
+
+    Around a query and the use of its result, it leaves nothing behind. Blocks of other threads are not touched.
+    """
+    before = _open.set((*_open.get(), []))
     try:
         yield
     finally:
-        for path in _open.pop():
+        paths = _open.get()[-1]
+        _open.reset(before)
+        for path in paths:
             _delete(spark, path)
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Hands a materialized table to the next outer scratch() block, or to nobody."""
-    name = _folder(df).rsplit("/", 1)[-1]
-    for at, paths in enumerate(_open):
-        for path in [p for p in paths if p.endswith(f"/{name}")]:
-            paths.remove(path)
+    blocks = _open.get()
+    for at, paths in enumerate(blocks):
+        if df._scratch_path in paths:
+            paths.remove(df._scratch_path)
             if at:
-                _open[at - 1].append(path)
+                blocks[at - 1].append(df._scratch_path)
     return df
 
 
@@ -85,14 +92,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    if _open:
-        _open[-1].append(path)
+    if blocks := _open.get():
+        blocks[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _folder(df: DataFrame) -> str:
-    return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
+    found = spark.read.schema(schema).parquet(path)
+    found._scratch_path = path  # for keep() and remove(), which take this very object
+    return found
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -102,5 +107,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a materialized DataFrame that nothing reads any more."""
-    if df.inputFiles():
-        _delete(spark, _folder(df))
+    _delete(spark, df._scratch_path)
+    for paths in _open.get():
+        if df._scratch_path in paths:
+            paths.remove(df._scratch_path)

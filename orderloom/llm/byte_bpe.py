@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm._shared import table, text_of
+from orderloom.llm._shared import free_name, table, text_of
 from orderloom.llm.letters import Splitter
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -178,7 +178,7 @@ def with_decoding(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", int
 
 
 def with_digests(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256: a round trip that ships digests, not ids."""
+    """df with n_tokens, ids_sha256 and decoded_sha256: a round trip that ships digests, not ids. Columns of these names, in any case, are replaced."""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:
@@ -188,8 +188,8 @@ def with_digests(df: DataFrame, ranks: str, pattern: str, text: str = "text") ->
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    names = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    return df.select(*names, digest(text_of(text)).alias("_digest")).select(*names, "_digest.*")
+    names, found = [c for c in df.columns if c.lower() not in ("n_tokens", "ids_sha256", "decoded_sha256")], free_name(df, "_digest")
+    return df.select(*names, digest(text_of(text)).alias(found)).select(*names, f"{found}.*")
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:

@@ -108,12 +108,12 @@ def roots(named: DataFrame) -> DataFrame:
     now = materialize(named.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        after = materialize(now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        after = materialize(now.select("word", "root").join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         moved = bool(after.where("moved").head(1))
         remove(now.sparkSession, now)
         if not moved:
             return after.select("word", "root")
-        now = after.select("word", "root")
+        now = after
 
 
 def variants(vocab: DataFrame, times: int = TIMES) -> DataFrame:

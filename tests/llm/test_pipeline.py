@@ -128,3 +128,40 @@ def test_repeated_ids_with_other_texts(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
     got = Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     assert got == brute_run([(i, t or "", s) for i, t, _, s, _ in rows])
+
+
+def test_scratch_blocks_of_two_threads_are_apart(spark, tmp_path, monkeypatch):
+    import threading
+
+    monkeypatch.setattr(_shared, "shared_dir", lambda spark: str(tmp_path))
+    opened, closed, seen = threading.Event(), threading.Event(), {}
+
+    def other():
+        with _shared.scratch(spark):
+            seen["theirs"] = _shared.materialize(spark.range(3), "theirs")
+            opened.set()
+            closed.wait(60)
+            seen["n"] = seen["theirs"].count()
+
+    with _shared.scratch(spark):
+        mine = _shared.materialize(spark.range(2), "mine")
+        thread = threading.Thread(target=other)
+        thread.start()
+        opened.wait(60)
+        assert mine.count() == 2
+    closed.set()
+    thread.join()
+    assert seen["n"] == 3 and not list(tmp_path.iterdir())
+    alone = _shared.materialize(spark.range(1), "alone")
+    _shared.remove(spark, alone)
+    assert not list(tmp_path.iterdir())
+
+
+def test_a_query_inside_a_scratch_block_leaves_nothing(spark, tmp_path, monkeypatch):
+    from orderloom.llm import registry
+
+    monkeypatch.setattr(_shared, "shared_dir", lambda spark: str(tmp_path))
+    for name in ("op3_url_filter", "op11_bottom_k", "op12_spelling_variants", "op13_prefix_trie"):
+        with _shared.scratch(spark):
+            assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert not list(tmp_path.iterdir()), name

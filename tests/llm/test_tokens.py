@@ -101,3 +101,14 @@ def test_columns_and_edges(spark):
     trip = byte_bpe.with_decoding(byte_bpe.with_encoding(df, p(byte_bpe.VOCABULARY), pattern), p(byte_bpe.VOCABULARY), pattern)
     assert {(r.text or "").encode() == bytes(r.decoded) for r in trip.collect()} == {True}
     assert byte_bpe.with_digests(df.limit(0), p(byte_bpe.VOCABULARY), pattern).count() == 0
+
+
+def test_columns_that_clash_with_the_digests(spark):
+    import public_tokenizers as p
+    from orderloom.llm import byte_bpe
+
+    df = spark.createDataFrame([("a b", 1, 2, 3)], "text string, _digest int, N_TOKENS int, ids int")
+    found = byte_bpe.with_digests(df, p.path(byte_bpe.VOCABULARY), p.PATTERN)
+    assert sorted(found.columns) == ["_digest", "decoded_sha256", "ids", "ids_sha256", "n_tokens", "text"]
+    row = found.first()
+    assert (row._digest, row.ids) == (1, 3) and row.n_tokens > 0
