@@ -38,6 +38,11 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
+def nearest_of(points: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The number of the nearest centroid of each point, a bounded number of cosines at a time."""
+    return np.concatenate([(points[part] @ found.T).argmax(axis=1) for part in retrieval.slices(len(points), len(found))])
+
+
 def train(nodes: DataFrame, key: str, cells: int, sample: int = SAMPLE, rounds: int = ROUNDS, target: float = TARGET) -> tuple[np.ndarray, int]:
     """Centroids of unit vectors, by k-means on the sample, and how many cells to probe; vectors of the commonest length count."""
     drawn = nodes.where("size(embedding) > 0").select(key, "embedding").orderBy(F.xxhash64(key), key).limit(sample).collect()
@@ -48,12 +53,12 @@ def train(nodes: DataFrame, key: str, cells: int, sample: int = SAMPLE, rounds:
     points = units(np.array([r.embedding for r in drawn if len(r.embedding) == dim], dtype=np.float64))
     found = points[: min(cells, MAX_CELLS, len(points))].copy()
     for _ in range(rounds):
-        own = (points @ found.T).argmax(axis=1)
+        own = nearest_of(points, found)
         for cell in range(len(found)):
             if (own == cell).any():
                 found[cell] = points[own == cell].mean(axis=0)
         found = units(found)
-    asked, own = points[:MEASURED], (points @ found.T).argmax(axis=1)
+    asked, own = points[:MEASURED], nearest_of(points, found)
     nearest = np.argsort(-(asked @ points.T), axis=1, kind="stable")[:, : lx.POOL]
     place = np.argsort(np.argsort(-(asked @ found.T), axis=1, kind="stable"), axis=1)
     places = np.sort(np.take_along_axis(place, own[nearest], axis=1).ravel())
@@ -67,9 +72,9 @@ def nearest_cells(embedding: Column, centroids: np.ndarray, n: int) -> Column:
     def cells(vectors: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(vectors), dtype=object)
         good = [i for i, v in enumerate(vectors) if v is not None and centroids.size and len(v) == centroids.shape[1] and np.any(v)]
-        if good:
-            near = np.round(np.stack([np.asarray(vectors.iloc[i], dtype=np.float64) for i in good]) @ centroids.T, 9)
-            for i, row in zip(good, np.argsort(-near, axis=1, kind="stable")[:, :n]):
+        for part in retrieval.slices(len(good), len(centroids)):
+            near = np.round(np.stack([np.asarray(vectors.iloc[i], dtype=np.float64) for i in good[part]]) @ centroids.T, 9)
+            for i, row in zip(good[part], np.argsort(-near, axis=1, kind="stable")[:, :n]):
                 out.iloc[i] = row.astype(np.int32).tolist()
         return out
 
