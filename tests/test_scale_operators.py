@@ -245,3 +245,74 @@ def test_two_tiers_against_plain_lists(spark, batch):
     assert stats["order"].skipped and not stats["order"].asked
     assert sum(r.exact for r in stats.values()) == sum(w[1] == "exact" for w in want)
     assert sessions.two_tier_cache(df.limit(0)).count() == 0
+
+
+def test_equal_queries_and_texts_are_met_once(spark):
+    words = ["hot tea", "iced tea", "hot milk", "cold beer"]
+    queries = spark.createDataFrame([(i, ["order", "faq", None][i % 3], words[i % 2] if i % 7 else None) for i in range(40)], "query_id long, intent string, text string")
+    seen = []
+
+    def search(q):
+        seen.append(sorted((r.intent or "", r.text or "", r.query_id) for r in q.collect()))
+        return q.select("query_id", F.lit("a").alias("source_id"))
+
+    assert sorted(r.query_id for r in retrieval.each_once(queries, search).collect()) == list(range(40))
+    assert len(seen[0]) == len({x[:2] for x in seen[0]}) == 9
+    nodes = spark.createDataFrame([(f"n{i:03}", ["menu", "faq"][i % 2], words[i // 2 % 4] + " ?" * (i % 3)) for i in range(150)] + [("x", "menu", None)], "source_id string, source_type string, text string")
+    vector = lambda df: df.withColumn("embedding", tx.hash_vector(tx.tokens(F.col("text")), 16))
+    asked = queries.where("query_id < 6")
+    rows = lambda df: sorted((r.query_id, r.source_id, r.text, round(r.score, 6)) for r in df.collect())
+    assert rows(retrieval.text_hits(asked, nodes, vector, 5)) == rows(retrieval.vector_hits(vector(asked), vector(nodes), 5))
+    modes = retrieval.retrieve_modes(["vector"], queries, nodes, None, 5, vector).where("query_id < 6")
+    assert sorted((r.query_id, r.source_id) for r in modes.collect()) == [(q, i) for q, i, *_ in rows(retrieval.top(retrieval.vector_hits(vector(asked), vector(nodes)), 5))]
+
+
+def test_cosines_at_once_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    table = lambda name, n: pa.table({name: range(n), "intent": ["faq"] * n, "source_type": ["faq"] * n, "embedding": rng.integers(-2, 3, (n, 4)).astype(float).tolist()})
+    q, n, plain, sizes = table("query_id", 60), table("source_id", 90), retrieval.cosines, []
+    want = retrieval.nearest_in_blocks(q, n, 7, 0.05)
+    monkeypatch.setattr(retrieval, "COSINES_AT_ONCE", 200)
+    monkeypatch.setattr(retrieval, "cosines", lambda a, b: sizes.append(len(a) * len(b)) or plain(a, b))
+    assert retrieval.nearest_in_blocks(q, n, 7, 0.05).sort_by([("query_id", "ascending"), ("source_id", "ascending")]).equals(want.sort_by([("query_id", "ascending"), ("source_id", "ascending")]))
+    assert sizes and max(sizes) <= 200
+    exact, best = plain(retrieval.matrix(q), retrieval.matrix(n)), {}
+    for a, b in zip(want["query_id"].to_pylist(), want["source_id"].to_pylist()):
+        best.setdefault(a, []).append(b)
+    for a, scores in enumerate(np.round(exact, 9).tolist()):
+        assert best.get(a, []) == [b for s, b in sorted((-s, b) for b, s in enumerate(scores) if np.isfinite(s) and s >= 0.05)[:7]]
+
+
+def test_fusion_with_all_rows_of_a_label(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from orderloom.plans import base, catalog_queries  # noqa: F401
+
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(4).tolist(), i % 2) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(base.SQL["hybrid_fusion"]).fetchall())
+    got = sorted((r.query_id, r.source_id, r.score) for r in base.QUERIES["hybrid_fusion"](spark, str(tmp_path)).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+    beyond = [x for x in got if x[1] % 2 == x[0] % 2 and x[1] >= 80 and x[2] > 0.225]  # near and of the label, though not among its first forty
+    assert beyond
+
+
+def test_summaries_carry_heads_of_messages_only(spark, monkeypatch):
+    texts = [(1, i, "word %d " % i * (1 + 40 * (i % 9))) for i in range(60)] + [(2, 0, None)]
+    rows, carried = spark.createDataFrame(texts, "session long, turn int, text string"), []
+    plain = sessions.folded
+    monkeypatch.setattr(sessions, "folded", lambda df, *rest: carried.append(df) or plain(df, *rest))
+    got = {(r.session, r.turn): (r.kept, r.summary) for r in sessions.summaries(rows).collect()}
+    history, summary = [], None
+    for s, turn, text in texts[:-1]:
+        history.append(text)
+        if sum(max(1, len(t) // lx.CHARS_PER_TOKEN) for t in history) >= int(lx.CONTEXT_TOKENS * lx.SUMMARY_RATIO) and len(history) > lx.HISTORY_WINDOW:
+            summary = "\n".join(history[: -lx.HISTORY_WINDOW])[: lx.SUMMARY_CHARS]
+            del history[: -lx.HISTORY_WINDOW]
+        assert got[s, turn] == (len(history), summary)
+    assert summary and got[2, 0] == (1, None)
+    assert carried[0].select(F.max(F.length("head"))).first()[0] <= lx.SUMMARY_CHARS
