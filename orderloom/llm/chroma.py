@@ -56,7 +56,7 @@ MIN_OVERLAP = 8
 BLOCK_CODES, MIN_BLOCKS = 1 << 22, 32
 #: Equal integers, and compared ones, that a task holds at once.
 AT_ONCE = 1 << 21
-#: Queries of the registered search: ids divisible by this, against all rows.
+#: Ids divisible by this make a set of queries in proportion to the rows, for callers that search.
 EVERY = 20
 STEP = 1 << 14
 
@@ -364,11 +364,11 @@ def group_recordings(recordings: DataFrame, media_id: str = "media_id", queries:
 def op8_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and groups of all documents, whose bytes are read as recordings: there is no table of sounds.
 
-    Queries are the documents whose id is divisible by EVERY, against all documents.
+    Every document is aligned with all others, so no alignment between different documents is left out.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("media"))
     found = with_codes(docs, "media", TEXT_SOUND)
     recordings = materialize(found.select("doc_id", F.sha2("media", 256).alias("media_digest"), "chroma.n_frames", "chroma.codes"), "chroma")
-    return group_recordings(recordings, "doc_id", F.col("doc_id") % EVERY == 0).select(
+    return group_recordings(recordings, "doc_id").select(
         "doc_id", "n_frames", F.size("codes").cast("long").alias("n_codes"), F.col("digest").alias("codes_sha256"), "group_id"
     )

@@ -158,3 +158,13 @@ def test_helper_columns_do_not_clash_with_the_callers(spark):
     found = {r.media_id: r for r in chroma.group_recordings(df).collect()}
     assert [found[i].group_id for i in (1, 2, 3)] == [1, 1, 3]
     assert all((r._query, r._class) == ("q", "c") and r.digest for r in found.values())
+
+
+def test_every_document_is_aligned_with_all(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    texts = [(i, "".join(rng.choices("abcdefgh  ", k=3_000))) for i in range(1, 6)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked, plain = [], chroma.search_links
+    monkeypatch.setattr(chroma, "search_links", lambda rooted, *rest: asked.extend(r.id for r in rooted.where("query").collect()) or plain(rooted, *rest))
+    chroma.op8_chroma_fingerprints(spark, str(tmp_path)).collect()
+    assert sorted(asked) == [1, 2, 3, 4, 5]  # none of these is divisible by 20
