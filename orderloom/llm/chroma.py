@@ -15,7 +15,9 @@ landmark agree. That joins most copies at a cost in proportion to the classes, b
 may miss some. The second pass is a search and exact: the stated queries, by default
 every recording, are aligned with all recordings. Queries and recordings are cut into
 blocks of bounded size, each pair of blocks is one task, and all recordings meet each
-block of queries, so what is shuffled is the recordings once for each such block. A
+block of queries, so what is shuffled is the recordings once for each such block.
+Where every recording is a query, the first pass would find nothing that the second
+does not, and is left out; two blocks then meet once, not in either order. A
 task tallies offsets of equal integers for each pair, checks the bits at the offset
 with most, and gives back a forest of groups, never pairs.
 
@@ -33,6 +35,8 @@ untouched. An empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -52,8 +56,10 @@ LANDMARKS = 32
 AROUND, MAX_LOCAL_ERROR = (-16, -8, -4, -2, 2, 4, 8, 16), 0.18
 MAX_BIT_ERROR = 0.15
 MIN_OVERLAP = 8
-#: Integers in a block of queries or of recordings, and blocks that recordings make at least.
-BLOCK_CODES, MIN_BLOCKS = 1 << 22, 32
+#: Integers in a block of queries or of recordings, and blocks that recordings make at least: those that queries meet, and those that all meet.
+BLOCK_CODES, MIN_BLOCKS, MIN_WHOLE_BLOCKS = 1 << 24, 32, 8
+#: Integers of a block that a task sorts or looks up at once.
+SLICE_CODES = 1 << 22
 #: Equal integers, and compared ones, that a task holds at once.
 AT_ONCE = 1 << 21
 #: Ids divisible by this make a set of queries in proportion to the rows, for callers that search.
@@ -227,6 +233,14 @@ class Recordings(NamedTuple):
         at = self.starts[first : last + 1]
         return Recordings(self.ids[first:last], self.roots[first:last], self.codes[at[0] : at[-1]], at - at[0])
 
+    def slices(self) -> Iterator[Recordings]:
+        """Parts of SLICE_CODES integers at most, a recording at least."""
+        first = 0
+        while first < len(self.ids):
+            last = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + SLICE_CODES, "right")) - 1)
+            yield self.part(first, last)
+            first = last
+
     def owners(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
 
@@ -315,10 +329,11 @@ def block_forest(queries: pa.Table, rows: pa.Table) -> pa.Table:
             i = up
         return i
 
-    for q, r in aligned_pairs(queries, rows) if len(queries.ids) and len(rows.ids) else ():
-        for u, v in np.unique(np.stack([queries.roots[q], rows.roots[r]], axis=1), axis=0).tolist():
-            u, v = sorted((top(u), top(v)))
-            parent[v] = u
+    for some, others in itertools.product(queries.slices(), rows.slices()):
+        for q, r in aligned_pairs(some, others):
+            for u, v in np.unique(np.stack([some.roots[q], others.roots[r]], axis=1), axis=0).tolist():
+                u, v = sorted((top(u), top(v)))
+                parent[v] = u
     joined = [(v, u) for v, u in parent.items() if u != v]
     return pa.table({"u": pa.array([v for v, _ in joined], pa.int64()), "v": pa.array([u for _, u in joined], pa.int64())})
 
@@ -327,6 +342,8 @@ def search_links(rooted: DataFrame, block_codes: int = BLOCK_CODES, least: int =
     """u, v: links between roots that connect what alignments of queries with any recording connect; rooted: id, root, codes, query."""
     usable = rooted.where(F.size("codes") >= MIN_OVERLAP)
     asked, every = usable.agg(F.sum(F.when(F.col("query"), F.size("codes"))), F.sum(F.size("codes"))).first()
+    if asked == every:
+        return whole_links(usable, max(min(least, MIN_WHOLE_BLOCKS), -(-(every or 0) // block_codes)))
     n_asked, n_every = max(1, -(-(asked or 0) // block_codes)), max(least, -(-(every or 0) // block_codes))
     of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -335,8 +352,22 @@ def search_links(rooted: DataFrame, block_codes: int = BLOCK_CODES, least: int =
     return queries.groupBy("asked", "part").cogroup(rows.groupBy("asked", "part")).applyInArrow(block_forest, "u long, v long")
 
 
-def class_roots(classes: DataFrame) -> DataFrame:
-    """id and root, the least id that alignments between classes (id, codes, query; read more than once) reach."""
+def whole_links(usable: DataFrame, n: int) -> DataFrame:
+    """search_links where every recording is a query: each two of n blocks meet once, so recordings are shuffled n + 1 times."""
+    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    from_, to = F.sequence(block, F.lit(n - 1)), F.sequence(F.lit(0), block)
+    queries = usable.select("id", "root", "codes", block.alias("asked"), F.explode(from_).alias("part"))
+    rows = usable.select("id", "root", "codes", F.explode(to).alias("asked"), block.alias("part"))
+    pairs = n * (n + 1) // 2
+    queries, rows = (side.repartition(4 * pairs, "asked", "part") for side in (queries, rows))  # more parts than pairs, so that few pairs share one
+    return queries.groupBy("asked", "part").cogroup(rows.groupBy("asked", "part")).applyInArrow(block_forest, "u long, v long")
+
+
+def class_roots(classes: DataFrame, whole: bool = False) -> DataFrame:
+    """id and root, the least id that alignments between classes (id, codes, query; read more than once) reach; whole: every class is a query."""
+    if whole:
+        joined = components(search_links(classes.withColumn("root", F.col("id")))).toDF("id", "root")
+        return classes.select("id").join(joined, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     found = alignments(classes, materialize(landmark_pairs(classes), "landmark-pairs"))
     roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id")
     rooted = materialize(classes.join(roots, "id", "left").select("id", "codes", "query", F.coalesce("root", "id").alias("root")), "chroma-rooted")
@@ -356,7 +387,7 @@ def group_recordings(recordings: DataFrame, media_id: str = "media_id", queries:
     id_ = F.coalesce(F.min(media_id), F.min(F.xxhash64(class_).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))))
     found = rows.where(F.col(class_).isNotNull()).groupBy(class_)
     classes = materialize(found.agg(id_.alias("id"), F.any_value("codes").alias("codes"), F.max(query).alias("query")), "chroma-classes")
-    roots = class_roots(classes.where(F.size("codes") > 0).select("id", "codes", "query"))
+    roots = class_roots(classes.where(F.size("codes") > 0).select("id", "codes", "query"), queries is None)
     group = classes.select(class_, "id").join(roots, "id", "left").select(class_, F.coalesce("root", "id").alias("group_id"))
     return rows.join(materialize(group, "chroma-groups"), class_, "left").withColumn("group_id", F.coalesce("group_id", media_id)).drop(class_, query)
 

@@ -168,3 +168,32 @@ def test_every_document_is_aligned_with_all(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(chroma, "search_links", lambda rooted, *rest: asked.extend(r.id for r in rooted.where("query").collect()) or plain(rooted, *rest))
     chroma.op8_chroma_fingerprints(spark, str(tmp_path)).collect()
     assert sorted(asked) == [1, 2, 3, 4, 5]  # none of these is divisible by 20
+
+
+def test_each_two_blocks_meet_once(spark, monkeypatch):
+    """What is shuffled where all recordings are queries: each once for each block and once more, not 32 times."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(1 << 31), 1 << 31, 400, dtype=np.int64).astype(np.int32)
+    rows = [(i, i, base[i * 5 : i * 5 + 40].tolist(), True) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, root long, codes array<int>, query boolean")
+    monkeypatch.setattr(chroma, "block_forest", lambda q, r: pa.table({"u": pa.array([q.num_rows], pa.int64()), "v": pa.array([r.num_rows], pa.int64())}))
+    met = [(r.u, r.v) for r in chroma.search_links(df).collect()]
+    n = chroma.MIN_WHOLE_BLOCKS
+    assert len(met) == n * (n + 1) // 2 and sum(u + v for u, v in met) == (n + 1) * len(rows)
+
+
+def test_slices_of_a_block_find_what_the_block_does(monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(1 << 31), 1 << 31, 900, dtype=np.int64).astype(np.int32)
+    codes = [base[20 * i : 20 * i + (25 if i % 3 else 50)].tolist() for i in range(40)]
+    rows = pa.table({"id": pa.array(range(40), pa.int64()), "root": pa.array(range(40), pa.int64()), "codes": pa.array(codes, pa.list_(pa.int32()))})
+
+    def groups():
+        found = chroma.block_forest(rows, rows)
+        return roots(range(40), list(zip(found["u"].to_pylist(), found["v"].to_pylist())))
+
+    want = groups()
+    assert 1 < len(set(want.values())) < 40
+    for size in (1, 30, 100):
+        monkeypatch.setattr(chroma, "SLICE_CODES", size)
+        assert groups() == want
