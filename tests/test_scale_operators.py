@@ -103,6 +103,16 @@ def test_overlaps_against_all_pairs(spark):
         assert got == sorted((i, j, round(share(a, b), 9)) for i, a in q if a for j, b in d if b and share(a, b) >= least)
 
 
+def test_overlaps_read_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: read.add(1) or t, "string").asNondeterministic()
+    texts = spark.createDataFrame([(i, f"alpha w{i % 7} w{i % 5} beta") for i in range(60)], "d long, text string").withColumn("text", seen("text"))
+    queries = spark.createDataFrame([(i, f"w{i} beta gamma") for i in range(7)], "q long, text string")
+    found = retrieval.overlaps(queries, "q", texts, "d", 0.5).collect()
+    assert sorted((r.q, r.d) for r in found) == sorted((q, d) for q in range(7) for d in range(60) if q in (d % 7, d % 5))
+    assert read.value == 60
+
+
 def test_nearest_vectors_in_blocks(spark):
     rng = np.random.default_rng(4)
     vec = {i: rng.standard_normal(6).tolist() for i in range(150)} | {200: [0.0] * 6, 201: [], 202: None, 203: rng.standard_normal(3).tolist()}
