@@ -103,6 +103,22 @@ def test_overlaps_against_all_pairs(spark):
         assert got == sorted((i, j, round(share(a, b), 9)) for i, a in q if a for j, b in d if b and share(a, b) >= least)
 
 
+def test_terms_meet_the_first_nodes_of_each_fields_only(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"menu_{i:03}", "menu", ["red bolt", "blue bolt", "red ring"][i % 3], f"t{i}") for i in range(300)], "source_id string, source_type string, name string, text string")
+    queries = spark.createDataFrame([(1, "order", "bolt"), (2, "order", "red")], "query_id long, intent string, text string")
+    cuts, plain = [], retrieval.top
+
+    def top(hits, k, by=None, within=("query_id",)):
+        cuts.append((within, hits.count()))
+        return plain(hits, k, by, within)
+
+    monkeypatch.setattr(retrieval, "top", top)
+    found = retrieval.keyword_hits(queries, nodes.withColumn("fields", F.array("name")), 5).collect()
+    want = {(q, f"menu_{i:03}") for q, kinds in ((1, (0, 1)), (2, (0, 2))) for i in [i for i in range(300) if i % 3 in kinds][:5]}
+    assert {(r.query_id, r.source_id) for r in found} == want and len(found) == 10
+    assert dict(cuts)["term", "source_type"] == 4 * 5  # terms and fields that hold them, five nodes each, not all 400 pairs with nodes
+
+
 def test_overlaps_read_each_text_once(spark):
     read = spark.sparkContext.accumulator(0)
     seen = F.udf(lambda t: read.add(1) or t, "string").asNondeterministic()
